@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rulespan.llm import ngram_join
+from rulespan.llm import line_dedup, ngram_join
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_ngram_jaccard_join,)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op6_line_dedup, op7_ngram_jaccard_join)}
+ORACLE: dict[str, str] = {"op6_line_dedup": line_dedup.oracle()}
