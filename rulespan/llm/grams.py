@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from rulespan.llm.arrays import pack_sorted, unpack_sorted
-from rulespan.llm.text import U, run_lengths, shard_runs
+from rulespan.llm.text import run_lengths, shard_runs
 
 BLOB_FIELDS = [("shard", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())]
 BLOB_DDL = "shard int, grams binary, counts binary"
@@ -79,5 +79,3 @@ def by_shard(blobs: DataFrame, write: Callable, ddl: str) -> DataFrame:
 
     return blobs.groupBy("shard").applyInPandas(run, ddl)
 
-
-__all__ = ["BLOB_DDL", "Gather", "U", "blob_batch", "by_shard", "merged"]

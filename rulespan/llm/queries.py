@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rulespan.llm import line_dedup, ngram_join
+from rulespan.llm import line_dedup, lm_bloom, ngram_join, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
 
@@ -19,5 +23,9 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_line_dedup, op7_ngram_jaccard_join)}
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_bloom.lm_scores(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op5_toxicity, op6_line_dedup, op7_ngram_jaccard_join, op10_lm_scoring)}
 ORACLE: dict[str, str] = {"op6_line_dedup": line_dedup.oracle()}
