@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rulespan.llm import decontam, line_dedup, lm_bloom, ngram_join, toxicity
+from rulespan.llm import decontam, line_dedup, lm_bloom, ngram_join, sentencepiece_sa, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,9 +27,14 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return sentencepiece_sa.encode(docs.select("doc_id", "text")).drop("text")
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_bloom.lm_scores(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_toxicity, op6_line_dedup, op7_ngram_jaccard_join, op8_decontamination, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op5_toxicity, op6_line_dedup, op7_ngram_jaccard_join, op8_decontamination, op9_sentencepiece, op10_lm_scoring)}
 ORACLE: dict[str, str] = {"op6_line_dedup": line_dedup.oracle()}
