@@ -4,13 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rulespan.llm import decontam, line_dedup, lm_bloom, ngram_join, sentencepiece_sa, toxicity
+from rulespan.llm import chat_format, decontam, line_dedup, lm_bloom, ngram_join, quality_rules, sentencepiece_sa, toxicity, url_filter, warc_zip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.kept_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.chat_tokens(_table(spark, sf_dir, "conversations"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zip.through_packages(_table(spark, sf_dir, "pages"))
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.blocked_pages(_table(spark, sf_dir, "pages"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -36,5 +52,16 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_bloom.lm_scores(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_toxicity, op6_line_dedup, op7_ngram_jaccard_join, op8_decontamination, op9_sentencepiece, op10_lm_scoring)}
-ORACLE: dict[str, str] = {"op6_line_dedup": line_dedup.oracle()}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules, op2_chat_formatting, op3_warc, op4_url_filters, op5_toxicity,
+        op6_line_dedup, op7_ngram_jaccard_join, op8_decontamination, op9_sentencepiece, op10_lm_scoring,
+    )
+}
+#: The other operators have no SQL: their results rest on models, tokens or retrieval.
+ORACLE: dict[str, str] = {
+    "op3_warc": "select page_id, url, html from pages",
+    "op4_url_filters": url_filter.oracle(),
+    "op6_line_dedup": line_dedup.oracle(),
+}
