@@ -1,7 +1,7 @@
 """Vectorised words, lines and n-grams of Arrow text columns.
 
 A word is a longest run of ASCII letters, digits and underscores and of bytes of
-non-ASCII characters; ASCII letters fold to lower case.  Hashes are polynomials
+non-ASCII characters; ASCII and Latin-1 letters fold to lower case.  Hashes are polynomials
 over bytes, modulo 2^64, read off one prefix sum and then mixed: no work is done
 per word in Python.
 """
@@ -18,7 +18,7 @@ U = np.uint64
 BASE = U(0x9E3779B97F4A7C15 | 1)
 GRAM_BITS = 52
 MAX_DOCS = 1 << (64 - GRAM_BITS)
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = (2 << 20) - 4096
 
 _rng = np.random.default_rng(20240607)
 _RAW = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)
@@ -105,7 +105,7 @@ class Words:
         ends[:-1] &= ~m[1:] | edge[1:n]
         self.start = np.flatnonzero(begins)
         self.end = np.flatnonzero(ends) + 1
-        self.prefix = prefix_hash(buf, table)
+        self.prefix = prefix_hash(folded(buf) if table is _FOLD else buf, table)
         self.h = self.span(self.start, self.end)
         self.first = np.searchsorted(self.start, offs)
         self.count = np.diff(self.first)
@@ -115,6 +115,17 @@ class Words:
         return span_hash(self.prefix, start, end)
 
 
+def folded(buf: np.ndarray) -> np.ndarray:
+    """Latin-1 capitals (C3 80 to C3 9E in UTF-8) as small letters, 20 hex further."""
+    lead = np.flatnonzero(buf[:-1] == 0xC3)
+    lead = lead[buf[lead + 1] < 0x9F]
+    if not len(lead):
+        return buf
+    buf = buf.copy()
+    buf[lead + 1] += 0x20
+    return buf
+
+
 def prefix_hash(buf: np.ndarray, table: np.ndarray = _RAW) -> np.ndarray:
     power, _ = powers(len(buf) + 1)
     out = np.zeros(len(buf) + 1, U)
