@@ -1 +1 @@
-
+"""Scalar functions of programs as Spark columns."""

@@ -1 +1 @@
-
+"""Rules as DataFrames, fixpoints, signed relations."""

@@ -1 +1 @@
-
+"""Programs: syntax, checks, strata, rewrites."""

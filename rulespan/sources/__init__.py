@@ -1 +1 @@
-
+"""Adapters that read relations, and sinks that write them."""
