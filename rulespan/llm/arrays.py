@@ -50,13 +50,29 @@ def mapped(uri: str) -> dict[str, np.ndarray]:
     return load_arrays(uri)
 
 
+def pack_planes(x: np.ndarray) -> bytes:
+    """Unsigned integers as byte planes; those that are all zero are left out, and told by the first byte."""
+    width = x.dtype.itemsize
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, width).T
+    used = [k for k in range(width) if planes[k].any()]
+    return bytes([sum(1 << k for k in used)]) + len(x).to_bytes(4, "little") + b"".join(planes[k].tobytes() for k in used)
+
+
+def unpack_planes(blob: bytes, kind) -> np.ndarray:
+    kind = np.dtype(kind)
+    n, at = int.from_bytes(blob[1:5], "little"), 5
+    out = np.zeros((n, kind.itemsize), np.uint8)
+    for k in range(kind.itemsize):
+        if blob[0] >> k & 1:
+            out[:, k] = np.frombuffer(blob, np.uint8, n, at)
+            at += n
+    return out.view(kind).reshape(n)
+
+
 def pack_sorted(keys: np.ndarray) -> bytes:
-    """Sorted uint64 keys as byte planes of their differences: the high planes are nearly all zero."""
-    d = np.diff(keys, prepend=np.uint64(0))
-    return d.view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Sorted uint64 keys by their differences, of which the high planes are zero."""
+    return pack_planes(np.diff(keys, prepend=np.uint64(0)))
 
 
 def unpack_sorted(blob: bytes) -> np.ndarray:
-    n = len(blob) // 8
-    d = np.frombuffer(blob, np.uint8).reshape(8, n).T.copy().view(np.uint64).reshape(n)
-    return np.cumsum(d, dtype=np.uint64)
+    return np.cumsum(unpack_planes(blob, np.uint64), dtype=np.uint64)

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rulespan.llm.arrays import pack_sorted, unpack_sorted
+from rulespan.llm.arrays import pack_planes, pack_sorted, unpack_planes, unpack_sorted
 from rulespan.llm.text import run_lengths, shard_runs
 
 BLOB_FIELDS = [("shard", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())]
@@ -21,15 +21,6 @@ BLOB_DDL = "shard int, grams binary, counts binary"
 FLUSH = 3 << 20
 
 
-def pack_counts(c: np.ndarray) -> bytes:
-    return c.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
-
-
-def unpack_counts(blob: bytes) -> np.ndarray:
-    n = len(blob) // 4
-    return np.frombuffer(blob, np.uint8).reshape(4, n).T.copy().view(np.uint32).reshape(n)
-
-
 class Gather:
     """Collects grams of a task; rows() gives them by shard once there are many."""
 
@@ -46,7 +37,7 @@ class Gather:
         keys, counts = run_lengths(np.sort(np.concatenate(self.held)))
         self.held, self.n = [], 0
         for shard, part in shard_runs(keys, self.shards):
-            yield shard, pack_sorted(keys[part]), pack_counts(counts[part])
+            yield shard, pack_sorted(keys[part]), pack_planes(counts[part].astype(np.uint32))
 
 
 def blob_batch(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
@@ -57,8 +48,9 @@ def blob_batch(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
 def merged(pdf) -> tuple[np.ndarray, np.ndarray]:
     """All grams of a shard, sorted, and their counts."""
     keys = [unpack_sorted(x) for x in pdf["grams"]]
-    counts = [unpack_counts(x) for x in pdf["counts"]]
+    counts = [unpack_planes(x, np.uint32) for x in pdf["counts"]]
     k, c = np.concatenate(keys), np.concatenate(counts)
+    del keys, counts
     if c.max(initial=0) > 1 << 12:
         order = np.argsort(k, kind="stable")
         k, c = k[order], c[order]

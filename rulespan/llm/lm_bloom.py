@@ -34,6 +34,7 @@ LAMBDAS = (0.2, 0.3, 0.5)
 LOG_BASE = 1.5
 BITS_PER_ENTRY, HASHES = 10, 6
 BROADCAST_BYTES = 32 << 20
+PROBE_WORDS = 1 << 20
 TAG = U(3)
 
 
@@ -58,10 +59,12 @@ class Probe:
     def __init__(self, keys: np.ndarray, level: int, size: int):
         x = mix(keys * U(0x9E3779B97F4A7C15) + U(level * 0xD1B54A32D192ED03 & (1 << 64) - 1))
         self.a, self.size = x, U(size)
-        self.b = (x >> U(32)) | U(1)
+        self.b = (x & U(0xFFFFFFFF)) | U(1)
 
     def at(self, j: int, pick=slice(None)) -> np.ndarray:
-        return ((self.a[pick] + U(j) * self.b[pick] * U(0x2545F4914F6CDD1D)) >> U(11)) % self.size
+        """Bit positions of hash j: 32 mixed bits times the size; filters have less than 2^32 bits."""
+        x = self.a[pick] + U(j) * self.b[pick] * U(0x2545F4914F6CDD1D)
+        return ((x >> U(32)) * self.size) >> U(32)
 
 
 def bloom_build(keys: np.ndarray, levels: np.ndarray, bits: int = BITS_PER_ENTRY, hashes: int = HASHES) -> np.ndarray:
@@ -101,30 +104,36 @@ class Model:
         self.tokens, self.vocabulary, self.base, self.hashes = tokens, vocabulary, base, hashes
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
+        """Each distinct key is probed once."""
         order = np.argsort(keys)
         k = keys[order]
-        level = np.zeros(len(k), np.int64)
-        for shard, part in shard_runs(k, self.shards):
+        new = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.empty(0, bool)
+        u = k[new]
+        level = np.zeros(len(u), np.int16)
+        for shard, part in shard_runs(u, self.shards):
             if shard in self.present:
                 f = self.held.value[shard] if self.held is not None else mapped(f"{self.folder}/filters/{shard}")["bits"]
-                level[part] = bloom_levels(f, k[part], self.hashes)
+                level[part] = bloom_levels(f, u[part], self.hashes)
+        table = count_of(np.arange(int(level.max(initial=0)) + 1), self.base)
         out = np.empty(len(k))
-        out[order] = count_of(level, self.base)
+        out[order] = table[level[np.cumsum(new) - 1]]
         return out
 
 
-def sentence_scores(w, counts, tokens: int, vocabulary: int, lambdas=LAMBDAS) -> np.ndarray:
-    """log10 p of each word. counts(keys) gives those of grams."""
+def all_keys(w) -> np.ndarray:
+    return np.concatenate([keys_of(w.h, w.doc, n) for n in range(1, ORDER + 1)])
+
+
+def word_scores(w, found: np.ndarray, tokens: int, vocabulary: int, lambdas=LAMBDAS) -> np.ndarray:
+    """log10 p of each word. found: counts of all_keys(w)."""
     n = len(w.h)
     if not n:
         return np.empty(0)
-    u, inv = np.unique(keys_of(w.h, w.doc, 1), return_inverse=True)
-    c1 = counts(u)[inv]
     place = np.arange(n) - w.first[:-1][w.doc]
-    c2, c3 = np.zeros(n), np.zeros(n)
     at2, at3 = np.flatnonzero(place >= 1), np.flatnonzero(place >= 2)
-    c2[at2] = counts(keys_of(w.h, w.doc, 2))
-    c3[at3] = counts(keys_of(w.h, w.doc, 3))
+    c1, c2, c3 = found[:n], np.zeros(n), np.zeros(n)
+    c2[at2] = found[n : n + len(at2)]
+    c3[at3] = found[n + len(at2) :]
     p1 = (c1 + 1) / (tokens + vocabulary)
     before = np.concatenate([[0.0], c1[:-1]])
     p2 = np.where((place >= 1) & (before > 0), np.minimum(1, c2 / np.maximum(before, 1)), 0)
@@ -140,7 +149,7 @@ def train(docs: DataFrame, base: float = LOG_BASE, bits: int = BITS_PER_ENTRY, h
     ship(spark)
     folder = work_dir(spark, "lm")
     text = docs.select(docs["text"].cast("string").alias("text"))
-    shards = shard_count(text, 5 << 20)
+    shards = shard_count(text, 6 << 20)
 
     def run(batches):
         gather = G.Gather(shards)
@@ -171,15 +180,30 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_words, log_prob (log10, summed), perplexity: a row for each row of docs."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    def finish(held):
+        """Keys of several pieces are probed together: a filter shard is visited once for all of them."""
+        keys = [all_keys(w) for w in (x[1] for x in held)]
+        found = np.split(model.counts(np.concatenate(keys)), np.cumsum([len(k) for k in keys])[:-1])
+        for (ids, w), f in zip(held, found):
+            total = np.concatenate([[0.0], np.cumsum(word_scores(w, f, model.tokens, model.vocabulary))])
+            total = total[w.first[1:]] - total[w.first[:-1]]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                ppl = 10 ** (-total / w.count)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(w.count.astype(np.int64)), pa.array(total), pa.array(ppl, mask=w.count == 0)], names=["doc_id", "n_words", "log_prob", "perplexity"])
+
     def run(batches):
+        held, size = [], 0
         for batch in batches:
             for b in pieces(batch, "text"):
                 w = words(b.column("text"))
-                total = np.concatenate([[0.0], np.cumsum(sentence_scores(w, model.counts, model.tokens, model.vocabulary))])
-                total = total[w.first[1:]] - total[w.first[:-1]]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    ppl = 10 ** (-total / w.count)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(w.count.astype(np.int64)), pa.array(total), pa.array(ppl, mask=w.count == 0)], names=["doc_id", "n_words", "log_prob", "perplexity"])
+                w.buf = w.prefix = w.start = w.end = None
+                held.append((b.column("doc_id"), w))
+                size += len(w.h)
+                if size >= PROBE_WORDS:
+                    yield from finish(held)
+                    held, size = [], 0
+        if held:
+            yield from finish(held)
 
     return docs.select("doc_id", docs["text"].cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_words long, log_prob double, perplexity double")
 
