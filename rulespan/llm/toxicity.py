@@ -123,29 +123,50 @@ def chain_marginals(emit: np.ndarray, first: np.ndarray, trans: np.ndarray, star
     return odds / (1 + odds)
 
 
-def token_labels(w: Words, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(label of each token, observations worth a weight, significant ones)."""
-    total, bad = len(toxic), int(toxic.sum())
-    share = bad / total
-    tied, table = [], []
-    mark = np.zeros(len(w.h), bool)
-    for k, tokens, h in observations(w):
-        doc = w.doc if tokens is None else w.doc[tokens]
-        u, inv = np.unique(h, return_inverse=True)
-        pair = np.unique((inv.astype(np.int64) << 24) | doc)
-        x, d = pair >> 24, pair & ((1 << 24) - 1)
-        n = np.bincount(x, minlength=len(u))
-        t = np.bincount(x, weights=toxic[d], minlength=len(u))
+def association(batch: pa.RecordBatch, toxic: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(observations, documents, toxic documents that have each), by kind, gathered piece by piece."""
+    gathered: list[list] = [[] for _ in KINDS]
+    base = 0
+    for b in pieces(batch, "text"):
+        w = words(b.column("text"))
+        bad = toxic[base : base + b.num_rows]
+        for k, tokens, h in observations(w):
+            doc = w.doc if tokens is None else w.doc[tokens]
+            order = np.lexsort((doc, h))
+            h, doc = h[order], doc[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+            gathered[k].append(_by_key(h[new], np.ones(new.sum(), np.int64), bad[doc[new]]))
+        base += b.num_rows
+    none = (np.empty(0, U), np.empty(0, np.int64), np.empty(0, np.int64))
+    return [_by_key(*(np.concatenate(x) for x in zip(*g))) if g else none for g in gathered]
+
+
+def _by_key(h: np.ndarray, n: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if not len(h):
+        return h, n, t
+    order = np.argsort(h, kind="stable")
+    h = h[order]
+    at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    return h[at], np.add.reduceat(n[order], at), np.add.reduceat(t[order], at)
+
+
+def tied(counts, share: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(observations worth a weight, those significantly tied to toxic documents), by kind, sorted."""
+    out = []
+    for h, n, t in counts:
         c = n - t
         with np.errstate(divide="ignore", invalid="ignore"):
             gain = np.where(t > 0, t * np.log(t / (n * share)), 0) + np.where(c > 0, c * np.log(c / (n * (1 - share))), 0)
-        strong = (gain >= np.log(1 / ALPHA)) & (t / n >= 0.9)
-        table.append(u[(t >= 3) & (t / n >= 0.5)])
-        if k <= len(PREFIXES):
-            tied.append(u[strong])
-            hit = strong[inv] & toxic[doc].astype(bool)
-            mark[np.arange(len(w.h))[hit] if tokens is None else tokens[hit]] = True
-    return mark, np.unique(np.concatenate(table)), np.unique(np.concatenate(tied))
+        mostly = t >= 0.9 * n
+        out.append((h[(t >= 3) & (t >= 0.5 * n)], h[(gain >= np.log(1 / ALPHA)) & mostly]))
+    return out
+
+
+def inside(h: np.ndarray, table: np.ndarray) -> np.ndarray:
+    if not len(table):
+        return np.zeros(len(h), bool)
+    return table[np.minimum(np.searchsorted(table, h), len(table) - 1)] == h
 
 
 def fit(texts: list[str], toxic: np.ndarray, steps: int = 80, rate: float = 0.3, l2: float = 1e-3) -> Field:
@@ -153,19 +174,31 @@ def fit(texts: list[str], toxic: np.ndarray, steps: int = 80, rate: float = 0.3,
     toxic = np.asarray(toxic, np.int64)
     if not len(texts) or toxic.sum() == 0 or toxic.sum() == len(toxic):
         return Field()
-    w = words(pa.array(texts, pa.large_string()))
-    y, keys, _ = token_labels(w, toxic)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["text"])
+    chosen = tied(association(batch, toxic), toxic.mean())
+    keys = np.unique(np.concatenate([x for x, _ in chosen]))
+    model = Field(keys, np.zeros(len(keys)), 0.0)
+    token, which, labels, starts, n, row = [], [], [], [], 0, 0
+    for b in pieces(batch, "text"):
+        w = words(b.column("text"))
+        y = np.zeros(len(w.h), bool)
+        bad = toxic[row : row + b.num_rows].astype(bool)
+        for k, tokens, h in observations(w):
+            at, i = model.find(h)
+            token.append(((at if tokens is None else tokens[at]) + n).astype(np.int32))
+            which.append(i.astype(np.int32))
+            if k <= len(PREFIXES):  # words beside it don't make a token toxic
+                hit = inside(h, chosen[k][1])
+                at = np.flatnonzero(hit) if tokens is None else tokens[hit]
+                y[at[bad[w.doc[at]]]] = True
+        labels.append(y)
+        count = w.count
+        starts += [w.first[:-1][count > k] + k + n for k in range(0, int(count.max(initial=0)), WINDOW)]
+        n, row = n + len(w.h), row + b.num_rows
+    y = np.concatenate(labels)
     if not y.any():
         return Field()
-    model = Field(keys, np.zeros(len(keys)), 0.0)
-    token, which = [], []
-    for _, tokens, h in observations(w):
-        at, i = model.find(h)
-        token.append(at if tokens is None else tokens[at])
-        which.append(i)
-    token, which = np.concatenate(token), np.concatenate(which)
-    n = len(w.h)
-    starts = np.unique(np.concatenate([w.first[:-1][w.count > 0], *([w.first[:-1][w.count > k] + k for k in range(WINDOW, int(w.count.max()) + 1, WINDOW)])]))
+    token, which, starts = np.concatenate(token), np.concatenate(which), np.sort(np.concatenate(starts))
     ends = np.append(starts[1:], n)
     first = np.append(starts, n)
     is_start = np.zeros(n, bool)
