@@ -2,8 +2,8 @@
 
 Labels are given by document, the field needs them by token.  A token of a toxic
 document is labelled toxic if its word, or a prefix of it of 4 to 8 bytes, is
-significantly tied to toxic documents (exact binomial likelihood ratio against
-the share of toxic documents, at ``ALPHA``) and nearly absent from clean ones.
+significantly tied to toxic documents (binomial likelihood ratio against their share, at ``ALPHA``,
+over distinct contexts, so that copies of a document don't count again) and nearly absent from clean ones.
 The field is trained on these tokens, on a bounded sample of labelled documents:
 at most ``max_toxic`` and ``max_clean``, by the order of a hash of doc_id.
 
@@ -123,32 +123,44 @@ def chain_marginals(emit: np.ndarray, first: np.ndarray, trans: np.ndarray, star
     return odds / (1 + odds)
 
 
+def contexts(w: Words) -> np.ndarray:
+    """A hash of the words before and after each word."""
+    h, out = w.h, np.zeros(len(w.h), U)
+    if len(h) > 1:
+        same = w.doc[1:] == w.doc[:-1]
+        out[1:][same] = mix(h[:-1][same] + U(5))
+        out[:-1][same] ^= mix(h[1:][same] + U(6)) * U(3)
+    return out
+
+
 def association(batch: pa.RecordBatch, toxic: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(observations, documents, toxic documents that have each), by kind, gathered piece by piece."""
-    gathered: list[list] = [[] for _ in KINDS]
-    base = 0
-    for b in pieces(batch, "text"):
-        w = words(b.column("text"))
-        bad = toxic[base : base + b.num_rows]
-        for k, tokens, h in observations(w):
-            doc = w.doc if tokens is None else w.doc[tokens]
-            order = np.lexsort((doc, h))
-            h, doc = h[order], doc[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-            gathered[k].append(_by_key(h[new], np.ones(new.sum(), np.int64), bad[doc[new]]))
-        base += b.num_rows
-    none = (np.empty(0, U), np.empty(0, np.int64), np.empty(0, np.int64))
-    return [_by_key(*(np.concatenate(x) for x in zip(*g))) if g else none for g in gathered]
-
-
-def _by_key(h: np.ndarray, n: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    if not len(h):
-        return h, n, t
-    order = np.argsort(h, kind="stable")
-    h = h[order]
-    at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    return h[at], np.add.reduceat(n[order], at), np.add.reduceat(t[order], at)
+    """(observations, contexts that each is in, those only of toxic documents), by kind.
+
+    Contexts are counted and not documents, so that copies of a document count once."""
+    out = []
+    for kind in range(len(KINDS)):
+        hs, cs, bads, base = [], [], [], 0
+        for b in pieces(batch, "text"):
+            w = words(b.column("text"))
+            for k, tokens, h in observations(w):
+                if k == kind:
+                    at = slice(None) if tokens is None else tokens
+                    hs.append(h)
+                    cs.append(contexts(w)[at])
+                    bads.append(toxic[base : base + b.num_rows][w.doc[at]].astype(bool))
+            base += b.num_rows
+        h, c, bad = (np.concatenate(x) for x in (hs, cs, bads)) if hs else (np.empty(0, U), np.empty(0, U), np.empty(0, bool))
+        if not len(h):
+            out.append((h, np.empty(0, np.int64), np.empty(0, np.int64)))
+            continue
+        order = np.lexsort((c, h))
+        h, c, bad = h[order], c[order], bad[order]
+        pair = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])]))
+        only = np.logical_and.reduceat(bad, pair).astype(np.int64)
+        h = h[pair]
+        at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        out.append((h[at], np.diff(np.append(at, len(h))), np.add.reduceat(only, at)))
+    return out
 
 
 def tied(counts, share: float) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -175,7 +187,8 @@ def fit(texts: list[str], toxic: np.ndarray, steps: int = 80, rate: float = 0.3,
     if not len(texts) or toxic.sum() == 0 or toxic.sum() == len(toxic):
         return Field()
     batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["text"])
-    chosen = tied(association(batch, toxic), toxic.mean())
+    counts = association(batch, toxic)
+    chosen = tied(counts, min(max(counts[0][2].sum() / max(counts[0][1].sum(), 1), 0.01), 0.99))
     keys = np.unique(np.concatenate([x for x, _ in chosen]))
     model = Field(keys, np.zeros(len(keys)), 0.0)
     token, which, labels, starts, n, row = [], [], [], [], 0, 0
