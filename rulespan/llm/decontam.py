@@ -1,7 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Terms are the words of the benchmark that at most ``max_item_share`` of its items
-have.  The corpus is cut into passages of ``BLOCK`` words; A is their
+have.  The corpus is cut into passages of ``BLOCK`` words; terms that more than ``max_share`` of them have take no part in
+retrieval (they do in the decision), but for the rarest of each item. A is the passages'
 TF-IDF matrix over the terms, its columns scaled to about one norm (by the root of the
 document frequency), so that its leading singular vectors follow words that keep
 company and not words that are frequent.  One pass over all documents gathers the document
@@ -39,19 +40,31 @@ from rulespan.shared import ship
 BLOCK, WINDOW_BLOCKS, ITEM_WORDS = 32, 3, 64
 RANK, OVERSAMPLE = 256, 32
 COSINE, LCS_SHARE, PARAPHRASE_SHARE, ANSWER_SHARE, TERM_SHARE = 0.5, 0.6, 0.45, 0.75, 0.5
-MAX_ITEM_SHARE, MAX_ITEMS = 0.1, 200_000
+MAX_ITEM_SHARE, MAX_PASSAGE_SHARE, MAX_ITEMS = 0.1, 0.002, 200_000
 LUT_BITS = 20
 TERM_BLOCK = 2048
 
 
 @dataclass
 class Parts:
-    """item: id; tokens: word hashes; content: which are terms."""
+    """item: id of each part; tokens: its word hashes; terms: sorted, those that retrieval uses; content: those that decide."""
 
     item: list
     tokens: list
     terms: np.ndarray
-    lut: np.ndarray
+    content: np.ndarray
+
+    def __post_init__(self):
+        self.lut = np.zeros(1 << LUT_BITS, bool)
+        self.lut[(self.terms >> U(64 - LUT_BITS)).astype(np.int64)] = True
+
+    def rare(self, df: np.ndarray, passages: int, share: float, least: int = 4) -> tuple[Parts, np.ndarray]:
+        """Without the terms that more than this share of passages have; each part keeps its ``least`` rarest. And their df."""
+        keep = df <= share * passages
+        for t in self.tokens:
+            i = np.unique(self.find(t)[1])
+            keep[i[np.argsort(df[i], kind="stable")[:least]]] = True
+        return Parts(self.item, self.tokens, self.terms[keep], self.content), df[keep]
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(self.lut[(h >> U(64 - LUT_BITS)).astype(np.int64)])
@@ -76,7 +89,7 @@ def read_items(benchmark: DataFrame, max_items: int = MAX_ITEMS, max_item_share:
                 item.append(name)
                 tokens.append(part)
     if not tokens:
-        return Parts([], [], np.empty(0, U), np.zeros(1 << LUT_BITS, bool))
+        return Parts([], [], np.empty(0, U), np.empty(0, U))
     owner = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
     u, inv = np.unique(np.concatenate(tokens), return_inverse=True)
     pairs = np.unique(inv.astype(np.int64) * len(tokens) + owner)
@@ -84,10 +97,7 @@ def read_items(benchmark: DataFrame, max_items: int = MAX_ITEMS, max_item_share:
     good = share <= max(2, max_item_share * len(tokens))
     bare = np.bincount(owner, weights=good[inv], minlength=len(tokens)) == 0
     good[inv[bare[owner]]] = True
-    terms = u[good]
-    lut = np.zeros(1 << LUT_BITS, bool)
-    lut[(terms >> U(64 - LUT_BITS)).astype(np.int64)] = True
-    return Parts(item, tokens, terms, lut)
+    return Parts(item, tokens, u[good], u[good])
 
 
 def blocks_of(w, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,11 +141,12 @@ def term_frequencies(docs: DataFrame, parts: Parts) -> tuple[np.ndarray, int]:
     return (np.frombuffer(rows[0].df, np.int64), rows[0].n) if rows else (np.zeros(m, np.int64), 0)
 
 
-def latent_vectors(docs: DataFrame, parts: Parts, rank: int = RANK, oversample: int = OVERSAMPLE) -> np.ndarray:
-    """terms x rank: IDF times the right singular vectors of the corpus' matrix."""
+def latent_vectors(docs: DataFrame, parts: Parts, rank: int = RANK, oversample: int = OVERSAMPLE, max_share: float = MAX_PASSAGE_SHARE) -> tuple[Parts, np.ndarray]:
+    """The parts with the terms that retrieval uses, and terms x rank: IDF times the right singular vectors of the corpus' matrix."""
+    df, n = term_frequencies(docs, parts)
+    parts, df = parts.rare(df, n, max_share)
     m = len(parts.terms)
     width = min(rank + oversample, m)
-    df, n = term_frequencies(docs, parts)
     idf = np.log((1 + n) / (1 + df)) + 1
     scale = (idf / np.sqrt(df + 1)).astype(np.float32)
 
@@ -165,9 +176,9 @@ def latent_vectors(docs: DataFrame, parts: Parts, rank: int = RANK, oversample:
     rows = docs.select(docs["text"].cast("string").alias("text")).mapInArrow(run, ddl).groupBy("k").applyInPandas(add, ddl).collect()
     rows.sort(key=lambda r: r.k)
     if not rows:
-        return np.zeros((m, 1), np.float32)
+        return parts, np.zeros((m, 1), np.float32)
     y = np.concatenate([np.frombuffer(r.y, np.float64).reshape(-1, width) for r in rows])
-    return (idf[:, None] * leading_vectors(y * scale[:, None], test_matrix(m, width), rank)).astype(np.float32)
+    return parts, (idf[:, None] * leading_vectors(y * scale[:, None], test_matrix(m, width), rank)).astype(np.float32)
 
 
 def leading_vectors(y: np.ndarray, omega: np.ndarray, rank: int) -> np.ndarray:
@@ -204,7 +215,8 @@ class Matcher:
         self.parts, self.vectors = parts, vectors
         self.lists = [t.tolist() for t in parts.tokens]
         self.masks = [bit_masks(t) for t in self.lists]
-        terms = set(parts.terms.tolist())
+        terms = set(parts.content.tolist())
+        self.term_sets = [terms & set(x) for x in self.lists]
         self.term_bits = [sum(1 << k for k, t in enumerate(x) if t in terms) for x in self.lists]
         q = np.zeros((len(self.lists), vectors.shape[1]), np.float32)
         for k, t in enumerate(parts.tokens):
@@ -212,6 +224,13 @@ class Matcher:
             q[k] = vectors[i].sum(0)
         self.queries = unit(q)
 
+    def possible(self, k: int, window: set) -> bool:
+        """Could the subsequence have the share of terms that it needs? (Necessary, and cheaper than the subsequence.)"""
+        bits, masks = 0, self.masks[k]
+        for t in self.term_sets[k] & window:
+            bits |= masks[t]
+        return bits.bit_count() >= TERM_SHARE * self.term_bits[k].bit_count()
+
     def verdict(self, k: int, window: list, lcs_share, paraphrase_share, answer_share):
         """(lcs share, answer share) if the window has part k, else None."""
         t = self.lists[k]
@@ -248,12 +267,18 @@ class Matcher:
         total = unit(total)
         for a in range(0, len(total), 4096):
             cos = total[a : a + 4096] @ self.queries.T
-            for x, k in zip(*np.nonzero(cos >= cosine)):
-                x = int(x)
-                r, c = int(row[a + x]), float(cos[x, k])
-                first = int(w.first[r] + (begin[a + x] - base[r]) * BLOCK)
-                end = min(first + WINDOW_BLOCKS * BLOCK, int(w.first[r + 1]))
-                v = self.verdict(int(k), w.h[first:end].tolist(), lcs_share, paraphrase_share, answer_share)
+            last = None
+            for x, k in zip(*(i.tolist() for i in np.nonzero(cos >= cosine))):
+                if x != last:
+                    last, r = x, int(row[a + x])
+                    first = int(w.first[r] + (begin[a + x] - base[r]) * BLOCK)
+                    end = min(first + WINDOW_BLOCKS * BLOCK, int(w.first[r + 1]))
+                    window = w.h[first:end].tolist()
+                    distinct = set(window)
+                if not self.possible(k, distinct):
+                    continue
+                c = float(cos[x, k])
+                v = self.verdict(k, window, lcs_share, paraphrase_share, answer_share)
                 key = (r, self.parts.item[k])
                 if v and (key not in found or found[key][1:3] < v):
                     found[key] = (c, *v, first, end)
@@ -270,7 +295,7 @@ def matcher(docs: DataFrame, benchmark: DataFrame, **options) -> Matcher | None:
     parts = read_items(benchmark)
     if not parts.tokens:
         return None
-    return Matcher(parts, latent_vectors(docs, parts, **options))
+    return Matcher(*latent_vectors(docs, parts, **options))
 
 
 LEAK_DDL = "cosine double, lcs double, answer double, start int, end int"
