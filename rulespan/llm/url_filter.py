@@ -114,6 +114,8 @@ def mark(pages: DataFrame, urls: DigestSet, hosts: DigestSet, name: str = "block
         name += "_"
     form = normal_form(pages["url"].cast("string"))
     extra = [f"{name}_form", f"{name}_host"]
+    while set(extra) & set(pages.columns):
+        extra = [c + "_" for c in extra]
     k, names = len(pages.columns), [*pages.columns, name]
 
     def run(batches):
