@@ -151,11 +151,11 @@ add(
 
 # --- recursion
 
-TC = ".decl tc(a: int64, b: int64)\ntc(X, Y) :- edge(X, Y).\n"
+TC = ".decl tc(a: int64, b: int64)\ntc(A, B) :- edge(A, B).\n"
 TC_SQL = f"with recursive {CHAIN_SQL}, tc as (select a, b from edge union select tc.a, edge.b from tc join edge on tc.b = edge.a) select a, b from tc"
-add("tc_linear", "tc", TC + "tc(X, Z) :- tc(X, Y), edge(Y, Z).", TC_SQL)
-add("tc_nonlinear", "tc", TC + "tc(X, Z) :- tc(X, Y), tc(Y, Z).", TC_SQL)
-add("tc_doubling", "tc", TC + "tc(X, Z) :- tc(X, Y), edge(Y, Z).", TC_SQL, doubling=True)
+add("tc_linear", "tc", TC + "tc(A, C) :- tc(A, B), edge(B, C).", TC_SQL)
+add("tc_nonlinear", "tc", TC + "tc(A, C) :- tc(A, B), tc(B, C).", TC_SQL)
+add("tc_doubling", "tc", TC + "tc(A, C) :- tc(A, B), edge(B, C).", TC_SQL, doubling=True)
 add("reach_from_seed", "r", ".decl r(x: int64)\nr(3).\nr(Y) :- r(X), trade(X, Y).", f"with recursive {TRADE_SQL}, r as (select 3::bigint as x union select b from r join trade on x = a) select x from r")
 add("same_generation", "sg", ".decl sg(x: int64, y: int64)\nsg(X, Y) :- trade(P, X), trade(P, Y), X != Y.\nsg(X, Y) :- trade(A, X), sg(A, B), trade(B, Y).", f"with recursive {TRADE_SQL}, sg as (select x.b as x, y.b as y from trade x join trade y on x.a = y.a and x.b <> y.b union select t.b, u.b from sg join trade t on t.a = sg.x join trade u on u.a = sg.y) select x, y from sg")
 add(
@@ -170,7 +170,7 @@ add("geo_hierarchy", "part_of", '.decl up(a: string, b: string)\nup(cat("c", to_
 
 def magic_reach_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = 0
-    e = engine(spark, sf_dir, ".query tc(b, f) .\n" + TC + "tc(X, Z) :- edge(X, Y), tc(Y, Z).")
+    e = engine(spark, sf_dir, ".query tc(b, f) .\n" + TC + "tc(A, C) :- edge(A, B), tc(B, C).")
     return e.query("tc", {0: first}, "bf")
 
 
@@ -186,8 +186,8 @@ def named_graph_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir)
     triples = e.select("user_id", "event_type", (F.col("user_id") % 7).alias("g"))
     meta = e.select((F.col("user_id") % 7).alias("g")).distinct().select("g", (F.col("g") % 2).alias("tenant"), *[F.lit(0).cast("long").alias(c) for c in ("t", "l", "r", "d")])
-    text = ".decl triple(s: int64, p: string, __graph_id: int64)\n.decl trusted(s: int64, p: string)\ntrusted(S, P) :- triple(S, P, G), __graph_metadata(G, 0, _, _, _, _)."
-    return Engine(spark, text, {"triple": triples, "__graph_metadata": meta}).relation("trusted")
+    text = ".decl quad(s: int64, p: string, __graph_id: int64)\n.decl safe(s: int64, p: string)\nsafe(U, K) :- quad(U, K, H), __graph_metadata(H, 0, _, _, _, _)."
+    return Engine(spark, text, {"quad": triples, "__graph_metadata": meta}).relation("safe")
 
 
 QUERIES["named_graph_filter"] = named_graph_filter
@@ -211,7 +211,7 @@ add("xxh3_hash", "q", ".decl q(p: int64, h: int64)\nq(P, hash(P)) :- part(P, _,
 
 # --- sessions and signed relations
 
-REACH = ".decl edge(a: int64, b: int64)\n.decl reach(a: int64, b: int64)\nreach(X, Y) :- edge(X, Y).\nreach(X, Z) :- reach(X, Y), edge(Y, Z)."
+REACH = ".decl edge(a: int64, b: int64)\n.decl reach(a: int64, b: int64)\nreach(A, B) :- edge(A, B).\nreach(A, C) :- reach(A, B), edge(B, C)."
 
 
 def _session(spark: SparkSession, sf_dir: str) -> tuple[Session, DataFrame, DataFrame]:
