@@ -38,7 +38,7 @@ BLANK[list(b" \t\r\n")] = True
 _FP_TABLE = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
-# --- minimal perfect hash ------------------------------------------------------
+# --- minimal perfect hash
 
 
 def _slot_of(keys: np.ndarray, level: int, size: int) -> np.ndarray:
@@ -82,7 +82,7 @@ def mph_slots(m: dict[str, np.ndarray], keys: np.ndarray) -> np.ndarray:
     return out
 
 
-# --- lines ------------------------------------------------------------------------
+# --- lines
 
 
 class Lines(Words):

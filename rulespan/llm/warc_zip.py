@@ -37,7 +37,7 @@ class BadPackage(ValueError):
     """The file isn't a ZIP file that can be read in place."""
 
 
-# --- writing ------------------------------------------------------------------------
+# --- writing
 
 
 def warc_record(page_id, url: str | None, html: str | None) -> bytes:
@@ -107,7 +107,7 @@ def write_packages(pages: DataFrame, folder: str | None = None, package_bytes: i
     return sorted(r.path for r in chosen.mapInArrow(run, "path string").collect())
 
 
-# --- directories ----------------------------------------------------------------------
+# --- directories
 
 
 @dataclass(frozen=True)
