@@ -37,6 +37,7 @@ MARK = "▁"
 NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[32] = False
 CACHED_WORDS = 600_000
+INDEXED_WORDS = 20_000
 UNSEEN, START, BYTES = -3, -2, -1
 _RAW_TABLE = np.random.default_rng(9).integers(1, 1 << 63, 256, dtype=np.uint64)
 
@@ -145,7 +146,7 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-# --- suffix array ---------------------------------------------------------------
+# --- suffix array
 
 
 def windows8(t: np.ndarray) -> np.ndarray:
@@ -334,7 +335,9 @@ class Encoder:
         new = np.flatnonzero(place < 0)
         if len(new):
             place[new] = self.words + np.arange(len(new))
-            self.add_words(buf, x.start[at[new]], x.end[at[new]])
+            for k in range(0, len(new), INDEXED_WORDS):  # a text of bounded size is indexed at once
+                some = at[new[k : k + INDEXED_WORDS]]
+                self.add_words(buf, x.start[some], x.end[some])
             self.place.update(zip(u[new].tolist(), place[new].tolist()))
         place = place[inv]
         # marks before each word; the text begins with one of its own

@@ -150,6 +150,7 @@ def association(batch: pa.RecordBatch, toxic: np.ndarray) -> list[tuple[np.ndarr
                     bads.append(toxic[base : base + b.num_rows][w.doc[at]].astype(bool))
             base += b.num_rows
         h, c, bad = (np.concatenate(x) for x in (hs, cs, bads)) if hs else (np.empty(0, U), np.empty(0, U), np.empty(0, bool))
+        del hs, cs, bads
         if not len(h):
             out.append((h, np.empty(0, np.int64), np.empty(0, np.int64)))
             continue
@@ -191,27 +192,29 @@ def fit(texts: list[str], toxic: np.ndarray, steps: int = 80, rate: float = 0.3,
     chosen = tied(counts, min(max(counts[0][2].sum() / max(counts[0][1].sum(), 1), 0.01), 0.99))
     keys = np.unique(np.concatenate([x for x, _ in chosen]))
     model = Field(keys, np.zeros(len(keys)), 0.0)
-    token, which, labels, starts, n, row = [], [], [], [], 0, 0
+    hits, labels, starts, n, row = [], [], [], 0, 0  # hits: first token of a piece, tokens, (token, key) pairs
     for b in pieces(batch, "text"):
         w = words(b.column("text"))
         y = np.zeros(len(w.h), bool)
         bad = toxic[row : row + b.num_rows].astype(bool)
+        token, which = [], []
         for k, tokens, h in observations(w):
             at, i = model.find(h)
-            token.append(((at if tokens is None else tokens[at]) + n).astype(np.int32))
+            token.append((at if tokens is None else tokens[at]).astype(np.int32))
             which.append(i.astype(np.int32))
             if k <= len(PREFIXES):  # words beside it don't make a token toxic
                 hit = inside(h, chosen[k][1])
                 at = np.flatnonzero(hit) if tokens is None else tokens[hit]
                 y[at[bad[w.doc[at]]]] = True
         labels.append(y)
+        hits.append((n, len(w.h), np.concatenate(token), np.concatenate(which)))
         count = w.count
         starts += [w.first[:-1][count > k] + k + n for k in range(0, int(count.max(initial=0)), WINDOW)]
         n, row = n + len(w.h), row + b.num_rows
     y = np.concatenate(labels)
     if not y.any():
         return Field()
-    token, which, starts = np.concatenate(token), np.concatenate(which), np.sort(np.concatenate(starts))
+    starts = np.sort(np.concatenate(starts))
     ends = np.append(starts[1:], n)
     first = np.append(starts, n)
     is_start = np.zeros(n, bool)
@@ -224,10 +227,15 @@ def fit(texts: list[str], toxic: np.ndarray, steps: int = 80, rate: float = 0.3,
     m1, m2 = np.zeros_like(p), np.zeros_like(p)
     for step in range(1, steps + 1):
         weights, bias, trans, start = p[: len(keys)], p[len(keys)], p[len(keys) + 1 : len(keys) + 5].reshape(2, 2), p[-1]
-        emit = bias + np.bincount(token, weights[which], n)
+        emit = np.full(n, bias)
+        for a, size, token, which in hits:
+            emit[a : a + size] += np.bincount(token, weights[which], size)
         marg, pair = _window_posteriors(emit, first, trans, start, inner)
         rest = y - marg
-        g = np.concatenate([np.bincount(which, rest[token], len(keys)), [rest.sum()], (seen - pair).ravel(), [rest[starts].sum()]])
+        by_key = np.zeros(len(keys))
+        for a, size, token, which in hits:
+            by_key += np.bincount(which, rest[a : a + size][token], len(keys))
+        g = np.concatenate([by_key, [rest.sum()], (seen - pair).ravel(), [rest[starts].sum()]])
         g -= l2 * len(ends) * 0.01 * p
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         p = p + rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
