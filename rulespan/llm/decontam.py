@@ -33,16 +33,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from rulespan.llm.text import U, pieces, words
-from rulespan.shared import ship
+from rulespan.shared import input_bytes, ship
 
 BLOCK, WINDOW_BLOCKS, ITEM_WORDS = 32, 3, 64
 RANK, OVERSAMPLE = 256, 32
 COSINE, LCS_SHARE, PARAPHRASE_SHARE, ANSWER_SHARE, TERM_SHARE = 0.5, 0.6, 0.45, 0.75, 0.5
 MAX_ITEM_SHARE, MAX_PASSAGE_SHARE, MAX_ITEMS = 0.1, 0.002, 200_000
 LUT_BITS = 20
-TERM_BLOCK = 2048
+TERM_BLOCK = 128
 
 
 @dataclass
@@ -117,6 +118,29 @@ def test_matrix(terms: int, width: int) -> np.ndarray:
     return np.random.default_rng(5).standard_normal((terms, width), np.float32)
 
 
+def summed(rows: DataFrame, kind, source: DataFrame) -> dict[int, np.ndarray]:
+    """Sums of the arrays in (k, part, a binary) by k, over two levels, so that no task reads those of all partitions."""
+    salts = max(1, int(min(input_bytes(source) >> 25, 1 << 20) ** 0.5))  # of about so many partitions, the root
+
+    def add(key, pdf):
+        import pandas as pd
+
+        total = np.zeros(len(pdf["a"].iloc[0]) // np.dtype(kind).itemsize, kind)
+        for x in pdf["a"]:
+            total += np.frombuffer(x, kind)
+        return pd.DataFrame([{"k": int(key[0]), "part": 0, "a": total.tobytes()}])
+
+    ddl = "k long, part long, a binary"
+    once = rows.groupBy("k", F.pmod("part", F.lit(salts)).alias("salt")).applyInPandas(add, ddl)
+    return {r.k: np.frombuffer(r.a, kind) for r in once.groupBy("k").applyInPandas(add, ddl).collect()}
+
+
+def part_id() -> int:
+    from pyspark import TaskContext
+
+    return TaskContext.get().partitionId()
+
+
 def term_frequencies(docs: DataFrame, parts: Parts) -> tuple[np.ndarray, int]:
     """(passages that have each term, passages) over all documents."""
     m = len(parts.terms)
@@ -130,15 +154,11 @@ def term_frequencies(docs: DataFrame, parts: Parts) -> tuple[np.ndarray, int]:
                 block, base = blocks_of(w, at)
                 n += int(base[-1])
                 df += np.bincount(np.unique(block * m + i) % m, minlength=m)
-        yield pa.RecordBatch.from_arrays([pa.array([df.tobytes()], pa.binary()), pa.array([n])], names=["df", "n"])
-
-    def add(pdf):
-        import pandas as pd
-
-        return pd.DataFrame([{"df": sum(np.frombuffer(x, np.int64) for x in pdf["df"]).tobytes(), "n": int(pdf["n"].sum())}])
+        yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([part_id()]), pa.array([np.append(df, n).tobytes()], pa.binary())], names=["k", "part", "a"])
 
-    rows = docs.select(docs["text"].cast("string").alias("text")).mapInArrow(run, "df binary, n long").groupBy().applyInPandas(add, "df binary, n long").collect()
-    return (np.frombuffer(rows[0].df, np.int64), rows[0].n) if rows else (np.zeros(m, np.int64), 0)
+    text = docs.select(docs["text"].cast("string").alias("text"))
+    got = summed(text.mapInArrow(run, "k long, part long, a binary"), np.int64, text)
+    return (got[0][:-1], int(got[0][-1])) if got else (np.zeros(m, np.int64), 0)
 
 
 def latent_vectors(docs: DataFrame, parts: Parts, rank: int = RANK, oversample: int = OVERSAMPLE, max_share: float = MAX_PASSAGE_SHARE) -> tuple[Parts, np.ndarray]:
@@ -165,19 +185,13 @@ def latent_vectors(docs: DataFrame, parts: Parts, rank: int = RANK, oversample:
                 t, s = sum_by(i[order], p[np.searchsorted(ids, block[order])])
                 y[t] += s
         for k in range(0, m, TERM_BLOCK):
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([y[k : k + TERM_BLOCK].tobytes()], pa.binary())], names=["k", "y"])
-
-    def add(key, pdf):
-        import pandas as pd
-
-        return pd.DataFrame([{"k": int(key[0]), "y": sum(np.frombuffer(x, np.float32).astype(np.float64) for x in pdf["y"]).tobytes()}])
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([part_id()]), pa.array([y[k : k + TERM_BLOCK].astype(np.float64).tobytes()], pa.binary())], names=["k", "part", "a"])
 
-    ddl = "k long, y binary"
-    rows = docs.select(docs["text"].cast("string").alias("text")).mapInArrow(run, ddl).groupBy("k").applyInPandas(add, ddl).collect()
-    rows.sort(key=lambda r: r.k)
-    if not rows:
+    text = docs.select(docs["text"].cast("string").alias("text"))
+    got = summed(text.mapInArrow(run, "k long, part long, a binary"), np.float64, text)
+    if not got:
         return parts, np.zeros((m, 1), np.float32)
-    y = np.concatenate([np.frombuffer(r.y, np.float64).reshape(-1, width) for r in rows])
+    y = np.concatenate([got[k].reshape(-1, width) for k in sorted(got)])
     return parts, (idf[:, None] * leading_vectors(y * scale[:, None], test_matrix(m, width), rank)).astype(np.float32)
 
 
