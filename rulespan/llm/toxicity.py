@@ -245,16 +245,19 @@ def fit(texts: list[str], toxic: np.ndarray, steps: int = 80, rate: float = 0.3,
 
 def _window_posteriors(emit, first, trans, start, inner):
     """Marginals, and expected transitions in all."""
-    size = np.diff(first)
-    marg = chain_marginals(emit, first, trans, start)
-    # P(a, b) of neighbours from the forward ratio and the backward one
     e = np.exp(np.clip(emit, -60, 60))
-    fwd, bwd = _messages(e, first, size, trans, start)
-    a, b = fwd[:-1][inner], (e * bwd)[1:][inner]
-    m = np.exp(trans)
-    w = np.stack([np.full(len(a), m[0, 0]), m[0, 1] * b, m[1, 0] * a, m[1, 1] * a * b])
-    w /= w.sum(0)
-    return marg, w.sum(1).reshape(2, 2)
+    fwd, bwd = _messages(e, first, np.diff(first), trans, start)
+    m, pair = np.exp(trans), np.zeros(4)
+    for k in range(0, len(inner), 1 << 18):  # P(a, b) of neighbours, from the ratios before and after
+        some = slice(k, k + (1 << 18))
+        keep = inner[some]
+        a, b = fwd[:-1][some][keep], (e[1:][some] * bwd[1:][some])[keep]
+        w = np.stack([np.full(len(a), m[0, 0]), m[0, 1] * b, m[1, 0] * a, m[1, 1] * a * b])
+        pair += (w / w.sum(0)).sum(1)
+    del e
+    fwd *= bwd
+    bwd = fwd + 1
+    return np.divide(fwd, bwd, out=fwd), pair.reshape(2, 2)
 
 
 def _messages(e, first, size, trans, start):
