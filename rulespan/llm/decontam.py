@@ -11,7 +11,10 @@ from which the driver takes the leading right singular vectors (randomised SVD i
 form): work of the size terms x rank, whatever the corpus.
 
 A third pass projects windows of WINDOW_BLOCKS blocks, each a block after the
-other, and compares every one with every item by cosine.  Candidates are decided by the longest common
+other, and compares every one with every item by cosine.  A window dilutes short items, so that
+the cosine alone misses some; besides, every window is a candidate that can have ``TERM_SHARE`` of an item's terms,
+found by the terms that are rarest in the corpus: nothing that the decision would accept is left out
+(prefix filtering).  Candidates are decided by the longest common
 subsequence of words, over the window's words and the item's: a leak if it covers ``lcs_share``
 of the item; a paraphrase if it covers ``paraphrase_share`` and the answer - the last quarter
 of the item, four words at least - is there by ``answer_share``. In either case half the
@@ -28,6 +31,7 @@ pass through ``drop_contaminated`` and are ignored elsewhere.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,16 +48,18 @@ COSINE, LCS_SHARE, PARAPHRASE_SHARE, ANSWER_SHARE, TERM_SHARE = 0.5, 0.6, 0.45,
 MAX_ITEM_SHARE, MAX_PASSAGE_SHARE, MAX_ITEMS = 0.1, 0.002, 200_000
 LUT_BITS = 20
 TERM_BLOCK = 128
+MORE, POSTINGS = 4, 1 << 20
 
 
 @dataclass
 class Parts:
-    """item: id of each part; tokens: its word hashes; terms: sorted, those that retrieval uses; content: those that decide."""
+    """item: id of each part; tokens: its word hashes; terms: sorted, those that retrieval uses; content: those that decide, and their df."""
 
     item: list
     tokens: list
     terms: np.ndarray
     content: np.ndarray
+    df: np.ndarray | None = None
 
     def __post_init__(self):
         self.lut = np.zeros(1 << LUT_BITS, bool)
@@ -65,15 +71,84 @@ class Parts:
         for t in self.tokens:
             i = np.unique(self.find(t)[1])
             keep[i[np.argsort(df[i], kind="stable")[:least]]] = True
-        return Parts(self.item, self.tokens, self.terms[keep], self.content), df[keep]
+        return Parts(self.item, self.tokens, self.terms[keep], self.content, df), df[keep]
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.flatnonzero(self.lut[(h >> U(64 - LUT_BITS)).astype(np.int64)])
-        if not len(at):
-            return at, at
-        i = np.minimum(np.searchsorted(self.terms, h[at]), len(self.terms) - 1)
-        hit = self.terms[i] == h[at]
-        return at[hit], i[hit]
+        return find(self.terms, self.lut, h)
+
+
+def find(terms: np.ndarray, lut: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where h has a term, which one)."""
+    at = np.flatnonzero(lut[(h >> U(64 - LUT_BITS)).astype(np.int64)])
+    if not len(at):
+        return at, at
+    i = np.minimum(np.searchsorted(terms, h[at]), len(terms) - 1)
+    hit = terms[i] == h[at]
+    return at[hit], i[hit]
+
+
+class Prefixes:
+    """By each part's rarest content terms: the windows that can have TERM_SHARE of its content positions.
+
+    Of c positions the window must have ``need``; the index holds the rarest terms that take up c - need + more positions or all,
+    and a window without ``least`` of those cannot have the share."""
+
+    def __init__(self, parts: Parts, more: int = MORE):
+        term, part, weight = [], [], []
+        self.least = np.zeros(len(parts.tokens), np.int64)
+        rank = np.argsort(np.argsort(np.zeros(len(parts.content)) if parts.df is None else parts.df, kind="stable"), kind="stable")
+        for k, t in enumerate(parts.tokens):
+            i = np.minimum(np.searchsorted(parts.content, t), len(parts.content) - 1)
+            i, n = np.unique(i[parts.content[i] == t], return_counts=True)
+            order = np.argsort(rank[i])
+            i, n = i[order], n[order]
+            held, c = np.cumsum(n), int(n.sum())
+            need = max(1, math.ceil(TERM_SHARE * c))
+            m = int(np.searchsorted(held, min(c, c - need + more))) + 1
+            i, n, held = i[:m], n[:m], int(held[m - 1])
+            self.least[k] = need - (c - held)
+            term.append(i)
+            part.append(np.full(len(i), k))
+            weight.append(n)
+        term, part, weight = (np.concatenate(x) for x in (term, part, weight))
+        order = np.argsort(term, kind="stable")
+        used, first = np.unique(term[order], return_index=True)
+        self.terms, self.first = parts.content[used], np.append(first, len(order))
+        self.part, self.weight = part[order], weight[order]
+        self.lut = np.zeros(1 << LUT_BITS, bool)
+        self.lut[(self.terms >> U(64 - LUT_BITS)).astype(np.int64)] = True
+
+    def windows(self, w) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first block of the window, part) of each candidate, in order, and the first block of each row."""
+        at, i = find(self.terms, self.lut, w.h)
+        block, base = blocks_of(w, at)
+        key = np.unique(block * len(self.terms) + i)
+        block, i = key // max(1, len(self.terms)), key % max(1, len(self.terms))
+        many = np.cumsum(self.first[i + 1] - self.first[i])
+        got, lo, n = [np.empty(0, np.int64)], 0, len(self.least)
+        while len(block) and lo <= block[-1]:  # windows that begin in the blocks lo to hi, of about so many postings
+            x = int(np.searchsorted(block, lo))
+            y = min(int(np.searchsorted(many, (many[x - 1] if x else 0) + POSTINGS)), len(block) - 1)
+            hi = max(lo, int(block[y]))
+            x, y = np.searchsorted(block, [lo, hi + WINDOW_BLOCKS])
+            got.append(self._pairs(block[x:y], i[x:y], base, n, lo, hi))
+            lo = hi + 1
+        pairs = np.concatenate(got)
+        return pairs // n, pairs % n, base
+
+    def _pairs(self, block, i, base, n, lo, hi) -> np.ndarray:
+        count = self.first[i + 1] - self.first[i]
+        at = np.repeat(self.first[i] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+        key, weight = self.part[at] + np.repeat(block, count) * n, self.weight[at]
+        start = np.repeat(base[np.searchsorted(base, block, "right") - 1], count)
+        block = np.repeat(block, count)
+        keys, weights = [], []
+        for k in range(WINDOW_BLOCKS):
+            ok = (block - k >= np.maximum(start, lo)) & (block - k <= hi)
+            keys.append(key[ok] - k * n)
+            weights.append(weight[ok])
+        key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        return key[np.bincount(inverse, np.concatenate(weights), len(key)) >= self.least[key % n]]
 
 
 def read_items(benchmark: DataFrame, max_items: int = MAX_ITEMS, max_item_share: float = MAX_ITEM_SHARE) -> Parts:
@@ -237,6 +312,7 @@ class Matcher:
             _, i = parts.find(t)
             q[k] = vectors[i].sum(0)
         self.queries = unit(q)
+        self.prefixes = Prefixes(parts)
 
     def possible(self, k: int, window: set) -> bool:
         """Could the subsequence have the share of terms that it needs? (Necessary, and cheaper than the subsequence.)"""
@@ -263,26 +339,31 @@ class Matcher:
     def search(self, batch: pa.RecordBatch, cosine=COSINE, lcs_share=LCS_SHARE, paraphrase_share=PARAPHRASE_SHARE, answer_share=ANSWER_SHARE):
         """{(row, item): (cosine, lcs, answer, first word, end)} of the best window of each."""
         w = words(batch.column("text"))
-        at, i = self.parts.find(w.h)
         found: dict = {}
-        if not len(at):
-            return w, found
-        block, base = blocks_of(w, at)
-        ids, s = sum_by(block, self.vectors[i])
-        row_of = np.searchsorted(base, ids, "right") - 1
-        # windows that begin at most WINDOW_BLOCKS - 1 blocks before a block that has terms
-        begin = np.unique(np.concatenate([np.maximum(ids - k, base[row_of]) for k in range(WINDOW_BLOCKS)]))
+        exact, part, base = self.prefixes.windows(w)
+        at, i = self.parts.find(w.h)
+        ids, begin, s = np.empty(0, np.int64), exact, np.empty((0, self.vectors.shape[1]), np.float32)
+        if len(at):
+            ids, s = sum_by(blocks_of(w, at)[0], self.vectors[i])
+            row_of = np.searchsorted(base, ids, "right") - 1
+            # windows that begin at most WINDOW_BLOCKS - 1 blocks before a block that has terms
+            begin = np.concatenate([exact, *(np.maximum(ids - k, base[row_of]) for k in range(WINDOW_BLOCKS))])
+        begin = np.unique(begin)
         row = np.searchsorted(base, begin, "right") - 1
         total = np.zeros((len(begin), s.shape[1]), np.float32)
-        for k in range(WINDOW_BLOCKS):
+        for k in range(WINDOW_BLOCKS if len(ids) else 0):
             j = np.minimum(np.searchsorted(ids, begin + k), len(ids) - 1)
             hit = (ids[j] == begin + k) & (begin + k < base[row + 1])
             total[hit] += s[j[hit]]
         total = unit(total)
+        exact = np.searchsorted(begin, exact)
         for a in range(0, len(total), 4096):
             cos = total[a : a + 4096] @ self.queries.T
+            candidate = cos >= cosine
+            x, y = np.searchsorted(exact, [a, a + 4096])
+            candidate[exact[x:y] - a, part[x:y]] = True
             last = None
-            for x, k in zip(*(i.tolist() for i in np.nonzero(cos >= cosine))):
+            for x, k in zip(*(i.tolist() for i in np.nonzero(candidate))):
                 if x != last:
                     last, r = x, int(row[a + x])
                     first = int(w.first[r] + (begin[a + x] - base[r]) * BLOCK)

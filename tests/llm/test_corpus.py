@@ -233,6 +233,40 @@ def test_leaks(spark, odd, clashing, empty):
         D.read_items(bench, max_items=3)
 
 
+def cut_items(rng, docs, lengths, each):
+    """Items cut word for word from documents: (item_id, text), and the (doc_id, item_id) of their sources."""
+    items, planted = [], set()
+    for n in lengths:
+        for _ in range(each):
+            i, t = rng.choice(docs)
+            w = t.split()
+            at = rng.randrange(len(w) - n + 1)
+            planted.add((i, len(items)))
+            items.append((len(items), " ".join(w[at : at + n])))
+    return items, planted
+
+
+def test_leaks_of_every_item_length_against_all_windows(spark):
+    rng = random.Random(21)
+    docs = [(k, prose(rng, rng.randrange(70, 400))) for k in range(60)] + [(60, ""), (61, "alpha1")]
+    items, planted = cut_items(rng, docs[:60], (1, 2, 4, 7, 11, 15, 19, 24, 40, 64), 8)
+    items.append((len(items), prose(rng, 150)))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    parts = D.read_items(bench)
+    m = D.Matcher(parts, np.zeros((len(parts.terms), 1), np.float32))
+    want = {}
+    for i, t in docs:
+        h = T.words(pa.array([t])).h
+        for at in range(0, len(h), D.BLOCK):
+            window = h[at : at + D.WINDOW_BLOCKS * D.BLOCK].tolist()
+            for k, item in enumerate(parts.item):
+                if v := m.verdict(k, window, D.LCS_SHARE, D.PARAPHRASE_SHARE, D.ANSWER_SHARE):
+                    want[i, item] = max(want.get((i, item), v), v)
+    assert planted <= set(want)
+    assert {(r.doc_id, r.item_id): (r.lcs, r.answer) for r in D.leaks(df, bench).collect()} == want
+    assert {r.doc_id for r in D.drop_contaminated(df, bench).collect()} == {i for i, _ in docs} - {i for i, _ in want}
+
+
 def test_lcs_and_singular_vectors():
     rng = random.Random(1)
     for _ in range(50):
