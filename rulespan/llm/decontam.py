@@ -21,8 +21,8 @@ of the item, four words at least - is there by ``answer_share``. In either case
 item's terms must be in the subsequence, so that function words alone never decide.
 
 Items of more than ITEM_WORDS words are cut into equal parts, each searched as an item;
-a leak of a part is one of the item.  The items are held by every worker: their number
-is checked against ``max_items``.
+a leak of a part is one of the item.  The items are held by every worker: more than
+``max_items`` are searched in batches of about so many, all rows of an item in one; which terms count is settled over all of them.
 
 Defined cases: null and empty texts and items match nothing; items without a
 term of their own keep all their words as terms; repeated rows give their rows each; further columns
@@ -32,7 +32,9 @@ pass through ``drop_contaminated`` and are ignored elsewhere.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rulespan.llm.text import U, pieces, words
-from rulespan.shared import input_bytes, ship
+from rulespan.shared import input_bytes, read_parquet_dir, remove_dir, ship, work_dir
 
 BLOCK, WINDOW_BLOCKS, ITEM_WORDS = 32, 3, 64
 RANK, OVERSAMPLE = 256, 32
@@ -49,6 +51,7 @@ MAX_ITEM_SHARE, MAX_PASSAGE_SHARE, MAX_ITEMS = 0.1, 0.002, 200_000
 LUT_BITS = 20
 TERM_BLOCK = 128
 MORE, POSTINGS = 4, 1 << 20
+COSINES, MADE = 1 << 22, 10_000
 
 
 @dataclass
@@ -151,23 +154,34 @@ class Prefixes:
         return key[np.bincount(inverse, np.concatenate(weights), len(key)) >= self.least[key % n]]
 
 
-def read_items(benchmark: DataFrame, max_items: int = MAX_ITEMS, max_item_share: float = MAX_ITEM_SHARE) -> Parts:
-    rows = benchmark.select("item_id", benchmark["text"].cast("string").alias("text")).filter("text is not null").limit(max_items + 1).toArrow()
-    if rows.num_rows > max_items:
-        raise ValueError(f"more than {max_items} benchmark items: raise max_items, or search in several runs")
+def cut(t: np.ndarray) -> list:
+    return np.array_split(t, -(-len(t) // ITEM_WORDS)) if len(t) else []
+
+
+def item_texts(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select("item_id", benchmark["text"].cast("string").alias("text")).filter("text is not null")
+
+
+def read_items(benchmark: DataFrame, max_items: int | None = MAX_ITEMS, max_item_share: float = MAX_ITEM_SHARE, common: np.ndarray | None = None) -> Parts:
+    """common: the words that aren't terms, where benchmark is a batch of the items."""
+    rows = item_texts(benchmark)
+    rows = (rows if max_items is None else rows.limit(max_items + 1)).toArrow()
+    if max_items is not None and rows.num_rows > max_items:
+        raise ValueError(f"more than {max_items} benchmark items: raise max_items, or search in batches")
     item, tokens = [], []
     ids = rows.column("item_id").to_pylist()
     w = words(rows.column("text")) if rows.num_rows else None
     for k, name in enumerate(ids):
-        t = w.h[w.first[k] : w.first[k + 1]]
-        if len(t):
-            for part in np.array_split(t, -(-len(t) // ITEM_WORDS)):
-                item.append(name)
-                tokens.append(part)
+        for part in cut(w.h[w.first[k] : w.first[k + 1]]):
+            item.append(name)
+            tokens.append(part)
     if not tokens:
         return Parts([], [], np.empty(0, U), np.empty(0, U))
     owner = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
     u, inv = np.unique(np.concatenate(tokens), return_inverse=True)
+    if common is not None:
+        good = ~np.isin(u, common)
+        return Parts(item, tokens, u[good], u[good])
     pairs = np.unique(inv.astype(np.int64) * len(tokens) + owner)
     share = np.bincount(pairs // len(tokens), minlength=len(u))
     good = share <= max(2, max_item_share * len(tokens))
@@ -176,6 +190,45 @@ def read_items(benchmark: DataFrame, max_items: int = MAX_ITEMS, max_item_share:
     return Parts(item, tokens, u[good], u[good])
 
 
+def common_words(benchmark: DataFrame, max_item_share: float = MAX_ITEM_SHARE) -> np.ndarray:
+    """The words that read_items leaves out of the terms, over any number of items. At most ITEM_WORDS / max_item_share come to the driver."""
+
+    def over_parts(of):
+        def run(batches):
+            for batch in batches:
+                for b in pieces(batch, "text"):
+                    w = words(b.column("text"))
+                    h, n = of([p for k in range(w.rows) for p in cut(w.h[w.first[k] : w.first[k + 1]])])
+                    yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(n, pa.int64())], names=["h", "n"])
+
+        return item_texts(benchmark).select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+    def shares(parts):
+        u, n = np.unique(np.concatenate([np.unique(p) for p in parts] or [np.empty(0, U)]), return_counts=True)
+        return [None, *u.view(np.int64).tolist()], [len(parts), *n.tolist()]
+
+    counts = over_parts(shares)
+    total = counts.filter("h is null").collect()[0].n
+    often = np.array([r.h for r in counts.filter(F.col("h").isNotNull() & (F.col("n") > max(2, max_item_share * total))).collect()], np.int64).view(U)
+
+    def bare(parts):
+        h = np.unique(np.concatenate([p for p in parts if np.isin(p, often).all()] or [np.empty(0, U)]))
+        return h.view(np.int64).tolist(), [1] * len(h)
+
+    return np.setdiff1d(often, np.array([r.h for r in over_parts(bare).collect()], np.int64).view(U))
+
+
+def item_batches(benchmark: DataFrame, max_items: int):
+    """The parts of all items, in batches of about max_items; an item's rows are in one."""
+    batches = -(-item_texts(benchmark).count() // max_items)
+    if batches <= 1:
+        yield read_items(benchmark, max_items)
+        return
+    common = common_words(benchmark)
+    for k in range(batches):
+        yield read_items(benchmark.filter(F.pmod(F.xxhash64("item_id"), F.lit(batches)) == k), None, common=common)
+
+
 def blocks_of(w, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(block of each word in at, first block of each row and the end)."""
     per = -(-w.count // BLOCK)
@@ -302,32 +355,39 @@ def bit_masks(tokens: list) -> dict:
 class Matcher:
     def __init__(self, parts: Parts, vectors: np.ndarray):
         self.parts, self.vectors = parts, vectors
-        self.lists = [t.tolist() for t in parts.tokens]
-        self.masks = [bit_masks(t) for t in self.lists]
-        terms = set(parts.content.tolist())
-        self.term_sets = [terms & set(x) for x in self.lists]
-        self.term_bits = [sum(1 << k for k, t in enumerate(x) if t in terms) for x in self.lists]
-        q = np.zeros((len(self.lists), vectors.shape[1]), np.float32)
+        self.made: dict = {}
+        q = np.zeros((len(parts.tokens), vectors.shape[1]), np.float32)
         for k, t in enumerate(parts.tokens):
             _, i = parts.find(t)
             q[k] = vectors[i].sum(0)
         self.queries = unit(q)
         self.prefixes = Prefixes(parts)
 
+    def part(self, k: int) -> tuple[list, dict, set, int]:
+        """Words, their masks, content terms and the bits of those, made when they are asked for."""
+        if (got := self.made.get(k)) is None:
+            if len(self.made) >= MADE:
+                self.made.clear()
+            t = self.parts.tokens[k]
+            terms = np.isin(t, self.parts.content[np.minimum(np.searchsorted(self.parts.content, t), len(self.parts.content) - 1)])
+            got = self.made[k] = t.tolist(), bit_masks(t.tolist()), set(t[terms].tolist()), sum(1 << int(i) for i in np.flatnonzero(terms))
+        return got
+
     def possible(self, k: int, window: set) -> bool:
         """Could the subsequence have the share of terms that it needs? (Necessary, and cheaper than the subsequence.)"""
-        bits, masks = 0, self.masks[k]
-        for t in self.term_sets[k] & window:
+        _, masks, terms, term_bits = self.part(k)
+        bits = 0
+        for t in terms & window:
             bits |= masks[t]
-        return bits.bit_count() >= TERM_SHARE * self.term_bits[k].bit_count()
+        return bits.bit_count() >= TERM_SHARE * term_bits.bit_count()
 
     def verdict(self, k: int, window: list, lcs_share, paraphrase_share, answer_share):
         """(lcs share, answer share) if the window has part k, else None."""
-        t = self.lists[k]
+        t, masks, _, term_bits = self.part(k)
         n = len(t)
-        bits = lcs(self.masks[k], (1 << n) - 1, window)
+        bits = lcs(masks, (1 << n) - 1, window)
         share = bits.bit_count() / n
-        if share < min(lcs_share, paraphrase_share) or (bits & self.term_bits[k]).bit_count() < TERM_SHARE * self.term_bits[k].bit_count():
+        if share < min(lcs_share, paraphrase_share) or (bits & term_bits).bit_count() < TERM_SHARE * term_bits.bit_count():
             return None
         last = max(4, n // 4)
         tail = t[-last:]
@@ -357,10 +417,11 @@ class Matcher:
             total[hit] += s[j[hit]]
         total = unit(total)
         exact = np.searchsorted(begin, exact)
-        for a in range(0, len(total), 4096):
-            cos = total[a : a + 4096] @ self.queries.T
+        step = max(1, min(4096, COSINES // len(self.queries)))
+        for a in range(0, len(total), step):
+            cos = total[a : a + step] @ self.queries.T
             candidate = cos >= cosine
-            x, y = np.searchsorted(exact, [a, a + 4096])
+            x, y = np.searchsorted(exact, [a, a + step])
             candidate[exact[x:y] - a, part[x:y]] = True
             last = None
             for x, k in zip(*(i.tolist() for i in np.nonzero(candidate))):
@@ -385,26 +446,24 @@ def unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, n, out=np.zeros_like(x), where=n > 1e-12)
 
 
-def matcher(docs: DataFrame, benchmark: DataFrame, **options) -> Matcher | None:
-    ship(docs.sparkSession)
-    parts = read_items(benchmark)
-    if not parts.tokens:
-        return None
-    return Matcher(*latent_vectors(docs, parts, **options))
+def matchers(docs: DataFrame, parts: Iterable[Parts], **options) -> Iterator[Matcher]:
+    return (Matcher(*latent_vectors(docs, p, **options)) for p in parts if p.tokens)
 
 
 LEAK_DDL = "cosine double, lcs double, answer double, start int, end int"
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, max_items: int = MAX_ITEMS) -> DataFrame:
     """doc_id, item_id, cosine, lcs, answer, and start and end of the window in characters: a row for each document and item that it has."""
     kind, item = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     ddl = f"doc_id {kind}, item_id {item}, {LEAK_DDL}"
-    m = matcher(docs, benchmark)
-    if m is None:
-        return docs.sparkSession.createDataFrame([], ddl)
-    shared = docs.sparkSession.sparkContext.broadcast(m)
+    ship(docs.sparkSession)
+    text = docs.select("doc_id", docs["text"].cast("string").alias("text"))
+    found = [text.mapInArrow(leak_rows(docs.sparkSession.sparkContext.broadcast(m), item), ddl) for m in matchers(docs, item_batches(benchmark, max_items))]
+    return reduce(DataFrame.unionAll, found) if found else docs.sparkSession.createDataFrame([], ddl)
+
 
+def leak_rows(shared, item: str):
     def run(batches):
         from rulespan.llm.toxicity import char_positions
 
@@ -424,16 +483,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 end = chars[w.end[[x[4] - 1 for x in v]]] - base
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(rows)), pa.array([k[1] for k in keys], item_type), *(pa.array([x[j] for x in v]) for j in range(3)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["doc_id", "item_id", "cosine", "lcs", "answer", "start", "end"])
 
-    return docs.select("doc_id", docs["text"].cast("string").alias("text")).mapInArrow(run, ddl)
+    return run
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, max_items: int = MAX_ITEMS) -> DataFrame:
     """docs without those that have an item; columns are those of docs."""
-    m = matcher(docs, benchmark)
-    if m is None:
-        return docs
-    shared, at = docs.sparkSession.sparkContext.broadcast(m), docs.columns.index("text")
-
+    ship(docs.sparkSession)
+    at, last = docs.columns.index("text"), None
+    for k, parts in enumerate(p for p in item_batches(benchmark, max_items) if p.tokens):
+        if k:  # what a batch leaves is written, so that a worker holds one batch at a time
+            folder = work_dir(docs.sparkSession, "decontaminated")
+            docs = read_parquet_dir(docs.sparkSession, docs, f"{folder}/docs")
+            if last:
+                remove_dir(last)
+            last = folder
+        (m,) = matchers(docs, [parts])
+        docs = docs.mapInArrow(clean_rows(docs.sparkSession.sparkContext.broadcast(m), at), docs.schema)
+    return docs
+
+
+def clean_rows(shared, at: int):
     def run(batches):
         for batch in batches:
             for b in pieces(batch, batch.schema.names[at]):
@@ -442,5 +511,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 keep[[k[0] for k in found]] = False
                 yield b.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
-
+    return run

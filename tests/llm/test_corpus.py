@@ -267,6 +267,21 @@ def test_leaks_of_every_item_length_against_all_windows(spark):
     assert {r.doc_id for r in D.drop_contaminated(df, bench).collect()} == {i for i, _ in docs} - {i for i, _ in want}
 
 
+def test_leaks_in_batches_of_items(spark):
+    rng = random.Random(22)
+    docs = [(k, prose(rng, 150)) for k in range(40)]
+    items, planted = cut_items(rng, docs, (5, 12, 30, 64), 6)
+    items = [(i, "the " * (i % 2) + t + " and") for i, t in items] + [(0, docs[7][1][:300]), (90, "the and the and"), (91, "of of"), (None, docs[3][1][:200]), (None, None), (93, "")]
+    docs += [(50, "so the and the and so"), (50, docs[5][1]), (None, docs[6][1]), (51, None)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string").repartition(2)
+    rows = lambda d: key((r.doc_id, r.item_id, r.lcs, r.answer) for r in d.collect())
+    one = rows(D.leaks(df, bench))
+    assert planted <= {r[:2] for r in one} and (50, 90) in {r[:2] for r in one}
+    assert rows(D.leaks(df, bench, max_items=5)) == one
+    clean = key(D.drop_contaminated(df, bench).collect())
+    assert 0 < len(clean) < len(docs) and key(D.drop_contaminated(df, bench, max_items=5).collect()) == clean
+
+
 def test_lcs_and_singular_vectors():
     rng = random.Random(1)
     for _ in range(50):
