@@ -374,6 +374,29 @@ def test_scores_against_exact_counts(spark, odd, clashing, empty):
     assert M.lm_scores(odd).count() == odd.count() == M.lm_scores(clashing).count() and M.lm_scores(empty).count() == 0
 
 
+def test_production_scores_near_exact_counts(spark):
+    from collections import Counter
+
+    rng = random.Random(15)
+    rows = [(k, prose(rng, rng.randrange(20, 200))) for k in range(300)]
+    c = Counter()
+    for _, t in rows:
+        w = word_list(t)
+        for n in (1, 2, 3):
+            c.update(tuple(w[k : k + n]) for k in range(len(w) - n + 1))
+    total, vocabulary = sum(v for g, v in c.items() if len(g) == 1), sum(len(g) == 1 for g in c)
+    errors = []
+    for r in M.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        w, exact = word_list(rows[r.doc_id][1]), 0.0
+        for k in range(len(w)):
+            p, mass = M.LAMBDAS[0] * (c[(w[k],)] + 1) / (total + vocabulary), M.LAMBDAS[0]
+            for n in range(1, min(k, 2) + 1):
+                p, mass = p + M.LAMBDAS[n] * c[tuple(w[k - n : k + 1])] / c[tuple(w[k - n : k])], mass + M.LAMBDAS[n]
+            exact += np.log10(p / mass)
+        errors.append((r.log_prob - exact) / len(w))
+    assert len(errors) == len(rows) and np.abs(errors).max() <= 0.03  # log10 a word
+
+
 # --- the pipeline
 
 
