@@ -1,11 +1,12 @@
 """SentencePiece encoding by suffix-array matching, and decoding.
 
 For byte-pair models with an identity normaliser, a dummy prefix and byte
-fallback.  No piece has a space mark behind another character, so that texts
-fall into words, which are encoded once each.  The new words of a batch are concatenated and
-a suffix array is built over them, to the depth of the longest piece, by
-doubling; every piece of the vocabulary is looked up in it by binary search and its range
+fallback.  The texts of a batch are concatenated, every word with its space mark, and
+a suffix array is built over the whole of it, to the depth that the pieces need;
+every piece of the vocabulary is looked up in it by binary search and its range
 gives all its occurrences.  These edges are sorted by position and relaxed from left to right.
+No piece has a space mark behind another character, so that no path crosses words, and
+positions are counted from the beginning of the word: all words are relaxed at once.
 
 With a byte-pair model the best path is not that of the greatest sum of scores; but
 the last piece of every prefix is unique: an edge holds if the piece before it and its own
@@ -36,8 +37,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[32] = False
-CACHED_WORDS = 600_000
-INDEXED_WORDS = 20_000
+BATCH_BYTES = 1 << 20
 UNSEEN, START, BYTES = -3, -2, -1
 _RAW_TABLE = np.random.default_rng(9).integers(1, 1 << 63, 256, dtype=np.uint64)
 
@@ -89,6 +89,8 @@ class Vocabulary:
         for r, x in enumerate(raw):
             low[r, : len(x)] = high[r, : len(x)] = np.frombuffer(x, np.uint8)
         self.low, self.high = (x.view(">u8").astype(np.uint64) for x in (low, high))
+        long = self.match[self.size[self.match] > 8]
+        self.deep = np.unique(self.low[long, 0])  # beginnings of the pieces beyond 8 bytes
         self.known = np.zeros(0x110000, bool)
         self.known[[ord(text[i]) for i in usual if len(text[i]) == 1]] = True
         self.mark = int(rank[MARK])
@@ -158,18 +160,20 @@ def windows8(t: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_array(t: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in the order of their first ``depth`` bytes, by doubling from 8 on; and the windows."""
+def suffix_array(t: np.ndarray, deep: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes in the order of their first 8 bytes, and those that begin with one of ``deep``
+    (sorted beginnings of 8 bytes) in that of their first 8 * blocks; and the windows. No longer piece begins with other bytes."""
     key = windows8(t)
-    order = np.argsort(key, kind="stable")
-    have, sorted_key = 8, key[order]
-    while have < depth:
-        rank = np.zeros(len(t) + have, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[1], (sorted_key[1:] != sorted_key[:-1]).astype(np.int64)]))
-        both = rank[: len(t)] << 32 | rank[have:]
-        order = np.argsort(both, kind="stable")
-        sorted_key = both[order]
-        have *= 2
+    order = np.argsort(key).astype(np.int32)
+    if blocks > 1 and len(deep):
+        sorted_key = key[order]
+        lo, hi = np.searchsorted(sorted_key, deep, "left"), np.searchsorted(sorted_key, deep, "right")
+        lo, size = lo[hi - lo > 1], (hi - lo)[hi - lo > 1]
+        at, group = spread(lo, size), np.repeat(np.arange(len(lo)), size)
+        padded = np.concatenate([key, np.zeros(8 * blocks, np.uint64)])
+        some = order[at]
+        by = np.lexsort([padded[some + 8 * j] for j in range(blocks - 1, 0, -1)] + [group])
+        order[at] = some[by]
     return order, key
 
 
@@ -189,7 +193,7 @@ def find_pieces(v: Vocabulary, order: np.ndarray, key: np.ndarray) -> tuple[np.n
             a, b = lo[more].copy(), hi[more].copy()
             while (open_ := a < b).any():
                 mid = (a + b) >> 1
-                x = padded[order[np.minimum(mid, n - 1)] + 8 * j]
+                x = padded[order[np.minimum(mid, n - 1)].astype(np.int64) + 8 * j]
                 right = open_ & ((x < want) if side == "left" else (x <= want))
                 a = np.where(right, mid + 1, a)
                 b = np.where(open_ & ~right, mid, b)
@@ -209,33 +213,18 @@ def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Keeps the tokens of words that it has met: store holds tokens, by word a start and a size."""
+    """memo: pairs of pieces that were found to stay apart, or not."""
 
     MEMO_BITS = 20
 
-    def __init__(self, v: Vocabulary, cached: int = CACHED_WORDS):
-        self.v, self.cached = v, cached
+    def __init__(self, v: Vocabulary):
+        self.v, self.run_made = v, {}
         self.memo_key = np.full(1 << self.MEMO_BITS, -1, np.int64)
         self.memo_ok = np.zeros(1 << self.MEMO_BITS, bool)
-        self.clear()
-
-    def clear(self):
-        self.place: dict[int, int] = {}
-        self.start, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.store, self.used, self.run_place = np.zeros(1 << 16, np.int32), 0, {}
-        self.words = 0
-
-    def _keep(self, tokens: np.ndarray) -> int:
-        if self.used + len(tokens) > len(self.store):
-            self.store = np.concatenate([self.store, np.zeros(max(len(self.store), len(tokens)), np.int32)])
-        at = self.used
-        self.store[at : at + len(tokens)] = tokens
-        self.used += len(tokens)
-        return at
 
     def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a.astype(np.int64) << 20 | b
-        slot = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.MEMO_BITS)).astype(np.int64)
+        slot = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.MEMO_BITS)).astype(np.int32)
         ok = self.memo_ok[slot]
         new = np.flatnonzero(self.memo_key[slot] != key)
         if len(new):
@@ -248,124 +237,130 @@ class Encoder:
             self.memo_key[s], self.memo_ok[s] = u, r
         return ok
 
-    def run(self, n: int) -> tuple[int, int]:
-        """Tokens of n space marks."""
-        if n not in self.run_place:
-            t = run_tokens(n, self.v)
-            self.run_place[n] = (self._keep(np.array(t, np.int32)), len(t))
-        return self.run_place[n]
-
-    def add_words(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
-        """Encodes the words (each with a mark before it) and keeps their tokens."""
+    def runs(self, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens of runs of space marks, each distinct length once: (tokens, start of each run, size of each)."""
+        u, which = np.unique(lengths, return_inverse=True)
+        made = []
+        for n in u.tolist():
+            if n not in self.run_made:
+                if len(self.run_made) >= 4096:
+                    self.run_made.clear()
+                self.run_made[n] = np.array(run_tokens(n, self.v) if n else [], np.int32)
+            made.append(self.run_made[n])
+        size = np.array([len(x) for x in made], np.int64)
+        return np.concatenate([np.empty(0, np.int32), *made]), (np.cumsum(size) - size)[which], size[which]
+
+    def word_tokens(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of all words (each with a mark before it) on end, and how many each has."""
         v = self.v
-        count = end - start
-        first = np.concatenate([[0], np.cumsum(count + 3)])
+        words = len(start)
+        if not words:
+            return np.empty(0, np.int32), np.empty(0, np.int64)
+        count = (end - start).astype(np.int32)
+        first = np.concatenate([[0], np.cumsum(count + 3)]).astype(np.int32)
         t = np.empty(first[-1], np.uint8)
         for j, c in enumerate(MARK.encode()):
             t[first[:-1] + j] = c
         t[spread(first[:-1] + 3, count)] = buf[spread(start, count)]
-        words = len(start)
+        word_of = np.repeat(np.arange(words, dtype=np.int32), count + 3)
         # edges: all occurrences of all pieces
-        order, key = suffix_array(t, 8 * v.blocks)
+        order, key = suffix_array(t, v.deep, v.blocks)
         p, lo, hi = find_pieces(v, order, key)
-        piece = np.repeat(p, hi - lo).astype(np.int32)
+        del key
+        piece = np.repeat(p.astype(np.int32), hi - lo)
         at = order[spread(lo, hi - lo)]
+        del order
         # characters without a piece: an edge of bytes
-        lead = np.flatnonzero((t & 0xC0) != 0x80)
+        lead = np.flatnonzero((t & 0xC0) != 0x80).astype(np.int32)
         size = np.diff(np.append(lead, len(t)))
-        odd = lead[~v.known[code_points(t, lead, size)]]
-        odd_size = size[np.searchsorted(lead, odd)]
+        unknown = ~v.known[t[lead]]
+        wide = np.flatnonzero(size > 1)
+        unknown[wide] = ~v.known[code_points(t, lead[wide], size[wide])]
+        odd, odd_size = lead[unknown], size[unknown]
+        del lead, size
+        length = np.concatenate([v.size[piece], odd_size.astype(np.int32)])
         at, piece = np.concatenate([at, odd]), np.concatenate([piece, np.full(len(odd), BYTES, np.int32)])
-        length = np.concatenate([v.size[piece[: len(piece) - len(odd)]], odd_size]).astype(np.int64)
-        word = np.searchsorted(first, at, "right") - 1
-        offset = at - first[word] + length
-        by = np.argsort(offset, kind="stable")
-        at, piece, length, word, offset = at[by], piece[by], length[by], word[by], offset[by]
+        offset = at - first[word_of[at]] + length
+        by = np.argsort(offset.astype(np.uint16) if offset.max() < 1 << 16 else offset, kind="stable")
+        at, piece, length, offset = at[by], piece[by], length[by], offset[by]
+        edges = np.flatnonzero(np.concatenate([[True], offset[1:] != offset[:-1], [True]]))
+        del by, offset
         # a node for each position and one for the end of each word
-        last, back = np.full(len(t) + words, UNSEEN, np.int32), np.zeros(len(t) + words, np.int64)
+        last, back = np.full(len(t) + words, UNSEEN, np.int32), np.zeros(len(t) + words, np.int32)
         last[first[:-1] + np.arange(words)] = START
-        node = at + word
-        edges = np.flatnonzero(np.concatenate([[True], offset[1:] != offset[:-1], [True]]))
+        node = at + word_of[at]
         for a, b in zip(edges[:-1], edges[1:]):
             s, q = node[a:b], piece[a:b]
             before = last[s]
             ok = before > UNSEEN
             test = np.flatnonzero((before >= 0) & (q >= 0))
             ok[test] = self.apart(before[test], q[test])
-            e = s[ok] + length[a:b][ok]
-            last[e], back[e] = q[ok], s[ok]
-        # back from the ends
-        at_word, now = np.arange(words), first[1:] + np.arange(words)
-        begin = first[:-1] + np.arange(words)
-        got_w, got_n = [], []
+            s = s[ok]
+            e = s + length[a:b][ok]
+            last[e], back[e] = q[ok], s
+        del at, piece, length, node
+        # back from the ends: the nodes on the paths
+        begin = first[:-1] + np.arange(words, dtype=np.int32)
+        on = np.zeros(len(t) + words, bool)
+        at_word, now = np.arange(words), first[1:] + np.arange(words, dtype=np.int32)
         while len(now):
-            got_w.append(at_word)
-            got_n.append(now)
+            on[now] = True
             now = back[now]
             go = now > begin[at_word]
             at_word, now = at_word[go], now[go]
-        w, nodes = np.concatenate(got_w), np.concatenate(got_n)
-        by = np.argsort(nodes, kind="stable")
-        w, nodes = w[by], nodes[by]
-        q, s = last[nodes], back[nodes] - w
+        nodes = np.flatnonzero(on)
+        w = np.searchsorted(nodes, begin + 1)  # the first node of each word's path
+        q, s = last[nodes], back[nodes]
         assert (q > START).all(), "a word has no path"
-        size = np.where(q >= 0, 1, nodes - back[nodes])
+        size = np.where(q >= 0, 1, nodes - s)
         tokens = np.repeat(np.where(q >= 0, v.ids[q], 0), size)
         raw = np.repeat(q < 0, size)
+        total = np.concatenate([[0], np.cumsum(size)])
         if raw.any():
-            tokens[raw] = v.byte_id[t[spread(s, size)[raw]]]
-        n_tokens = np.bincount(w, weights=size, minlength=words).astype(np.int64)
-        base = self._keep(tokens.astype(np.int32))
-        if self.words + words > len(self.start):
-            grow = np.zeros(max(len(self.start), words), np.int64)
-            self.start, self.size = np.concatenate([self.start, grow]), np.concatenate([self.size, grow])
-        self.start[self.words : self.words + words] = base + np.cumsum(n_tokens) - n_tokens
-        self.size[self.words : self.words + words] = n_tokens
-        self.words += words
+            per = np.diff(np.append(w, len(nodes)))
+            tokens[raw] = v.byte_id[t[spread(s - np.repeat(np.arange(words), per), size)[raw]]]
+        return tokens.astype(np.int32), np.diff(np.append(total[w], total[-1]))
+
+    def all_tokens(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As word_tokens; a text longer than a batch is indexed in parts that end with a word, so that memory doesn't follow its length."""
+        if len(buf) <= 2 * BATCH_BYTES:
+            return self.word_tokens(buf, start, end)
+        part = np.cumsum(end - start + 3) // (2 * BATCH_BYTES)
+        cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else np.empty(0, np.int64)
+        made = [self.word_tokens(buf, start[a:b], end[a:b]) for a, b in zip(cut[:-1], cut[1:])] or [self.word_tokens(buf, start, end)]
+        tokens, size = zip(*made)
+        return np.concatenate(tokens), np.concatenate(size)
 
     def encode(self, column) -> pa.LargeListArray:
         if pc.any(pc.match_substring(column, MARK)).as_py():
             column = pc.replace_substring(column, MARK, " ")
         buf, offs = flat(column)
         x = Words(buf, offs, NOT_SPACE, _RAW_TABLE)
-        u, at, inv = np.unique(x.h, return_index=True, return_inverse=True)
-        if self.words + len(u) > self.cached:
-            self.clear()
-        place = np.fromiter((self.place.get(k, -1) for k in u.tolist()), np.int64, len(u))
-        new = np.flatnonzero(place < 0)
-        if len(new):
-            place[new] = self.words + np.arange(len(new))
-            for k in range(0, len(new), INDEXED_WORDS):  # a text of bounded size is indexed at once
-                some = at[new[k : k + INDEXED_WORDS]]
-                self.add_words(buf, x.start[some], x.end[some])
-            self.place.update(zip(u[new].tolist(), place[new].tolist()))
-        place = place[inv]
+        tokens, word_size = self.all_tokens(buf, x.start, x.end)
+        word_start = np.cumsum(word_size) - word_size
         # marks before each word; the text begins with one of its own
         gap = x.start - np.concatenate([[0], x.end[:-1]])[: len(x.start)]
         has = np.flatnonzero(x.count)
         gap[x.first[:-1][has]] = x.start[x.first[:-1][has]] - offs[:-1][has] + 1
         seg_start, seg_size = np.zeros((len(gap), 2), np.int64), np.zeros((len(gap), 2), np.int64)
-        seg_start[:, 1], seg_size[:, 1] = self.start[place], self.size[place]
-        wide = np.flatnonzero(gap > 1)
-        if len(wide):
-            lone = self.store[self.start[place[wide]]] == self.v.ids[self.v.mark]
-            n = gap[wide] - ~lone
-            seg_start[wide[lone], 1] += 1
-            seg_size[wide[lone], 1] -= 1
-            lengths, which = np.unique(n, return_inverse=True)
-            runs = np.array([self.run(k) for k in lengths.tolist()]).reshape(-1, 2)
-            seg_start[wide, 0], seg_size[wide, 0] = runs[which, 0], runs[which, 1]
-        # marks behind the last word, or of a text of spaces only
+        seg_start[:, 1], seg_size[:, 1] = word_start, word_size
+        # behind the last word, or of a text of spaces only
         length = np.diff(offs)
         tail = np.where(x.count > 0, offs[1:] - (x.end[np.maximum(x.first[1:] - 1, 0)] if len(x.end) else 0), np.where(length > 0, length + 1, 0))
-        lengths, which = np.unique(tail, return_inverse=True)
-        runs = np.array([self.run(k) if k else (0, 0) for k in lengths.tolist()], np.int64).reshape(-1, 2)
+        wide = np.flatnonzero(gap > 1)
+        lone = tokens[word_start[wide]] == self.v.ids[self.v.mark] if len(wide) else np.empty(0, bool)
+        made, run_start, run_size = self.runs(np.concatenate([gap[wide] - ~lone, tail]))
+        run_start = run_start + len(tokens)
+        seg_start[wide[lone], 1] += 1
+        seg_size[wide[lone], 1] -= 1
+        seg_start[wide, 0], seg_size[wide, 0] = run_start[: len(wide)], run_size[: len(wide)]
+        tail_start, tail_size = run_start[len(wide) :], run_size[len(wide) :]
         per_row = np.bincount(x.doc, weights=seg_size.sum(1), minlength=x.rows).astype(np.int64)
         # the order is: words of a row, then its tail
-        all_start = np.insert(seg_start.reshape(-1), 2 * x.first[1:], runs[which, 0])
-        all_size = np.insert(seg_size.reshape(-1), 2 * x.first[1:], runs[which, 1])
-        ids = self.store[spread(all_start, all_size)]
-        return pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_row + runs[which, 1])]), pa.int64()), pa.array(ids, pa.int32()))
+        all_start = np.insert(seg_start.reshape(-1), 2 * x.first[1:], tail_start)
+        all_size = np.insert(seg_size.reshape(-1), 2 * x.first[1:], tail_size)
+        ids = np.concatenate([tokens, made])[spread(all_start, all_size)]
+        return pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_row + tail_size)]), pa.int64()), pa.array(ids, pa.int32()))
 
 
 def code_points(t: np.ndarray, lead: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -449,7 +444,7 @@ def encode(docs: DataFrame, path: str = MODEL, check: bool = True, ids: str = "i
     def run(batches):
         e = _encoder(path)
         for batch in batches:
-            for b in pieces(batch, batch.schema.names[at]):
+            for b in pieces(batch, batch.schema.names[at], BATCH_BYTES):
                 text = pc.fill_null(b.column(at).cast(pa.large_string()), "")
                 got = e.encode(text)
                 cols = [got.cast(pa.list_(pa.int32())), pc.cast(pc.list_value_length(got), pa.int32())]

@@ -300,17 +300,19 @@ def test_lcs_and_singular_vectors():
 # --- SentencePiece
 
 
-def test_encoding_against_the_library(spark, odd, clashing, empty):
+def test_encoding_against_the_library(spark, odd, clashing, empty, monkeypatch):
     import sentencepiece
 
     m = sentencepiece.SentencePieceProcessor(model_file=S.MODEL)
     rng = random.Random(8)
     chars = "abc déß,. \n\t▁漢字😀Ａ-=x'0  "
     texts = ["", " ", "   ", "x" * 700, " " * 40, "▁▁a", "日本語テキスト", "http://e.org/a?b=c&d", *("".join(rng.choice(chars) for _ in range(rng.randrange(60))) for _ in range(300))]
-    e = S.Encoder(S.vocabulary(S.MODEL), cached=50)
-    for _ in range(2):
+    e = S.Encoder(S.vocabulary(S.MODEL))
+    for size in (S.BATCH_BYTES, 1, 100):  # whole, by words, in parts
+        monkeypatch.setattr(S, "BATCH_BYTES", size)
         got = e.encode(pa.array(texts, pa.large_string()))
         assert got.to_pylist() == m.encode(texts)
+    monkeypatch.undo()
     assert S.decode_lists(e.v, got).to_pylist() == [t.replace("▁", " ") for t in texts]
     for n in (1, 2, 15, 16, 17, 31, 100, 4999):
         assert S.run_tokens(n + 1, e.v) == m.encode(" " * n)
