@@ -1,8 +1,10 @@
 """Files that every executor can see, and code that every executor can import.
 
 All working files go to the folder that the session names in
-``spark.checkpoint.dir``.  Where that is unset (tests, a laptop) a folder is made
-once per context and set as the checkpoint folder.
+``spark.checkpoint.dir``.  Where that is unset and Spark runs in one process (tests, a laptop) a
+temporary folder is made once per context and set as the checkpoint folder; on a cluster, whose executors
+wouldn't see it, that is an error.  Working folders of a session go when it is closed, all others when the
+driver's process ends.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 PACKAGE_ROOT = Path(__file__).resolve().parent
 _own: dict[str, str] = {}
 _shipped: set[str] = set()
+_made: set[str] = set()
+MIN_SHARDS = 64
 
 
 def _local(uri: str) -> str | None:
@@ -42,6 +47,8 @@ def shared_base(spark: SparkSession) -> str:
         return known.get().rstrip("/")
     app = sc.applicationId
     if app not in _own:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         _own[app] = tempfile.mkdtemp(prefix="rulespan-")
         atexit.register(shutil.rmtree, _own[app], True)
         sc.setCheckpointDir(_own[app])
@@ -51,12 +58,26 @@ def shared_base(spark: SparkSession) -> str:
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the shared folder."""
     path = f"{shared_base(spark)}/rulespan-{name}-{uuid.uuid4().hex[:12]}"
+    if not _made:
+        atexit.register(remove_made)
+    _made.add(path)
     if (p := _local(path)) is not None:
         os.makedirs(p, exist_ok=True)
     return path
 
 
+def remove_made() -> None:
+    """All folders that this process made and that are still there."""
+    for path in list(_made):
+        try:
+            remove_dir(path)
+        except Exception:  # at the end of the process the file system may be gone
+            pass
+
+
 def remove_dir(uri: str) -> None:
+    """A folder whose files nothing reads any more."""
+    _made.discard(uri)
     if (p := _local(uri)) is not None:
         shutil.rmtree(p, ignore_errors=True)
     else:
@@ -66,9 +87,9 @@ def remove_dir(uri: str) -> None:
         system.delete_dir(path)
 
 
-def write_file(uri: str, data: bytes | list) -> None:
-    """Atomic: a retried or duplicated task leaves one whole file."""
-    parts = data if isinstance(data, list) else [data]
+def write_file(uri: str, data: bytes | Iterable) -> None:
+    """One buffer or several, one after the other. Atomic: a retried or duplicated task leaves one whole file."""
+    parts = [data] if isinstance(data, bytes) else data
     if (p := _local(uri)) is not None:
         os.makedirs(os.path.dirname(p), exist_ok=True)
         tmp = f"{p}.{uuid.uuid4().hex}.tmp"
@@ -106,8 +127,9 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def shard_count(df: DataFrame, per_shard: int = 24 << 20) -> int:
-    """Grows with the input, so that a shard stays a bounded piece of work."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Grows with the input, so that a shard stays a bounded piece of work; small inputs have as many as there
+    are partitions, MIN_SHARDS at most, so that all cores have some."""
+    least = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MIN_SHARDS)
     size = input_bytes(df)
     if size > 1 << 60:  # no statistics
         return max(least, 64)
