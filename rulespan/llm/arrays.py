@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import mmap
 from functools import lru_cache
 
 import numpy as np
@@ -27,14 +28,18 @@ def save_arrays(uri: str, arrays: dict[str, np.ndarray]) -> int:
     return at + len(text) + 8
 
 
-def load_arrays(uri: str) -> dict[str, np.ndarray]:
-    """Mapped where the folder is a mounted one, else read whole."""
+def map_file(uri: str) -> np.ndarray:
+    """The bytes of a file: mapped where the folder is a mounted one, else read whole."""
     path = _local(uri)
     if path is not None:
-        raw = np.memmap(path, np.uint8, "r")
-    else:
-        with open_ranges(uri) as f:
-            raw = np.frombuffer(f.read(), np.uint8)
+        with open(path, "rb") as f:  # the map holds no descriptor
+            return np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False), np.uint8)
+    with open_ranges(uri) as f:
+        return np.frombuffer(f.read(), np.uint8)
+
+
+def load_arrays(uri: str) -> dict[str, np.ndarray]:
+    raw = map_file(uri)
     n = int.from_bytes(raw[:8].tobytes(), "little")
     head = json.loads(raw[8 : 8 + n].tobytes())
     out = {}
@@ -45,11 +50,16 @@ def load_arrays(uri: str) -> dict[str, np.ndarray]:
     return out
 
 
-@lru_cache(maxsize=512)
+@lru_cache(maxsize=4096)
 def mapped(uri: str) -> dict[str, np.ndarray]:
     return load_arrays(uri)
 
 
+@lru_cache(maxsize=256)
+def mapped_file(uri: str) -> np.ndarray:
+    return map_file(uri)
+
+
 def pack_planes(x: np.ndarray) -> bytes:
     """Unsigned integers as byte planes; those that are all zero are left out, and told by the first byte."""
     width = x.dtype.itemsize

@@ -1,12 +1,11 @@
 """Line deduplication by sharded minimal perfect hashes.
 
-Lines are hashed to 64 bits, counted over the whole corpus, and those that occur
-twice or more go, by hash range, into shards: a minimal perfect hash gives each
-of them a slot, and arrays by slot hold a 32-bit fingerprint, the count, and the
-first place (doc_id, byte).  Documents then probe the mapped arrays; lines are
-never joined.  A line that occurs once has no slot: whatever slot a probe gives
-it, the fingerprint (independent of the key) tells that it isn't there, so that
-the arrays grow with the repeated lines only.
+All distinct lines of the corpus, each with its count and first place, go by hash range into shards:
+a minimal perfect hash over their 64-bit hashes gives each of them a slot, and arrays by slot hold a
+32-bit fingerprint (independent of the hash) and the count; those that occur twice or more have
+their first place (doc_id, byte) in further arrays, by their rank among them.  Documents
+then probe the mapped arrays; lines are never joined.  Lines are told apart by all 96 bits:
+of lines whose hashes agree one has the slot, the others stand in a list beside it.
 
 A line is what stands between newlines, without spaces, tabs and carriage
 returns at its ends.  It stays where it first occurs, by (doc_id, place), and
@@ -30,6 +29,7 @@ from rulespan.llm.text import U, Words, flat, mix, pieces, prefix_hash, span_has
 from rulespan.shared import shard_count, ship, work_dir
 
 MIN_BYTES, MIN_COUNT = 10, 2
+SHARD_BYTES = 64 << 20
 GAMMA, LEVELS = 2.0, 32
 NOT_NL = np.ones(256, bool)
 NOT_NL[10] = False
@@ -137,21 +137,66 @@ def build_index(docs: DataFrame, folder: str, shards: int, min_bytes: int, min_c
     """Writes the shards; returns those that aren't empty."""
     none, owner = owner_columns(docs)
     lines = docs.select(none.alias("none"), owner.alias("owner"), docs["text"].cast("string").alias("text")).mapInArrow(_line_rows(min_bytes), LINE_DDL)
-    counted = lines.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("fp"), F.min(F.struct("none", "owner", "at")).alias("w")).filter(F.col("n") >= min_count)
+    counted = lines.groupBy("k", "fp").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("none", "owner", "at")).alias("w"))
     where = F.shiftright(F.shiftrightunsigned("k", 32) * F.lit(shards), 32).cast("int")
-    counted = counted.select(where.alias("shard"), "k", "n", "fp", "w.none", "w.owner", "w.at")
-
-    def write(key, pdf):
-        import pandas as pd
-
-        keys = pdf["k"].to_numpy().view(U)
-        m = mph_build(keys)
-        order = np.argsort(mph_slots(m, keys))
-        cols = {"fp": np.uint32, "n": np.uint32, "none": bool, "owner": np.int64, "at": np.int64}
-        save_arrays(f"{folder}/{key[0]}", m | {c: np.minimum(pdf[c].to_numpy()[order], np.iinfo(t).max if t is not bool else 1).astype(t) for c, t in cols.items()})
-        return pd.DataFrame([{"shard": int(key[0]), "lines": len(keys)}])
-
-    return frozenset(r.shard for r in counted.groupBy("shard").applyInPandas(write, "shard int, lines long").collect())
+    counted = counted.select(where.alias("shard"), "k", "n", "fp", "w.none", "w.owner", "w.at").repartitionById(shards, F.col("shard"))
+
+    def write(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        shard = t.column("shard")[0].as_py()
+        save_arrays(f"{folder}/{shard}", shard_arrays({c: t.column(c).to_numpy() for c in ("k", "fp", "n", "none", "owner", "at")}))
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32())], names=["shard"])
+
+    return frozenset(r.shard for r in counted.mapInArrow(write, "shard int").collect())
+
+
+def shard_arrays(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Of distinct lines (k, fp): the minimal perfect hash, fp and n by slot, the first places of the repeated ones,
+    and under x.* the lines whose k another one has, sorted by k and fp."""
+    order = np.lexsort((c["fp"], c["k"].view(U)))
+    c = {name: x[order] for name, x in c.items()} | {"k": c["k"].view(U)[order]}
+    other = np.concatenate([[False], c["k"][1:] == c["k"][:-1]])
+    extra = {f"x.{name}": x[other] for name, x in c.items()}
+    c = {name: x[~other] for name, x in c.items()}
+    m = mph_build(c["k"])
+    order = np.argsort(mph_slots(m, c["k"]))
+    n = np.minimum(c["n"][order], 0xFFFFFFFF).astype(np.uint32)
+    again = n >= 2
+    bits = np.packbits(np.concatenate([again, np.zeros(-len(again) % 64, bool)]), bitorder="little").view(U)
+    rank = np.concatenate([[0], np.cumsum(np.bitwise_count(bits), dtype=np.int64)])
+    places = {name: c[name][order][again] for name in ("none", "owner", "at")}
+    return m | {"fp": c["fp"][order].astype(np.uint32), "n": n, "again": bits, "again_rank": rank} | places | extra
+
+
+def stands_elsewhere(m: dict[str, np.ndarray], key: np.ndarray, fp: np.ndarray, none: np.ndarray, owner: np.ndarray, at: np.ndarray, min_count: int) -> np.ndarray:
+    """Of each line: it is there, at least min_count times, and not here for the first time."""
+    out = np.zeros(len(key), bool)
+    slot = mph_slots(m, key)
+    p = np.flatnonzero(slot >= 0)
+    p = p[m["fp"][slot[p]] == fp[p]]
+    s = slot[p]
+    often = m["n"][s] >= max(2, min_count)
+    q, s = p[often], s[often]
+    bit = (s & 63).astype(U)
+    r = m["again_rank"][s >> 6] + np.bitwise_count(m["again"][s >> 6] & ((U(1) << bit) - U(1)))
+    out[q] = (m["none"][r] != none[q]) | (m["owner"][r] != owner[q]) | (m["at"][r] != at[q])
+    if len(m["x.k"]):
+        left = np.ones(len(key), bool)
+        left[p] = False
+        q = np.flatnonzero(left)
+        r = np.searchsorted(m["x.k"], key[q])
+        while len(q):
+            on = r < len(m["x.k"])
+            on[on] = m["x.k"][r[on]] == key[q[on]]
+            q, r = q[on], r[on]
+            same = m["x.fp"][r] == fp[q]
+            a, b = q[same], r[same]
+            out[a] = (m["x.n"][b] >= max(2, min_count)) & ((m["x.none"][b] != none[a]) | (m["x.owner"][b] != owner[a]) | (m["x.at"][b] != at[a]))
+            q, r = q[~same], r[~same] + 1
+    return out
 
 
 def repeats(folder: str, present: frozenset[int], shards: int, x: Lines, none: np.ndarray, owner: np.ndarray, min_count: int) -> np.ndarray:
@@ -165,15 +210,9 @@ def repeats(folder: str, present: frozenset[int], shards: int, x: Lines, none: n
     for a, b in zip(edges[:-1], edges[1:]):
         if int(shard[a]) not in present:
             continue
-        m = mapped(f"{folder}/{shard[a]}")
         p = pick[a:b]
-        slot = mph_slots(m, x.key[p])
-        p, slot = p[slot >= 0], slot[slot >= 0]
-        known = (m["fp"][slot] == x.fp[p]) & (m["n"][slot] >= min_count)
-        p, slot = p[known], slot[known]
         d = x.doc[p]
-        first = (m["none"][slot] == none[d]) & (m["owner"][slot] == owner[d]) & (m["at"][slot] == x.at[p])
-        gone[p[~first]] = True
+        gone[p] = stands_elsewhere(mapped(f"{folder}/{shard[a]}"), x.key[p], x.fp[p], none[d], owner[d], x.at[p], min_count)
     return gone
 
 
@@ -207,7 +246,7 @@ def dedup_lines(docs: DataFrame, min_bytes: int = MIN_BYTES, min_count: int = MI
     spark = docs.sparkSession
     ship(spark)
     folder = work_dir(spark, "lines")
-    shards = shard_count(docs.select("text"), 64 << 20)
+    shards = shard_count(docs.select("text"), SHARD_BYTES)
     present = build_index(docs, folder, shards, min_bytes, min_count)
     if not present:
         return docs
