@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from rulespan.llm.arrays import pack_planes, pack_sorted, unpack_planes, unpack_sorted
 from rulespan.llm.text import run_lengths, shard_runs
@@ -45,14 +46,11 @@ def blob_batch(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, (_, t) in zip(cols, BLOB_FIELDS)], names=[n for n, _ in BLOB_FIELDS])
 
 
-def merged(pdf) -> tuple[np.ndarray, np.ndarray]:
+def merged(grams: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All grams of a shard, sorted, and their counts."""
-    keys = [unpack_sorted(x) for x in pdf["grams"]]
-    counts = [unpack_planes(x, np.uint32) for x in pdf["counts"]]
-    k, c = np.concatenate(keys), np.concatenate(counts)
-    del keys, counts
+    k, c = np.concatenate([unpack_sorted(x) for x in grams]), np.concatenate([unpack_planes(x, np.uint32) for x in counts])
     if c.max(initial=0) > 1 << 12:
-        order = np.argsort(k, kind="stable")
+        order = np.argsort(k)
         k, c = k[order], c[order]
         at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         return k[at], np.add.reduceat(c.astype(np.int64), at)
@@ -61,13 +59,17 @@ def merged(pdf) -> tuple[np.ndarray, np.ndarray]:
     return run_lengths(k)
 
 
-def by_shard(blobs: DataFrame, write: Callable, ddl: str) -> DataFrame:
-    """write(shard, sorted grams, counts) -> dict of one row."""
+def by_shard(blobs: DataFrame, shards: int, write: Callable, ddl: str) -> DataFrame:
+    """write(shard, sorted grams, counts) -> dict of one row of integers. A partition is a shard."""
 
-    def run(key, pdf):
-        import pandas as pd
-
-        return pd.DataFrame([write(int(key[0]), *merged(pdf))])
-
-    return blobs.groupBy("shard").applyInPandas(run, ddl)
+    def run(batches):
+        rows = [b for b in batches if b.num_rows]
+        if rows:
+            shard = rows[0].column("shard")[0].as_py()
+            columns = [[x for b in rows for x in b.column(c).to_pylist()] for c in ("grams", "counts")]
+            del rows
+            found = merged(*columns)
+            del columns
+            yield pa.RecordBatch.from_pylist([write(shard, *found)])
 
+    return blobs.repartitionById(shards, F.col("shard")).mapInArrow(run, ddl)

@@ -64,4 +64,5 @@ ORACLE: dict[str, str] = {
     "op3_warc": "select page_id, url, html from pages",
     "op4_url_filters": url_filter.oracle(),
     "op6_line_dedup": line_dedup.oracle(),
+    "op7_ngram_jaccard_join": ngram_join.oracle(),
 }
