@@ -6,14 +6,16 @@ filter holds (gram, 1) ... (gram, q), and a probe asks for level after level unt
 one is absent.  The count read back is the middle of the level.  A filter never reads
 too low; it reads a level too high with the filter's false-positive rate.
 
-The filters grow with the corpus.  While they are at most ``broadcast_bytes``
-together, they are broadcast; beyond, workers map the shards in the shared folder
-and touch the pages that they probe.
+The filters grow with the corpus, whose size no broadcast variable would bear; they are spread to the workers
+by files, at every size: those of all shards are put one after the other in segments of about ``SEGMENT_BYTES`` in the shared folder,
+which workers map, so that all processes of a machine share the pages that they probe.  What is broadcast is where each shard's filter begins.
+All keys of a batch are probed together, whatever the number of shards.
 
-    p(w | u v) = l3 c(uvw)/c(uv) + l2 c(vw)/c(v) + l1 (c(w) + 1)/(N + V)
+    p(w | u v) = l3 max(c(uvw) - D, 0)/c(uv) + l2 max(c(vw) - D, 0)/c(v) + l1 (c(w) + 1)/(N + V)
 
-with the weights of missing contexts (starts of texts) given to the others in
-proportion.  Words are those of ``llm.text``.  Defined cases: null and empty texts,
+The discount D keeps texts apart that the corpus has once and more often: without it an n-gram that only the text
+itself has would be certain. What it frees isn't given to other words, so the p of all words sum up to less than 1. The terms have the
+weights of missing contexts (starts of texts, and what the corpus doesn't have) in proportion.  Words are those of ``llm.text``.  Defined cases: null and empty texts,
 and texts without words, have 0 words, log_prob 0 and a null perplexity; repeated rows are
 counted and scored as often as they occur; further columns are ignored.
 """
@@ -25,15 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from rulespan.llm import grams as G
-from rulespan.llm.arrays import mapped, save_arrays
-from rulespan.llm.text import GRAM_BITS, U, mix, ngrams, pieces, shard_runs, words
-from rulespan.shared import shard_count, ship, work_dir
+from rulespan.llm.arrays import mapped_file
+from rulespan.llm.text import GRAM_BITS, U, mix, ngrams, pieces, shard_of, words
+from rulespan.shared import remove_dir, shard_count, ship, work_dir, write_file
 
 ORDER = 3
 LAMBDAS = (0.2, 0.3, 0.5)
+DISCOUNT = 0.75
 LOG_BASE = 1.5
 BITS_PER_ENTRY, HASHES = 10, 6
-BROADCAST_BYTES = 32 << 20
+SHARD_BYTES, SEGMENT_BYTES = 6 << 20, 1 << 30
 PROBE_WORDS = 1 << 20
 TAG = U(3)
 
@@ -48,23 +51,25 @@ def level_of(counts: np.ndarray, base: float) -> np.ndarray:
 
 
 def count_of(levels: np.ndarray, base: float) -> np.ndarray:
-    """The middle of a level, at least 1; 0 for level 0."""
-    low = base ** (levels - 1.0)
-    return np.where(levels > 0, np.maximum(1.0, np.where(levels == 1, 1.0, low * (1 + base) / 2)), 0.0)
+    """The mean of the whole numbers of a level, or its middle if it has none; 0 for level 0."""
+    u, inverse = np.unique(levels, return_inverse=True)
+    first = np.ceil(base ** (u - 1.0) - 1e-9)
+    last = np.ceil(base ** (u * 1.0) - 1e-9) - 1
+    return np.where(u > 0, np.where(last >= first, (first + last) / 2, np.maximum(1.0, base ** (u - 1.0) * (1 + base) / 2)), 0.0)[inverse]
 
 
 class Probe:
-    """Positions of one entry (key, level): a start and a stride, as far as they are needed."""
+    """Positions of one entry (key, level): a start and a stride, as far as they are needed. size: of the filter, or of each key's."""
 
-    def __init__(self, keys: np.ndarray, level: int, size: int):
+    def __init__(self, keys: np.ndarray, level: int, size):
         x = mix(keys * U(0x9E3779B97F4A7C15) + U(level * 0xD1B54A32D192ED03 & (1 << 64) - 1))
-        self.a, self.size = x, U(size)
+        self.a, self.size = x, np.asarray(size, U)
         self.b = (x & U(0xFFFFFFFF)) | U(1)
 
     def at(self, j: int, pick=slice(None)) -> np.ndarray:
         """Bit positions of hash j: 32 mixed bits times the size; filters have less than 2^32 bits."""
         x = self.a[pick] + U(j) * self.b[pick] * U(0x2545F4914F6CDD1D)
-        return ((x >> U(32)) * self.size) >> U(32)
+        return ((x >> U(32)) * (self.size[pick] if self.size.ndim else self.size)) >> U(32)
 
 
 def bloom_build(keys: np.ndarray, levels: np.ndarray, bits: int = BITS_PER_ENTRY, hashes: int = HASHES) -> np.ndarray:
@@ -80,16 +85,20 @@ def bloom_build(keys: np.ndarray, levels: np.ndarray, bits: int = BITS_PER_ENTRY
     return np.packbits(flags, bitorder="little")
 
 
-def bloom_levels(filt: np.ndarray, keys: np.ndarray, hashes: int = HASHES) -> np.ndarray:
-    """The level of each key, by repeated probes."""
+def bloom_levels(filt: np.ndarray, keys: np.ndarray, hashes: int = HASHES, begin=None, size=None) -> np.ndarray:
+    """The level of each key, by repeated probes. begin, size: where each key's filter begins (in bytes) and how many bits it has,
+    if there are several."""
     out = np.zeros(len(keys), np.int64)
-    live, size, level = np.arange(len(keys)), len(filt) * 8, 1
+    live, level = np.arange(len(keys)), 1
     while len(live):
-        p = Probe(keys[live], level, size)
+        p = Probe(keys[live], level, len(filt) * 8 if size is None else size[live])
         ok = np.arange(len(live))
         for j in range(hashes):
             at = p.at(j, ok)
-            ok = ok[(filt[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1 == 1]
+            byte = (at >> U(3)).astype(np.int64)
+            if begin is not None:
+                byte += begin[live[ok]]
+            ok = ok[(filt[byte] >> (at & U(7)).astype(np.uint8)) & 1 == 1]
         live = live[ok]
         out[live] = level
         level += 1
@@ -97,10 +106,10 @@ def bloom_levels(filt: np.ndarray, keys: np.ndarray, hashes: int = HASHES) -> np
 
 
 class Model:
-    """Counts of grams, from filters that are broadcast or mapped."""
+    """Counts of grams. segments: the files of filters; segment, begin, bits: of each shard's filter (0 bits: it has none)."""
 
-    def __init__(self, folder, present, shards, tokens, vocabulary, base, hashes, held=None):
-        self.folder, self.present, self.shards, self.held = folder, present, shards, held
+    def __init__(self, segments, segment, begin, bits, tokens, vocabulary, base, hashes):
+        self.segments, self.segment, self.begin, self.bits = segments, segment, begin, bits
         self.tokens, self.vocabulary, self.base, self.hashes = tokens, vocabulary, base, hashes
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
@@ -110,10 +119,12 @@ class Model:
         new = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.empty(0, bool)
         u = k[new]
         level = np.zeros(len(u), np.int16)
-        for shard, part in shard_runs(u, self.shards):
-            if shard in self.present:
-                f = self.held.value[shard] if self.held is not None else mapped(f"{self.folder}/filters/{shard}")["bits"]
-                level[part] = bloom_levels(f, u[part], self.hashes)
+        shard = shard_of(u, len(self.bits)).astype(np.int64)
+        u, shard, there = (x[self.bits[shard] > 0] for x in (u, shard, np.arange(len(u))))
+        edge = np.searchsorted(self.segment[shard], np.arange(len(self.segments) + 1))  # keys are in the order of the shards
+        for s in np.flatnonzero(np.diff(edge)):
+            part = slice(edge[s], edge[s + 1])
+            level[there[part]] = bloom_levels(mapped_file(self.segments[s]), u[part], self.hashes, self.begin[shard[part]], self.bits[shard[part]])
         table = count_of(np.arange(int(level.max(initial=0)) + 1), self.base)
         out = np.empty(len(k))
         out[order] = table[level[np.cumsum(new) - 1]]
@@ -124,7 +135,7 @@ def all_keys(w) -> np.ndarray:
     return np.concatenate([keys_of(w.h, w.doc, n) for n in range(1, ORDER + 1)])
 
 
-def word_scores(w, found: np.ndarray, tokens: int, vocabulary: int, lambdas=LAMBDAS) -> np.ndarray:
+def word_scores(w, found: np.ndarray, tokens: int, vocabulary: int, lambdas=LAMBDAS, discount: float = DISCOUNT) -> np.ndarray:
     """log10 p of each word. found: counts of all_keys(w)."""
     n = len(w.h)
     if not n:
@@ -135,21 +146,22 @@ def word_scores(w, found: np.ndarray, tokens: int, vocabulary: int, lambdas=LAMB
     c2[at2] = found[n : n + len(at2)]
     c3[at3] = found[n + len(at2) :]
     p1 = (c1 + 1) / (tokens + vocabulary)
-    before = np.concatenate([[0.0], c1[:-1]])
-    p2 = np.where((place >= 1) & (before > 0), np.minimum(1, c2 / np.maximum(before, 1)), 0)
-    before = np.concatenate([[0.0], c2[:-1]])
-    p3 = np.where((place >= 2) & (before > 0), np.minimum(1, c3 / np.maximum(before, 1)), 0)
     l1, l2, l3 = lambdas
-    mass = l1 + np.where(place >= 1, l2, 0) + np.where(place >= 2, l3, 0)
-    return np.log10((l1 * p1 + np.where(place >= 1, l2 * p2, 0) + np.where(place >= 2, l3 * p3, 0)) / mass)
+    total, mass = l1 * p1, np.full(n, l1)
+    for weight, least, c, context in ((l2, 1, c2, c1), (l3, 2, c3, c2)):
+        before = np.concatenate([[0.0], context[:-1]])
+        there = (place >= least) & (before > 0)
+        total += np.where(there, weight * np.clip((c - discount) / np.maximum(before, 1), 0, 1), 0)
+        mass += np.where(there, weight, 0)
+    return np.log10(total / mass)
 
 
-def train(docs: DataFrame, base: float = LOG_BASE, bits: int = BITS_PER_ENTRY, hashes: int = HASHES, broadcast_bytes: int = BROADCAST_BYTES) -> Model:
+def train(docs: DataFrame, base: float = LOG_BASE, bits: int = BITS_PER_ENTRY, hashes: int = HASHES, segment_bytes: int = SEGMENT_BYTES) -> Model:
     spark = docs.sparkSession
     ship(spark)
     folder = work_dir(spark, "lm")
     text = docs.select(docs["text"].cast("string").alias("text"))
-    shards = shard_count(text, 6 << 20)
+    shards = shard_count(text, SHARD_BYTES)
 
     def run(batches):
         gather = G.Gather(shards)
@@ -165,15 +177,37 @@ def train(docs: DataFrame, base: float = LOG_BASE, bits: int = BITS_PER_ENTRY, h
 
     def write(shard, keys, counts):
         levels = level_of(counts, base)
-        size = save_arrays(f"{folder}/filters/{shard}", {"bits": bloom_build(keys, levels, bits, hashes)})
+        made = bloom_build(keys, levels, bits, hashes)
+        write_file(f"{folder}/filters/{shard}", made.tobytes())
         one = (keys & TAG) == 1
-        return {"shard": shard, "tokens": int(counts[one].sum()), "vocabulary": int(one.sum()), "bytes": size}
+        return {"shard": shard, "tokens": int(counts[one].sum()), "vocabulary": int(one.sum()), "bytes": len(made)}
 
-    done = G.by_shard(text.mapInArrow(run, G.BLOB_DDL), write, "shard int, tokens long, vocabulary long, bytes long").collect()
-    held = None
-    if sum(r.bytes for r in done) <= broadcast_bytes:
-        held = spark.sparkContext.broadcast({r.shard: np.array(mapped(f"{folder}/filters/{r.shard}")["bits"]) for r in done})
-    return Model(folder, frozenset(r.shard for r in done), shards, sum(r.tokens for r in done), sum(r.vocabulary for r in done), base, hashes, held)
+    done = G.by_shard(text.mapInArrow(run, G.BLOB_DDL), shards, write, "shard long, tokens long, vocabulary long, bytes long").collect()
+    size = np.zeros(shards, np.int64)
+    size[[r.shard for r in done]] = [r.bytes for r in done]
+    before = np.cumsum(size) - size
+    segment = before // segment_bytes
+    _, segment = np.unique(segment, return_inverse=True)
+    begin = before - before[np.searchsorted(segment, segment)]
+    paths = join_filters(spark, folder, size, segment)
+    remove_dir(f"{folder}/filters")
+    return Model(paths, segment, begin, size * 8, sum(r.tokens for r in done), sum(r.vocabulary for r in done), base, hashes)
+
+
+def join_filters(spark, folder: str, size: np.ndarray, segment: np.ndarray) -> list[str]:
+    """Puts the filters of each segment's shards one after the other in one file, a task each."""
+    count = int(segment.max(initial=-1)) + 1
+
+    def run(batches):
+        for b in batches:
+            for s in b.column("id").to_pylist():
+                shards = [k for k in np.flatnonzero(segment == s).tolist() if size[k]]
+                if shards:
+                    write_file(f"{folder}/segments/{s}", (memoryview(mapped_file(f"{folder}/filters/{k}")) for k in shards))
+                yield pa.RecordBatch.from_arrays([pa.array([s])], names=["id"])
+
+    spark.range(0, count, 1, count).mapInArrow(run, "id long").collect()
+    return [f"{folder}/segments/{s}" for s in range(count)]
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
