@@ -1,31 +1,31 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Terms are the words of the benchmark that at most ``max_item_share`` of its items
-have.  The corpus is cut into passages of ``BLOCK`` words; terms that more than ``max_share`` of them have take no part in
-retrieval (they do in the decision), but for the rarest of each item. A is the passages'
+Terms are all words of the benchmark.  The corpus is cut into passages of ``BLOCK`` words. A is the passages'
 TF-IDF matrix over the terms, its columns scaled to about one norm (by the root of the
 document frequency), so that its leading singular vectors follow words that keep
 company and not words that are frequent.  One pass over all documents gathers the document
 frequencies, a second one, for a random matrix O, the products A'(AO) by terms,
 from which the driver takes the leading right singular vectors (randomised SVD in its single-pass
-form): work of the size terms x rank, whatever the corpus.
+form): work of the size terms x rank, whatever the corpus.  Products are blocked: the few terms that at least
+``DENSE_SHARE`` of the passages have are multiplied as dense matrices, the others row by row.
 
 A third pass projects windows of WINDOW_BLOCKS blocks, each a block after the
-other, and compares every one with every item by cosine.  A window dilutes short items, so that
-the cosine alone misses some; besides, every window is a candidate that can have ``TERM_SHARE`` of an item's terms,
-found by the terms that are rarest in the corpus: nothing that the decision would accept is left out
+other, takes off the projection of as many words of an average passage, and compares every one with every item by cosine.  A window dilutes short items, so that
+the cosine alone misses some; besides, every window is a candidate that can have ``TERM_SHARE`` of an item's content,
+found by the words that are rarest in the corpus: nothing that the decision would accept is left out
 (prefix filtering).  Candidates are decided by the longest common
 subsequence of words, over the window's words and the item's: a leak if it covers ``lcs_share``
 of the item; a paraphrase if it covers ``paraphrase_share`` and the answer - the last quarter
-of the item, four words at least - is there by ``answer_share``. In either case half the
-item's terms must be in the subsequence, so that function words alone never decide.
+of the item, four words at least - is there by ``answer_share``. In either case half of the
+item's content must be in the subsequence, so that function words alone never decide: content are the
+words that at most ``max_item_share`` of the items have, and all words of an item that has none of those.
 
 Items of more than ITEM_WORDS words are cut into equal parts, each searched as an item;
 a leak of a part is one of the item.  The items are held by every worker: more than
-``max_items`` are searched in batches of about so many, all rows of an item in one; which terms count is settled over all of them.
+``max_items`` rows, or ``max_words`` words, are searched in batches of about so many, all rows of an item in one; what is content is settled over all of them.
 
-Defined cases: null and empty texts and items match nothing; items without a
-term of their own keep all their words as terms; repeated rows give their rows each; further columns
+Defined cases: null and empty texts and items match nothing; items and documents
+may have ids of any type; repeated rows give their rows each; further columns
 pass through ``drop_contaminated`` and are ignored elsewhere.
 """
 
@@ -40,6 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from rulespan.llm.text import U, pieces, words
 from rulespan.shared import input_bytes, read_parquet_dir, remove_dir, ship, work_dir
@@ -47,16 +48,17 @@ from rulespan.shared import input_bytes, read_parquet_dir, remove_dir, ship, wor
 BLOCK, WINDOW_BLOCKS, ITEM_WORDS = 32, 3, 64
 RANK, OVERSAMPLE = 256, 32
 COSINE, LCS_SHARE, PARAPHRASE_SHARE, ANSWER_SHARE, TERM_SHARE = 0.5, 0.6, 0.45, 0.75, 0.5
-MAX_ITEM_SHARE, MAX_PASSAGE_SHARE, MAX_ITEMS = 0.1, 0.002, 200_000
+MAX_ITEM_SHARE, MAX_ITEMS, MAX_WORDS = 0.1, 200_000, 2_000_000
+DENSE_SHARE = 0.04
 LUT_BITS = 20
 TERM_BLOCK = 128
 MORE, POSTINGS = 4, 1 << 20
-COSINES, MADE = 1 << 22, 10_000
+COSINES, MADE, GATHERED = 1 << 22, 10_000, 1 << 15
 
 
 @dataclass
 class Parts:
-    """item: id of each part; tokens: its word hashes; terms: sorted, those that retrieval uses; content: those that decide, and their df."""
+    """item: id of each part; tokens: its word hashes; terms: all words, sorted; content: those that decide; df: passages that have each term."""
 
     item: list
     tokens: list
@@ -68,14 +70,6 @@ class Parts:
         self.lut = np.zeros(1 << LUT_BITS, bool)
         self.lut[(self.terms >> U(64 - LUT_BITS)).astype(np.int64)] = True
 
-    def rare(self, df: np.ndarray, passages: int, share: float, least: int = 4) -> tuple[Parts, np.ndarray]:
-        """Without the terms that more than this share of passages have; each part keeps its ``least`` rarest. And their df."""
-        keep = df <= share * passages
-        for t in self.tokens:
-            i = np.unique(self.find(t)[1])
-            keep[i[np.argsort(df[i], kind="stable")[:least]]] = True
-        return Parts(self.item, self.tokens, self.terms[keep], self.content, df), df[keep]
-
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return find(self.terms, self.lut, h)
 
@@ -99,7 +93,8 @@ class Prefixes:
     def __init__(self, parts: Parts, more: int = MORE):
         term, part, weight = [], [], []
         self.least = np.zeros(len(parts.tokens), np.int64)
-        rank = np.argsort(np.argsort(np.zeros(len(parts.content)) if parts.df is None else parts.df, kind="stable"), kind="stable")
+        df = np.zeros(len(parts.content)) if parts.df is None else parts.df[np.searchsorted(parts.terms, parts.content)]
+        rank = np.argsort(np.argsort(df, kind="stable"), kind="stable")
         for k, t in enumerate(parts.tokens):
             i = np.minimum(np.searchsorted(parts.content, t), len(parts.content) - 1)
             i, n = np.unique(i[parts.content[i] == t], return_counts=True)
@@ -163,7 +158,7 @@ def item_texts(benchmark: DataFrame) -> DataFrame:
 
 
 def read_items(benchmark: DataFrame, max_items: int | None = MAX_ITEMS, max_item_share: float = MAX_ITEM_SHARE, common: np.ndarray | None = None) -> Parts:
-    """common: the words that aren't terms, where benchmark is a batch of the items."""
+    """common: the words that aren't content, where benchmark is a batch of the items."""
     rows = item_texts(benchmark)
     rows = (rows if max_items is None else rows.limit(max_items + 1)).toArrow()
     if max_items is not None and rows.num_rows > max_items:
@@ -181,17 +176,17 @@ def read_items(benchmark: DataFrame, max_items: int | None = MAX_ITEMS, max_item
     u, inv = np.unique(np.concatenate(tokens), return_inverse=True)
     if common is not None:
         good = ~np.isin(u, common)
-        return Parts(item, tokens, u[good], u[good])
+        return Parts(item, tokens, u, u[good])
     pairs = np.unique(inv.astype(np.int64) * len(tokens) + owner)
     share = np.bincount(pairs // len(tokens), minlength=len(u))
     good = share <= max(2, max_item_share * len(tokens))
     bare = np.bincount(owner, weights=good[inv], minlength=len(tokens)) == 0
     good[inv[bare[owner]]] = True
-    return Parts(item, tokens, u[good], u[good])
+    return Parts(item, tokens, u, u[good])
 
 
 def common_words(benchmark: DataFrame, max_item_share: float = MAX_ITEM_SHARE) -> np.ndarray:
-    """The words that read_items leaves out of the terms, over any number of items. At most ITEM_WORDS / max_item_share come to the driver."""
+    """The words that read_items leaves out of the content, over any number of items. At most ITEM_WORDS / max_item_share come to the driver."""
 
     def over_parts(of):
         def run(batches):
@@ -218,9 +213,10 @@ def common_words(benchmark: DataFrame, max_item_share: float = MAX_ITEM_SHARE) -
     return np.setdiff1d(often, np.array([r.h for r in over_parts(bare).collect()], np.int64).view(U))
 
 
-def item_batches(benchmark: DataFrame, max_items: int):
-    """The parts of all items, in batches of about max_items; an item's rows are in one."""
-    batches = -(-item_texts(benchmark).count() // max_items)
+def item_batches(benchmark: DataFrame, max_items: int, max_words: int = MAX_WORDS):
+    """The parts of all items, in batches of about max_items and max_words; an item's rows are in one."""
+    size = item_texts(benchmark).agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(F.split("text", r"\W+"))).alias("words")).collect()[0]
+    batches = max(-(-size.n // max_items), -(-(size.words or 0) // max_words))
     if batches <= 1:
         yield read_items(benchmark, max_items)
         return
@@ -289,38 +285,75 @@ def term_frequencies(docs: DataFrame, parts: Parts) -> tuple[np.ndarray, int]:
     return (got[0][:-1], int(got[0][-1])) if got else (np.zeros(m, np.int64), 0)
 
 
-def latent_vectors(docs: DataFrame, parts: Parts, rank: int = RANK, oversample: int = OVERSAMPLE, max_share: float = MAX_PASSAGE_SHARE) -> tuple[Parts, np.ndarray]:
-    """The parts with the terms that retrieval uses, and terms x rank: IDF times the right singular vectors of the corpus' matrix."""
+class Products:
+    """Sums of rows of a matrix of terms by blocks, and the transposed product. Terms of ``dense`` are multiplied as a matrix, a row
+    of counts for each block; of the others, the first of each block are added at once, then the second, and so on."""
+
+    def __init__(self, matrix: np.ndarray, dense: np.ndarray):
+        self.matrix, self.dense = matrix, np.flatnonzero(dense)
+        self.column = np.full(len(matrix), -1, np.int32)
+        self.column[self.dense] = np.arange(len(self.dense))
+
+    def of(self, block: np.ndarray, i: np.ndarray):
+        """block: ascending. (ids of the blocks, their sums, and what back() needs)."""
+        at = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+        ids = block[at]
+        local = np.repeat(np.arange(len(ids)), np.diff(np.append(at, len(block))))
+        k = self.column[i]
+        often = k >= 0
+        counts = np.bincount(local[often] * len(self.dense) + k[often], minlength=len(ids) * len(self.dense)).reshape(len(ids), -1).astype(np.float32) if len(self.dense) else np.zeros((len(ids), 0), np.float32)
+        out = counts @ self.matrix[self.dense]
+        local, i = local[~often], i[~often]
+        first = np.searchsorted(local, np.arange(len(ids)))
+        size = np.diff(np.append(first, len(local)))
+        live = np.argsort(-size, kind="stable")
+        for n in range(int(size.max(initial=0))):
+            live = live[: np.searchsorted(-size[live], -n, "left")]
+            out[live] += self.matrix[i[first[live] + n]]
+        return ids, out, (counts, local, i)
+
+    def back(self, y: np.ndarray, p: np.ndarray, kept) -> None:
+        """Adds to y, for each term, the rows p of the blocks that have it."""
+        counts, local, i = kept
+        y[self.dense] += counts.T @ p
+        order = np.argsort(i, kind="stable")
+        for k in range(0, len(order), GATHERED):
+            some = order[k : k + GATHERED]
+            t, s = sum_by(i[some], p[local[some]])
+            y[t] += s
+
+
+def latent_vectors(docs: DataFrame, parts: Parts, rank: int = RANK, oversample: int = OVERSAMPLE) -> tuple[Parts, np.ndarray, np.ndarray, np.ndarray]:
+    """The parts with their df; terms x rank: IDF times the right singular vectors of the corpus' matrix; the projection of an
+    average passage; and which terms are multiplied as dense ones."""
     df, n = term_frequencies(docs, parts)
-    parts, df = parts.rare(df, n, max_share)
+    parts = Parts(parts.item, parts.tokens, parts.terms, parts.content, df)
     m = len(parts.terms)
     width = min(rank + oversample, m)
-    idf = np.log((1 + n) / (1 + df)) + 1
+    idf = np.log((1 + n) / (1 + df)) + 1e-3
     scale = (idf / np.sqrt(df + 1)).astype(np.float32)
+    dense = df >= max(1, DENSE_SHARE * n)
 
     def run(batches):
-        omega = test_matrix(m, width) * scale[:, None]
+        products = Products(test_matrix(m, width) * scale[:, None], dense)
         y = np.zeros((m, width), np.float32)
         for batch in batches:
             for b in pieces(batch, "text"):
                 w = words(b.column("text"))
                 at, i = parts.find(w.h)
-                if not len(at):
-                    continue
-                block, base = blocks_of(w, at)
-                ids, p = sum_by(block, omega[i])
-                order = np.argsort(i, kind="stable")
-                t, s = sum_by(i[order], p[np.searchsorted(ids, block[order])])
-                y[t] += s
+                if len(at):
+                    _, p, kept = products.of(blocks_of(w, at)[0], i)
+                    products.back(y, p, kept)
         for k in range(0, m, TERM_BLOCK):
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([part_id()]), pa.array([y[k : k + TERM_BLOCK].astype(np.float64).tobytes()], pa.binary())], names=["k", "part", "a"])
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([part_id()]), pa.array([y[k : k + TERM_BLOCK].tobytes()], pa.binary())], names=["k", "part", "a"])
 
     text = docs.select(docs["text"].cast("string").alias("text"))
-    got = summed(text.mapInArrow(run, "k long, part long, a binary"), np.float64, text)
+    got = summed(text.mapInArrow(run, "k long, part long, a binary"), np.float32, text)
     if not got:
-        return parts, np.zeros((m, 1), np.float32)
-    y = np.concatenate([got[k].reshape(-1, width) for k in sorted(got)])
-    return parts, (idf[:, None] * leading_vectors(y * scale[:, None], test_matrix(m, width), rank)).astype(np.float32)
+        return parts, np.zeros((m, 1), np.float32), np.zeros(1, np.float32), dense
+    y = np.concatenate([got[k].reshape(-1, width) for k in sorted(got)]).astype(np.float64)
+    vectors = (idf[:, None] * leading_vectors(y * scale[:, None], test_matrix(m, width), rank)).astype(np.float32)
+    return parts, vectors, (df / max(n, 1)).astype(np.float32) @ vectors, dense
 
 
 def leading_vectors(y: np.ndarray, omega: np.ndarray, rank: int) -> np.ndarray:
@@ -353,13 +386,15 @@ def bit_masks(tokens: list) -> dict:
 
 
 class Matcher:
-    def __init__(self, parts: Parts, vectors: np.ndarray):
-        self.parts, self.vectors = parts, vectors
+    def __init__(self, parts: Parts, vectors: np.ndarray, mean: np.ndarray | None = None, dense: np.ndarray | None = None):
+        self.parts = parts
+        self.products = Products(vectors, np.zeros(len(vectors), bool) if dense is None else dense)
+        self.mean = np.zeros(vectors.shape[1], np.float32) if mean is None else mean / BLOCK
         self.made: dict = {}
         q = np.zeros((len(parts.tokens), vectors.shape[1]), np.float32)
         for k, t in enumerate(parts.tokens):
             _, i = parts.find(t)
-            q[k] = vectors[i].sum(0)
+            q[k] = vectors[i].sum(0) - len(t) * self.mean
         self.queries = unit(q)
         self.prefixes = Prefixes(parts)
 
@@ -402,9 +437,9 @@ class Matcher:
         found: dict = {}
         exact, part, base = self.prefixes.windows(w)
         at, i = self.parts.find(w.h)
-        ids, begin, s = np.empty(0, np.int64), exact, np.empty((0, self.vectors.shape[1]), np.float32)
+        ids, begin, s = np.empty(0, np.int64), exact, np.empty((0, len(self.mean)), np.float32)
         if len(at):
-            ids, s = sum_by(blocks_of(w, at)[0], self.vectors[i])
+            ids, s, _ = self.products.of(blocks_of(w, at)[0], i)
             row_of = np.searchsorted(base, ids, "right") - 1
             # windows that begin at most WINDOW_BLOCKS - 1 blocks before a block that has terms
             begin = np.concatenate([exact, *(np.maximum(ids - k, base[row_of]) for k in range(WINDOW_BLOCKS))])
@@ -415,7 +450,8 @@ class Matcher:
             j = np.minimum(np.searchsorted(ids, begin + k), len(ids) - 1)
             hit = (ids[j] == begin + k) & (begin + k < base[row + 1])
             total[hit] += s[j[hit]]
-        total = unit(total)
+        size = np.minimum((begin - base[row] + WINDOW_BLOCKS) * BLOCK, w.count[row]) - (begin - base[row]) * BLOCK
+        total = unit(total - size[:, None].astype(np.float32) * self.mean)
         exact = np.searchsorted(begin, exact)
         step = max(1, min(4096, COSINES // len(self.queries)))
         for a in range(0, len(total), step):
@@ -459,17 +495,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, max_items: int = MAX_ITEMS) ->
     ddl = f"doc_id {kind}, item_id {item}, {LEAK_DDL}"
     ship(docs.sparkSession)
     text = docs.select("doc_id", docs["text"].cast("string").alias("text"))
-    found = [text.mapInArrow(leak_rows(docs.sparkSession.sparkContext.broadcast(m), item), ddl) for m in matchers(docs, item_batches(benchmark, max_items))]
-    return reduce(DataFrame.unionAll, found) if found else docs.sparkSession.createDataFrame([], ddl)
+    spark = docs.sparkSession
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
+    found = [text.mapInArrow(leak_rows(spark.sparkContext.broadcast(m), item_type), ddl) for m in matchers(docs, item_batches(benchmark, max_items))]
+    return reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], ddl)
 
 
-def leak_rows(shared, item: str):
+def leak_rows(shared, item_type: pa.DataType):
     def run(batches):
         from rulespan.llm.toxicity import char_positions
 
         m = shared.value
         for batch in batches:
-            item_type = pa.int64() if item == "bigint" else None
             for b in pieces(batch, "text"):
                 w, found = m.search(b)
                 if not found:
@@ -481,7 +518,7 @@ def leak_rows(shared, item: str):
                 base = chars[w.offs[rows]]
                 start = chars[w.start[[x[3] for x in v]]] - base
                 end = chars[w.end[[x[4] - 1 for x in v]]] - base
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(rows)), pa.array([k[1] for k in keys], item_type), *(pa.array([x[j] for x in v]) for j in range(3)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["doc_id", "item_id", "cosine", "lcs", "answer", "start", "end"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(rows)), pa.array([k[1] for k in keys], item_type), *(pa.array([x[j] for x in v], pa.float64()) for j in range(3)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["doc_id", "item_id", "cosine", "lcs", "answer", "start", "end"])
 
     return run
 

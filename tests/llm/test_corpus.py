@@ -110,6 +110,18 @@ def test_minimal_perfect_hash():
     assert (L.mph_slots(m, keys + np.uint64(1)) < len(keys)).all()
 
 
+def test_lines_whose_hashes_agree():
+    rng = np.random.default_rng(4)
+    k = np.repeat(rng.integers(1, 1 << 62, 50), rng.integers(1, 4, 50))
+    fp, n, owner = np.arange(len(k)), rng.integers(1, 4, len(k)), rng.integers(0, 99, len(k))
+    none, at = np.zeros(len(k), bool), np.zeros(len(k), np.int64)
+    mixed = rng.permutation(len(k))
+    m = L.shard_arrays({c: x[mixed] for c, x in dict(k=k, fp=fp, n=n, none=none, owner=owner, at=at).items()})
+    for there, want in ((owner, np.zeros(len(k), bool)), (owner + 1, n >= 2)):
+        assert (L.stands_elsewhere(m, k.astype(np.uint64), fp.astype(np.uint32), none, there, at, 2) == want).all()
+    assert not L.stands_elsewhere(m, k.astype(np.uint64), fp.astype(np.uint32) + 1000, none, owner + 1, at, 2).any()
+
+
 def test_lines_against_sql(spark, odd, clashing, empty):
     rng = random.Random(3)
     pool = [prose(rng, 4) for _ in range(12)] + ["short", "", "  ", "é" * 12]
@@ -150,11 +162,16 @@ def brute_pairs(rows, n, t):
 
 
 def expand(rows):
-    out = []
+    """All pairs, from those of least documents and the members of their classes."""
+    classes = {}
     for r in rows:
-        pairs = itertools.combinations(r.docs_a, 2) if r.docs_a == r.docs_b else itertools.product(r.docs_a, r.docs_b)
-        out += [tuple(sorted(p, key=repr)) for p in pairs]
-    return sorted(out, key=repr)
+        if r.jaccard == 1:
+            classes.setdefault(r.doc_id_a, [r.doc_id_a]).append(r.doc_id_b)
+    out = [p for c in classes.values() for p in itertools.combinations(c, 2)]
+    for r in rows:
+        if r.jaccard < 1:
+            out += itertools.product(classes.get(r.doc_id_a, [r.doc_id_a]), classes.get(r.doc_id_b, [r.doc_id_b]))
+    return sorted((tuple(sorted(p, key=repr)) for p in out), key=repr)
 
 
 def near_rows(rng):
@@ -200,6 +217,38 @@ def test_join_odd_rows(spark, odd, clashing, empty, odd_rows):
     assert J.near_duplicates(empty).count() == 0 and J.one_of_each(empty).count() == 0
 
 
+def test_join_against_sql(spark):
+    rows = near_rows(random.Random(31)) + [(200, "two words"), (201, "Two, words"), (202, ""), (203, None), (204, "ÀÉÎ × ßx_9 wort"), (205, "àéî ÷ ßX_9 Wort")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    cols = ["doc_id_a", "doc_id_b", "shared", "jaccard"]
+    want = con.execute(f"select {', '.join(cols)} from ({J.oracle()})").fetchall()
+    assert len(want) > 10 and key(J.near_duplicates(df).select(cols).collect()) == key(want)
+
+
+def test_hits_in_parts_and_uid_sets(spark, tmp_path, monkeypatch):
+    rows = near_rows(random.Random(32)) * 2
+    rows = [(k, t) for k, (_, t) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    rng = np.random.default_rng(0)
+    gram, loc, size = rng.integers(0, 9, 400).astype(np.uint64), np.arange(400, dtype=np.uint64) << np.uint64(10), rng.integers(1, 20, 400).astype(np.uint32)
+    want = rng.integers(1, 4, 400).astype(np.uint8)
+    lev = rng.integers(1, 4, 400).astype(np.uint8) | want << 4
+
+    def run():
+        return sorted((a, b, n) for _, x, y, k in J.shard_hits(gram, loc, size, lev, 0.6, 5) for a, b, n in zip(x.tolist(), y.tolist(), k.tolist()))
+
+    whole = run()
+    brute = [(int(loc[i]), int(loc[j]), 1) for i in range(400) for j in range(400) if gram[i] == gram[j] and (size[i], loc[i]) > (size[j], loc[j]) and size[j] >= 0.6 * size[i] - 1e-9 and lev[i] & 15 <= want[i] and lev[j] & 15 <= want[i]]
+    assert whole == sorted(brute)
+    monkeypatch.setattr(J, "HITS", 7)
+    assert run() == whole
+    s = J.UidSet.of(spark.createDataFrame([(5, 1), (5, 2), (-9, 3), (7, 4)], "uid long, chk long"), str(tmp_path / "u"))
+    assert s.contains(np.array([5, 5, 5, -9, 7, 8, -10]), np.array([1, 2, 3, 3, 3, 4, 3])).tolist() == [True, True, False, True, False, False, False]
+    assert expand(J.near_duplicates(df).collect()) == brute_pairs(rows, 3, 0.6)
+
+
 # --- decontamination
 
 
@@ -354,20 +403,20 @@ def test_scores_against_exact_counts(spark, odd, clashing, empty):
             c.update(tuple(w[k : k + n]) for k in range(len(w) - n + 1))
     total, vocabulary = sum(v for g, v in c.items() if len(g) == 1), sum(len(g) == 1 for g in c)
     q = {g: float(M.count_of(M.level_of(np.array([v]), M.LOG_BASE), M.LOG_BASE)[0]) for g, v in c.items()}
+    assert [float(M.count_of(np.array([k]), M.LOG_BASE)[0]) for k in range(5)] == [0, 1, 2, 3, 4.5]
 
     def brute(t):
         w, out = word_list(t), 0.0
         for k in range(len(w)):
             p, mass = M.LAMBDAS[0] * (q[(w[k],)] + 1) / (total + vocabulary), M.LAMBDAS[0]
-            if k >= 1:
-                p, mass = p + M.LAMBDAS[1] * min(1, q[tuple(w[k - 1 : k + 1])] / q[(w[k - 1],)]), mass + M.LAMBDAS[1]
-            if k >= 2:
-                p, mass = p + M.LAMBDAS[2] * min(1, q[tuple(w[k - 2 : k + 1])] / q[tuple(w[k - 2 : k])]), mass + M.LAMBDAS[2]
+            for n in (1, 2):
+                if k >= n:
+                    p, mass = p + M.LAMBDAS[n] * min(1, max(0, q[tuple(w[k - n : k + 1])] - M.DISCOUNT) / q[tuple(w[k - n : k])]), mass + M.LAMBDAS[n]
             out += np.log10(p / mass)
         return out
 
-    for limit in (1 << 30, 0):  # broadcast, and mapped
-        got = M.lm_scores(df, bits=32, hashes=12, broadcast_bytes=limit).collect()
+    for size in (1 << 30, 100):  # one segment of filters, and many
+        got = M.lm_scores(df, bits=32, hashes=12, segment_bytes=size).collect()
         assert len(got) == len(rows)
         for i, t in rows:
             mine = [r for r in got if r.doc_id == i and r.n_words == len(word_list(t))]
@@ -393,12 +442,21 @@ def test_production_scores_near_exact_counts(spark):
         for k in range(len(w)):
             p, mass = M.LAMBDAS[0] * (c[(w[k],)] + 1) / (total + vocabulary), M.LAMBDAS[0]
             for n in range(1, min(k, 2) + 1):
-                p, mass = p + M.LAMBDAS[n] * c[tuple(w[k - n : k + 1])] / c[tuple(w[k - n : k])], mass + M.LAMBDAS[n]
+                p, mass = p + M.LAMBDAS[n] * (c[tuple(w[k - n : k + 1])] - M.DISCOUNT) / c[tuple(w[k - n : k])], mass + M.LAMBDAS[n]
             exact += np.log10(p / mass)
         errors.append((r.log_prob - exact) / len(w))
     assert len(errors) == len(rows) and np.abs(errors).max() <= 0.03  # log10 a word
 
 
+def test_copies_are_told_from_the_rest(spark):
+    rng = random.Random(16)
+    rows = [(k, prose(rng, 80)) for k in range(200)]
+    rows += [(200 + k, rows[k][1]) for k in range(20)]
+    got = {r.doc_id: r.perplexity for r in M.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    twice = [got[k] for k in (*range(20), *range(200, 220))]
+    assert max(twice) < min(got[k] for k in range(20, 200))
+
+
 # --- the pipeline
 
 
