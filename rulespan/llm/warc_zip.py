@@ -5,9 +5,11 @@ each WARC record, and ``indexes/index.cdxj`` with the offset and length of each
 parses the end record, the ZIP64 end record where there is one, and the central
 directory with its ZIP64 fields; finds where each stored member begins; reads the
 indexes; and lets tasks read the ranges of the records that they parse.
-Nothing is extracted.  An archive that no index lists is walked record by record.
+Nothing is extracted.  An archive that no index lists is walked record by record, compressed or plain; an index
+may be compressed as well.  Of packages by others, response and resource records are pages: the url is WARC-Target-URI, the html
+their payload (of HTTP responses after chunks and compression, in the charset that is named, else UTF-8), and page_id is null; other records aren't pages.
 
-Defined cases: a null url or html stays null, an empty html is an empty
+Defined cases: page_id is of any type that casts to string and back; a null url or html stays null, an empty html is an empty
 payload; repeated pages are records of their own; an empty table gives no package, and no
 package no rows. Columns other than page_id, url and html aren't archived.
 """
@@ -24,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulespan.shared import open_ranges, ship, work_dir, write_file
+from rulespan.shared import open_ranges, read_parquet_dir, ship, work_dir, write_file
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
-PACKAGE_BYTES = 48 << 20
+PACKAGE_BYTES, TASK_BYTES = 48 << 20, 64 << 20
+GZIP = b"\x1f\x8b"
 END, END64, LOCATOR64, CENTRAL, LOCAL = 0x06054B50, 0x06064B50, 0x07064B50, 0x02014B50, 0x04034B50
 FULL32, FULL16 = 0xFFFFFFFF, 0xFFFF
 DATE = "2024-01-01T00:00:00Z"
@@ -40,7 +43,7 @@ class BadPackage(ValueError):
 # --- writing
 
 
-def warc_record(page_id, url: str | None, html: str | None) -> bytes:
+def warc_record(page_id: str | None, url: str | None, html: str | None) -> bytes:
     body = (html or "").encode()
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(body)
     head = ["WARC/1.1", "WARC-Type: response", f"WARC-Date: {DATE}", "Content-Type: application/http;msgtype=response", f"X-Page: {json.dumps([page_id, url, html is None])}", f"Content-Length: {len(http) + len(body)}"]
@@ -74,8 +77,8 @@ def zip_stored(members: list[tuple[str, list[bytes]]], zip64: bool = False) -> l
     return out
 
 
-def write_packages(pages: DataFrame, folder: str | None = None, package_bytes: int = PACKAGE_BYTES, zip64: bool = False) -> list[str]:
-    """Packs page_id, url and html; returns the packages. Each task writes its own, whole or not at all."""
+def write_packages(pages: DataFrame, folder: str | None = None, package_bytes: int = PACKAGE_BYTES, zip64: bool = False) -> DataFrame:
+    """Packs page_id, url and html; returns a table of the packages (path). Each task writes its own, whole or not at all."""
     spark = pages.sparkSession
     ship(spark)
     folder = folder or work_dir(spark, "warc")
@@ -103,8 +106,8 @@ def write_packages(pages: DataFrame, folder: str | None = None, package_bytes: i
         if held:
             yield flush()
 
-    chosen = pages.select("page_id", pages["url"].cast("string").alias("url"), pages["html"].cast("string").alias("html"))
-    return sorted(r.path for r in chosen.mapInArrow(run, "path string").collect())
+    chosen = pages.select(pages["page_id"].cast("string").alias("page_id"), pages["url"].cast("string").alias("url"), pages["html"].cast("string").alias("html"))
+    return read_parquet_dir(spark, chosen.mapInArrow(run, "path string"), f"{work_dir(spark, 'warc-files')}/files")
 
 
 # --- directories
@@ -193,13 +196,19 @@ def records_of(path: str) -> list[tuple[str, int, int]]:
         out, listed = [], set()
         for name, m in found.items():
             if name.startswith("indexes/") and m.method == 0:
-                for line in read_at(f, m.offset, m.size).decode().splitlines():
-                    entry = json.loads(line.split(" ", 2)[2])
-                    archive = archives[entry["filename"]]
-                    if entry["offset"] + entry["length"] > archive.size:
+                text = read_at(f, m.offset, m.size)
+                for line in (gzip.decompress(text) if text[:2] == GZIP else text).decode().splitlines():
+                    if "{" not in line:
+                        continue
+                    entry = json.loads(line[line.index("{") :])
+                    if not {"filename", "offset", "length"} <= set(entry):
+                        continue
+                    where, at, n = str(entry["filename"]), int(entry["offset"]), int(entry["length"])
+                    where = where if where in archives else f"archive/{where}"
+                    if at + n > archives[where].size:
                         raise BadPackage("the index points behind the archive")
-                    listed.add(entry["filename"])
-                    out.append((path, archive.offset + entry["offset"], entry["length"]))
+                    listed.add(where)
+                    out.append((path, archives[where].offset + at, n))
         for name, m in archives.items():
             if name not in listed:
                 out += [(path, m.offset + a, n) for a, n in walk(f, m)]
@@ -207,9 +216,23 @@ def records_of(path: str) -> list[tuple[str, int, int]]:
 
 
 def walk(f, m: Member, step: int = 1 << 16):
-    """(offset, length) of each gzip member in an archive."""
+    """(offset, length) of each record in an archive: its gzip members, or by the lengths that plain records name."""
     at = 0
     while at < m.size:
+        start = read_at(f, m.offset + at, min(step, m.size - at))
+        if start[:2] != GZIP:
+            while b"\r\n\r\n" not in start:
+                more = read_at(f, m.offset + at + len(start), min(step, m.size - at - len(start)))
+                if not more:
+                    raise BadPackage("a record is cut off")
+                start += more
+            head, _, _ = start.partition(b"\r\n\r\n")
+            used = len(head) + 4 + int(header_fields(head)["content-length"]) + 4
+            if at + used > m.size:
+                raise BadPackage("a record is cut off")
+            yield at, used
+            at += used
+            continue
         d, used = zlib.decompressobj(31), 0
         while not d.eof:
             chunk = read_at(f, m.offset + at + used, min(step, m.size - at - used))
@@ -222,19 +245,63 @@ def walk(f, m: Member, step: int = 1 << 16):
         at += used
 
 
-def parse_record(data: bytes) -> tuple:
-    """(page_id, url, html)"""
-    head, _, rest = gzip.decompress(data).partition(b"\r\n\r\n")
-    fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
-    block = rest[: int(fields["Content-Length"])]
-    body = block.partition(b"\r\n\r\n")[2]
-    page, url, no_html = json.loads(fields["X-Page"])
-    return page, url, None if no_html else body.decode()
-
-
-def read_packages(spark: SparkSession, paths: list[str], page_type: str = "long", group_bytes: int = 4 << 20) -> DataFrame:
-    """page_id, url, html of all records. Directories are read by one task a package, then ranges are
-    spread over tasks; neighbouring ranges of a package are read at once."""
+def header_fields(head: bytes) -> dict[str, str]:
+    """Names in small letters; the first line, which is no field, is left out."""
+    fields = (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])
+    return {name.strip().lower(): value.strip() for name, _, value in fields}
+
+
+def http_payload(block: bytes) -> str:
+    """The body of an HTTP response as text."""
+    head, _, body = block.partition(b"\r\n\r\n")
+    fields = header_fields(head)
+    if fields.get("transfer-encoding", "").lower() == "chunked":
+        parts, at = [], 0
+        while (end := body.find(b"\r\n", at)) >= 0:
+            try:
+                n = int(body[at:end].split(b";")[0], 16)
+            except ValueError:  # saved without its chunks
+                parts = [body]
+                break
+            if n == 0:
+                break
+            parts.append(body[end + 2 : end + 2 + n])
+            at = end + 4 + n
+        body = b"".join(parts) or (body if body[:1] != b"0" else b"")
+    coding = fields.get("content-encoding", "").lower()
+    if coding in ("gzip", "x-gzip", "deflate"):
+        try:
+            body = zlib.decompress(body, 47 if "gzip" in coding else 15)
+        except zlib.error:  # saved without its compression
+            pass
+    return decoded(body, fields.get("content-type", ""))
+
+
+def decoded(body: bytes, kind: str) -> str:
+    charset = kind.lower().partition("charset=")[2].split(";")[0].strip(" \"'") or "utf-8"
+    try:
+        return body.decode(charset, "replace")
+    except LookupError:
+        return body.decode("utf-8", "replace")
+
+
+def parse_record(data: bytes) -> tuple | None:
+    """(page_id as a string, url, html), or None of a record that isn't a page."""
+    head, _, rest = (gzip.decompress(data) if data[:2] == GZIP else data).partition(b"\r\n\r\n")
+    fields = header_fields(head)
+    block = rest[: int(fields["content-length"])]
+    if own := fields.get("x-page"):
+        page, url, no_html = json.loads(own)
+        return page, url, None if no_html else block.partition(b"\r\n\r\n")[2].decode()
+    kind, url = fields.get("warc-type"), fields.get("warc-target-uri", "").strip("<>")
+    if kind == "response" and "http" in fields.get("content-type", "application/http"):
+        return None, url, http_payload(block)
+    return (None, url, decoded(block, fields.get("content-type", ""))) if kind == "resource" else None
+
+
+def read_packages(spark: SparkSession, packages: DataFrame | list[str], page_type: str = "long", group_bytes: int = 4 << 20) -> DataFrame:
+    """page_id, url, html of all records. packages: a table of paths, or a list. Directories are read first, so that what there is
+    to read is known and written down, then ranges are spread over tasks by their bytes; neighbouring ranges of a package are read at once."""
     ship(spark)
 
     def index(batches):
@@ -247,7 +314,8 @@ def read_packages(spark: SparkSession, paths: list[str], page_type: str = "long"
                         groups.append([])
                     groups[-1].append((at, n))
                     size += n
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(groups)), pa.array([[a for a, _ in g] for g in groups], pa.list_(pa.int64())), pa.array([[n for _, n in g] for g in groups], pa.list_(pa.int64()))], names=["path", "at", "n"])
+                cols = pa.array([path] * len(groups), pa.string()), *(pa.array([[x[k] for x in g] for g in groups], pa.list_(pa.int64())) for k in (0, 1)), pa.array([sum(n for _, n in g) for g in groups], pa.int64())
+                yield pa.RecordBatch.from_arrays(list(cols), names=["path", "at", "n", "bytes"])
 
     def load(batches):
         for b in batches:
@@ -260,20 +328,24 @@ def read_packages(spark: SparkSession, paths: list[str], page_type: str = "long"
                         while e + 1 < len(at) and at[e + 1] == at[e] + n[e]:
                             e += 1
                         data = read_at(f, at[k], at[e] + n[e] - at[k])
-                        rows += [parse_record(data[at[j] - at[k] : at[j] - at[k] + n[j]]) for j in range(k, e + 1)]
+                        found = (parse_record(data[at[j] - at[k] : at[j] - at[k] + n[j]]) for j in range(k, e + 1))
+                        rows += [r for r in found if r is not None]
                         k = e + 1
-                cols = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0]) if page_type != "long" else pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=["page_id", "url", "html"])
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names=["page_id", "url", "html"])
 
-    if not paths:
-        return spark.createDataFrame([], f"page_id {page_type}, url string, html string")
-    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(len(paths), "path")
-    ranges = files.mapInArrow(index, "path string, at array<long>, n array<long>")
-    slices = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), len(paths))
-    return ranges.repartition(slices, F.col("path"), F.col("at")).mapInArrow(load, f"page_id {page_type}, url string, html string")
+    if isinstance(packages, list):
+        packages = spark.createDataFrame([(p,) for p in packages], "path string")
+    cores, count = spark.sparkContext.defaultParallelism, packages.count()
+    tasks = max(1, min(count, max(cores * 4, count // 16)))
+    ranges = packages.select("path").repartition(tasks).mapInArrow(index, "path string, at array<long>, n array<long>, bytes long")
+    ranges = read_parquet_dir(spark, ranges, f"{work_dir(spark, 'warc-ranges')}/ranges")
+    total = ranges.agg(F.sum("bytes")).collect()[0][0] or 0
+    slices = max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")), total // TASK_BYTES)
+    rows = ranges.drop("bytes").repartition(slices, F.col("path"), F.col("at")).mapInArrow(load, "page_id string, url string, html string")
+    return rows.withColumn("page_id", F.col("page_id").cast(page_type))
 
 
 def through_packages(pages: DataFrame) -> DataFrame:
     """page_id, url and html, written to packages and read back by ranges."""
-    kind = pages.schema["page_id"].dataType.simpleString().replace("bigint", "long")
-    return read_packages(pages.sparkSession, write_packages(pages), kind)
+    return read_packages(pages.sparkSession, write_packages(pages), pages.schema["page_id"].dataType.simpleString())

@@ -1,6 +1,7 @@
 """Quality rules, chat formatting, WARC packages, URL filters."""
 
 import gzip
+import json
 import random
 import zipfile
 
@@ -103,14 +104,54 @@ def test_packages_round_trip(spark):
     df = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     key = lambda r: (str(r[0]), str(r[1]), str(r[2]))
     for zip64 in (False, True):
-        paths = W.write_packages(df.selectExpr("*", "1 as path", "2 as n"), package_bytes=300, zip64=zip64)
+        made = W.write_packages(df.selectExpr("*", "1 as path", "2 as n"), package_bytes=300, zip64=zip64)
+        paths = [r.path for r in made.collect()]
         assert len(paths) > 1
         assert sorted(map(tuple, W.read_packages(spark, paths).collect()), key=key) == sorted(PAGES, key=key)
         with zipfile.ZipFile(paths[0]) as z:  # others can read it
             assert z.testzip() is None and sorted(z.namelist()) == [W.ARCHIVE, W.INDEX]
+        assert W.read_packages(spark, made).count() == len(PAGES)
     assert W.through_packages(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["int", "smallint", "string"])
+def test_packages_with_ids_of_any_type(spark, kind):
+    df = spark.createDataFrame(PAGES, "page_id long, url string, html string").selectExpr(f"cast(page_id as {kind}) as page_id", "url", "html", "array(1) as path")
+    out = W.through_packages(df)
+    assert out.dtypes[0] == df.dtypes[0]
+    assert sorted(map(repr, out.collect())) == sorted(map(repr, df.drop("path").collect()))
+
+
+def test_records_of_others(spark, tmp_path):
+    def record(kind, url, block, **more):
+        head = {"WARC-Type": kind, "Content-Type": "application/http;msgtype=response", **more, "Content-Length": len(block)} | ({"warc-target-uri": url} if url else {})
+        return b"WARC/1.0\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in head.items()) + b"\r\n" + block + b"\r\n\r\n"
+
+    http = lambda body, *fields: b"HTTP/1.1 200 OK\r\n" + b"".join(f.encode() + b"\r\n" for f in fields) + b"\r\n" + body
+    packed = gzip.compress("<p>ö</p>".encode())
+    records = [
+        record("warcinfo", None, b"software: x\r\n", **{"Content-Type": "application/warc-fields"}),
+        record("request", "http://a/1", b"GET / HTTP/1.1\r\n\r\n"),
+        record("response", "http://a/1", http("<p>é</p>".encode("latin-1"), "content-type: text/html; charset=ISO-8859-1")),
+        record("response", "<http://a/2>", http(packed, "Content-Encoding: gzip")),
+        record("response", "http://a/3", http(b"4\r\nabcd\r\n2;x\r\nef\r\n0\r\n\r\n", "Transfer-Encoding: chunked")),
+        record("response", "http://a/4", http(b"plain", "Transfer-Encoding: chunked", "Content-Encoding: gzip", "Content-Type: text/html; charset=nonsense")),
+        record("resource", "http://a/5", b"as it is", **{"Content-Type": "text/plain"}),
+        record("revisit", "http://a/6", b""),
+    ]
+    want = [("http://a/1", "<p>é</p>"), ("http://a/2", "<p>ö</p>"), ("http://a/3", "abcdef"), ("http://a/4", "plain"), ("http://a/5", "as it is")]
+    zipped = [gzip.compress(r) for r in records]
+    lines = [f"com,a)/ 2024 {json.dumps({'filename': 'data.warc.gz', 'offset': str(sum(map(len, zipped[:k]))), 'length': str(len(z))})}\n" for k, z in enumerate(zipped)]
+    for name, archive, data, index in (("g", "data.warc.gz", zipped, None), ("p", "data.warc", records, None), ("i", "data.warc.gz", zipped, ["!meta {}\n", *lines])):
+        path = str(tmp_path / f"{name}.wacz")
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
+            z.writestr(f"archive/{archive}", b"".join(data))
+            if index:
+                z.writestr("indexes/index.cdx.gz", gzip.compress("".join(index).encode()))
+        got = W.read_packages(spark, [path], "int").collect()
+        assert [r.page_id for r in got] == [None] * 5 and sorted((r.url, r.html) for r in got) == want
+
+
 def test_foreign_packages(tmp_path):
     records = [gzip.compress(W.warc_record(k, f"u{k}", "x" * k)) for k in (1, 2, 70_000)]
     path = str(tmp_path / "p.zip")
