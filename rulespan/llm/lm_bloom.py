@@ -37,7 +37,7 @@ DISCOUNT = 0.75
 LOG_BASE = 1.5
 BITS_PER_ENTRY, HASHES = 10, 6
 SHARD_BYTES, SEGMENT_BYTES = 6 << 20, 1 << 30
-PROBE_WORDS = 1 << 20
+PROBE_WORDS = 1 << 19
 TAG = U(3)
 
 
