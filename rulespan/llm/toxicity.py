@@ -5,7 +5,9 @@ document is labelled toxic if its word, or a prefix of it of 4 to 8 bytes, is
 significantly tied to toxic documents (binomial likelihood ratio against their share, at ``ALPHA``,
 over distinct contexts, so that copies of a document don't count again) and nearly absent from clean ones.
 The field is trained on these tokens, on a bounded sample of labelled documents:
-at most ``max_toxic`` and ``max_clean``, by the order of a hash of doc_id.
+at most ``max_toxic`` and ``max_clean``, by the order of a hash of doc_id, each by one row, and of these as many as
+``max_bytes`` of text hold (texts beyond a sixteenth of that aren't trained on). Windows without an observation that has a weight differ in their length only: those of one
+length are one window that counts as many times, so that training costs what the others take.
 
 Observations of a token are its word, its prefixes and the words beside it, as
 64-bit hashes in a sorted table of weights; two labels, with learned transitions
@@ -15,7 +17,7 @@ tokens whose marginal reaches ``threshold``; the score of a document is its
 greatest marginal, and a document is toxic if it has a span.
 
 Defined cases: null and empty texts, and texts without a word, score 0; labels
-that are null, or of unknown documents, aren't used; without toxic labels
+that are null, or of unknown documents, aren't used; a document with both labels is toxic; without toxic labels
 nothing is toxic; repeated rows score alike; further columns pass through.
 """
 
@@ -25,13 +27,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rulespan.llm.text import U, Words, flat, mix, pieces, words
 from rulespan.shared import ship
 
-MAX_TOXIC, MAX_CLEAN, THRESHOLD = 1500, 3000, 0.5
+MAX_TOXIC, MAX_CLEAN, MAX_BYTES, THRESHOLD = 1500, 3000, 64 << 20, 0.5
 ALPHA = 1e-6
 PREFIXES = (4, 5, 6, 7, 8)
 KINDS = ("word", *PREFIXES, "before", "after")
@@ -216,44 +218,70 @@ def fit(texts: list[str], toxic: np.ndarray, steps: int = 80, rate: float = 0.3,
         return Field()
     starts = np.sort(np.concatenate(starts))
     ends = np.append(starts[1:], n)
-    first = np.append(starts, n)
+    windows = len(starts)
     is_start = np.zeros(n, bool)
     is_start[starts] = True
     ya, yb = y[:-1].astype(np.int64), y[1:].astype(np.int64)
     inner = ~is_start[1:]
     seen = np.bincount((ya * 2 + yb)[inner], minlength=4).reshape(2, 2).astype(float)
+    share = y.mean()
+    y, first, weight, hits = distinct_windows(y, starts, ends, hits)
+    n, starts = len(y), first[:-1]
+    token_weight = np.repeat(weight, np.diff(first))
+    inner = np.ones(n, bool)
+    inner[starts] = False
+    inner = inner[1:]
     p = np.zeros(len(keys) + 6)
-    p[len(keys)] = np.log((y.mean() + 1e-6) / (1 - y.mean()))
+    p[len(keys)] = np.log((share + 1e-6) / (1 - share))
     m1, m2 = np.zeros_like(p), np.zeros_like(p)
     for step in range(1, steps + 1):
         weights, bias, trans, start = p[: len(keys)], p[len(keys)], p[len(keys) + 1 : len(keys) + 5].reshape(2, 2), p[-1]
         emit = np.full(n, bias)
-        for a, size, token, which in hits:
-            emit[a : a + size] += np.bincount(token, weights[which], size)
-        marg, pair = _window_posteriors(emit, first, trans, start, inner)
-        rest = y - marg
+        for token, which in hits:
+            emit += np.bincount(token, weights[which], n)
+        marg, pair = _window_posteriors(emit, first, trans, start, inner, token_weight)
+        rest = (y - marg) * token_weight
         by_key = np.zeros(len(keys))
-        for a, size, token, which in hits:
-            by_key += np.bincount(which, rest[a : a + size][token], len(keys))
+        for token, which in hits:
+            by_key += np.bincount(which, rest[token], len(keys))
         g = np.concatenate([by_key, [rest.sum()], (seen - pair).ravel(), [rest[starts].sum()]])
-        g -= l2 * len(ends) * 0.01 * p
+        g -= l2 * windows * 0.01 * p
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         p = p + rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
     keep = np.abs(p[: len(keys)]) > 1e-3
     return Field(keys[keep], p[: len(keys)][keep], float(p[len(keys)]), p[len(keys) + 1 : len(keys) + 5].reshape(2, 2).copy(), float(p[-1]))
 
 
-def _window_posteriors(emit, first, trans, start, inner):
-    """Marginals, and expected transitions in all."""
+def distinct_windows(y, starts, ends, hits):
+    """(labels, firsts, weights, (token, key) pairs): windows with a pair or a toxic label as they are, and of the others one of each length."""
+    size, n = ends - starts, len(y)
+    busy = np.zeros(n, bool)
+    busy[y] = True
+    for at, _, token, _ in hits:
+        busy[at + token.astype(np.int64)] = True
+    own = np.add.reduceat(busy, starts, dtype=np.int64) > 0
+    lengths, one, count = np.unique(size[~own], return_index=True, return_counts=True)
+    pick = np.concatenate([np.flatnonzero(own), np.flatnonzero(~own)[one]])
+    weight = np.concatenate([np.ones(int(own.sum())), count.astype(float)])
+    first = np.concatenate([[0], np.cumsum(size[pick])])
+    place = np.full(n, -1, np.int32)  # of a token among those that stay
+    old = np.repeat(starts[pick] - first[:-1], size[pick]) + np.arange(first[-1])
+    place[old] = np.arange(len(old))
+    return y[old], first, weight, [(place[at + token.astype(np.int64)], which) for at, _, token, which in hits]
+
+
+def _window_posteriors(emit, first, trans, start, inner, weight):
+    """Marginals, and expected transitions in all, tokens counting by their weight."""
     e = np.exp(np.clip(emit, -60, 60))
     fwd, bwd = _messages(e, first, np.diff(first), trans, start)
     m, pair = np.exp(trans), np.zeros(4)
-    for k in range(0, len(inner), 1 << 18):  # P(a, b) of neighbours, from the ratios before and after
-        some = slice(k, k + (1 << 18))
+    for k in range(0, len(inner), 1 << 16):  # P(a, b) of neighbours, from the ratios before and after
+        some = slice(k, k + (1 << 16))
         keep = inner[some]
-        a, b = fwd[:-1][some][keep], (e[1:][some] * bwd[1:][some])[keep]
-        w = np.stack([np.full(len(a), m[0, 0]), m[0, 1] * b, m[1, 0] * a, m[1, 1] * a * b])
-        pair += (w / w.sum(0)).sum(1)
+        a, b, w = fwd[:-1][some][keep], (e[1:][some] * bwd[1:][some])[keep], weight[1:][some][keep]
+        ab = a * b
+        w = w / (m[0, 0] + m[0, 1] * b + m[1, 0] * a + m[1, 1] * ab)
+        pair += m.ravel() * np.array([w.sum(), b @ w, a @ w, ab @ w])
     del e
     fwd *= bwd
     bwd = fwd + 1
@@ -261,24 +289,26 @@ def _window_posteriors(emit, first, trans, start, inner):
 
 
 def _messages(e, first, size, trans, start):
+    """Ratios of the labels before and after each token. The windows stand side by side, long ones first, so that a step is a row."""
     (oo, ot), (to, tt) = np.exp(trans)
-    begin, top = first[:-1], int(size.max())
-    fwd, bwd = np.empty(len(e)), np.ones(len(e))
-    for t in range(top):
-        at = begin[size > t] + t
-        if t == 0:
-            fwd[at] = e[at] * np.exp(start)
-        else:
-            r = fwd[at - 1]
-            fwd[at] = e[at] * (r * tt + ot) / (r * to + oo)
-    for t in range(top - 2, -1, -1):
-        at = begin[size > t + 1] + t
-        x = e[at + 1] * bwd[at + 1]
-        bwd[at] = (tt * x + to) / (ot * x + oo)
-    return fwd, bwd
-
-
-def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Field:
+    order = np.argsort(-size, kind="stable")
+    column = np.empty(len(size), np.int64)
+    column[order] = np.arange(len(size))
+    place = (np.arange(len(e)) - np.repeat(first[:-1], size)) * len(size) + np.repeat(column, size)
+    active = np.searchsorted(-size[order], -np.arange(int(size.max()) + 1), "left")
+    table, fwd, bwd = np.ones((len(active) - 1, len(size))), np.ones((len(active) - 1, len(size))), np.ones((len(active) - 1, len(size)))
+    table.ravel()[place] = e
+    fwd[0] = table[0] * np.exp(start)
+    for t in range(1, len(table)):
+        r = fwd[t - 1, : active[t]]
+        fwd[t, : active[t]] = table[t, : active[t]] * (r * tt + ot) / (r * to + oo)
+    for t in range(len(table) - 2, -1, -1):
+        x = table[t + 1, : active[t + 1]] * bwd[t + 1, : active[t + 1]]
+        bwd[t, : active[t + 1]] = (tt * x + to) / (ot * x + oo)
+    return fwd.ravel()[place], bwd.ravel()[place]
+
+
+def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_bytes: int = MAX_BYTES) -> Field:
     """Ids are sampled from the labels alone, then found in docs by a broadcast of at most max_toxic + max_clean ids."""
     ids = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = None
@@ -287,7 +317,12 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
         sample = part if sample is None else sample.union(part)
     sample = sample.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("y"))
     d = docs.select("doc_id", docs["text"].cast("string").alias("text")).filter("text is not null")
-    rows = d.join(F.broadcast(sample), F.col("doc_id") == F.col("id")).select("doc_id", "y", "text").toArrow()
+    size = F.octet_length("text")
+    rows = d.filter(size <= max_bytes // 16).join(F.broadcast(sample), F.col("doc_id") == F.col("id"))
+    one = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least"), F.max("y").alias("y"))
+    rows = one.select("doc_id", "y", F.col("least.text").alias("text"))
+    before = F.sum(size).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))  # of at most max_toxic + max_clean rows
+    rows = rows.withColumn("upto", before).filter(F.col("upto") <= max_bytes).select("doc_id", "y", "text").toArrow()
     rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
     return fit(rows.column("text").to_pylist(), rows.column("y").to_numpy())
 

@@ -80,6 +80,38 @@ def test_chain_marginals_against_enumeration():
         assert np.allclose(got[a:b], hot / total)
 
 
+def test_gradient_against_enumeration():
+    """Marginals and expected transitions of windows, by all labellings of each; equal windows count by weight."""
+    rng = np.random.default_rng(3)
+    trans, start = rng.normal(size=(2, 2)), -0.4
+    first, weight = np.array([0, 3, 4, 8]), np.array([1.0, 5.0, 2.0])
+    emit = rng.normal(size=8)
+    inner = np.array([True, True, False, False, True, True, True])
+    marg, pair = X._window_posteriors(emit, first, trans, start, inner, np.repeat(weight, np.diff(first)))
+    want = np.zeros((2, 2))
+    for a, b, w in zip(first[:-1], first[1:], weight):
+        total, hot, ab = 0.0, np.zeros(b - a), np.zeros((2, 2))
+        for y in itertools.product((0, 1), repeat=int(b - a)):
+            s = np.exp(start * y[0] + sum(emit[a + k] * v for k, v in enumerate(y)) + sum(trans[p, q] for p, q in zip(y, y[1:])))
+            total += s
+            hot += s * np.array(y)
+            for p, q in zip(y, y[1:]):
+                ab[p, q] += s
+        assert np.allclose(marg[a:b], hot / total)
+        want += w * ab / total
+    assert np.allclose(pair, want)
+
+
+def test_equal_windows_are_one():
+    y = np.zeros(20, bool)
+    y[13] = True
+    starts, ends = np.array([0, 4, 8, 12, 16, 18]), np.array([4, 8, 12, 16, 18, 20])
+    hits = [(0, 10, np.array([5, 5]), np.array([0, 1])), (10, 10, np.array([3]), np.array([1]))]
+    labels, first, weight, pairs = X.distinct_windows(y, starts, ends, hits)
+    assert np.diff(first).tolist() == [4, 4, 2, 4] and weight.tolist() == [1, 1, 2, 2] and np.flatnonzero(labels).tolist() == [5]
+    assert [(t.tolist(), k.tolist()) for t, k in pairs] == [([1, 1], [0, 1]), ([5], [1])]
+
+
 def test_toxic_held_out(spark, odd, clashing, empty):
     rows = toxic_corpus(random.Random(7), 500)
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
