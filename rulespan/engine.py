@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rulespan.functions import scalar
-from rulespan.operators.fixpoint import MAX_ITERATIONS, UNROLL, Fixpoint, Pass, is_scan
+from rulespan.operators.fixpoint import MAX_ITERATIONS, UNROLL, UNROLL_ROWS, Fixpoint, Pass, is_scan
 from rulespan.operators.rules import Relation, compile_rule, schema_of, spark_type, union
 from rulespan.plans.magic import base, magic
 from rulespan.plans.program import ArityError, Program, ProgramError
@@ -31,17 +31,18 @@ class Engine:
     """Evaluates a program. inputs: DataFrames of relations, by position of columns.
 
     Non-recursive relations stay lazy plans; what is used by several others or within a recursion is
-    written to the shared folder once. sets: inputs that have no row twice, which saves a shuffle each."""
+    written to the shared folder once. sets: inputs that have no row twice, which saves a shuffle each.
+    nulls: "raise", or "drop" to leave rows of inputs out that have one. unroll_rows: deltas of at most so many rows take several steps a job."""
 
     def __init__(
         self, spark: SparkSession, program: Program | str, inputs: dict[str, DataFrame] | None = None, *, sets: frozenset[str] | set[str] = frozenset(), base_dir: str = ".",
-        max_iterations: int = MAX_ITERATIONS, doubling: bool = False, unroll: int = UNROLL, semijoins: bool = False, extended: bool = False,
+        max_iterations: int = MAX_ITERATIONS, doubling: bool = False, unroll: int = UNROLL, unroll_rows: int = UNROLL_ROWS, semijoins: bool = False, extended: bool = False, nulls: str = "raise",
     ):
         spark.conf.set("spark.sql.ansi.enabled", "false")  # integers wrap
         self.spark = spark
         self.program = program if isinstance(program, Program) else Program.parse(program, extended, _functions)
-        self.options = dict(max_iterations=max_iterations, doubling=doubling, unroll=unroll, semijoins=semijoins)
-        self.base_dir, self.sets = base_dir, sets
+        self.options = dict(max_iterations=max_iterations, doubling=doubling, unroll=unroll, unroll_rows=unroll_rows, semijoins=semijoins)
+        self.base_dir, self.sets, self.nulls = base_dir, sets, nulls
         self.inputs = dict(inputs or {})
         self.nested: dict[str, list[T.DataType]] = {}
         for rel, df in self.inputs.items():
@@ -89,7 +90,7 @@ class Engine:
             rows = list(dict.fromkeys(tuple(strip(v) for v in row) or (1,) for row in facts))
             parts.append(Relation(self.spark.createDataFrame(rows, schema), True))
         if rel in self.inputs:
-            parts.append(Relation(conform(self.inputs[rel], schema), rel in self.sets))
+            parts.append(Relation(conform(self.inputs[rel], schema, rel, self.nulls), rel in self.sets))
         else:
             for params in self.program.relations[rel].inputs:
                 parts.append(Relation(read_input(Context(self.spark, rel, schema, params, self.base_dir)), False))
@@ -158,7 +159,7 @@ class Engine:
                 origin = r[: -len(base(""))] if r.endswith(base("")) else r
                 if origin in self.program.relations and (origin in self.inputs or self.program.relations[origin].inputs):
                     inputs[r] = self.given_inputs(origin)
-            e = Engine(self.spark, program, inputs, sets=self.sets, base_dir=self.base_dir, **self.options)
+            e = Engine(self.spark, program, inputs, sets=self.sets, base_dir=self.base_dir, nulls=self.nulls, **self.options)
             df = e.relation(answer)
             self.passes = e.passes
         names = df.columns

@@ -63,29 +63,56 @@ def to_number(s: Column) -> Column:
     return F.when(digits == "", F.lit(0).cast("long")).otherwise(F.coalesce(digits.try_cast("long"), high))
 
 
-def crc32c_udf():
-    def table():
-        out = []
-        for n in range(256):
-            for _ in range(8):
-                n = n >> 1 ^ (0x82F63B78 if n & 1 else 0)
-            out.append(n)
-        return out
+CRC_CHUNK = 256
+
+
+def crc32c_tables():
+    """(of a byte, of each byte of a register that goes on by CRC_CHUNK zeros)."""
+    import numpy as np
+
+    t = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        t = t >> 1 ^ np.where(t & 1, np.uint32(0x82F63B78), np.uint32(0))
+    on = np.stack([np.arange(256, dtype=np.uint32) << np.uint32(8 * k) for k in range(4)])
+    for _ in range(CRC_CHUNK):
+        on = on >> 8 ^ t[on & 255]
+    return t, on
+
+
+def crc32c(texts: list[bytes], tables):
+    """Of all texts at once. The first len % CRC_CHUNK bytes of each go through the register byte by byte, of whole
+    chunks the remainders are worked out side by side and then put together, chunk after chunk."""
+    import numpy as np
+
+    t, on = tables
+    size = np.array([len(x) for x in texts], np.int64)
+    data = np.frombuffer(b"".join(texts) + b"\0", np.uint8)
+    start = np.cumsum(size) - size
+    reg = np.full(len(texts), 0xFFFFFFFF, np.uint32)
+    head = size % CRC_CHUNK
+    for j in range(int(head.max(initial=0))):
+        live = np.flatnonzero(head > j)
+        reg[live] = reg[live] >> 8 ^ t[(reg[live] ^ data[start[live] + j]) & 255]
+    many = size // CRC_CHUNK
+    first = np.cumsum(many) - many
+    at = np.repeat(start + head - first * CRC_CHUNK, many) + np.arange(int(many.sum())) * CRC_CHUNK
+    rest = np.zeros(len(at), np.uint32)
+    for j in range(CRC_CHUNK if len(at) else 0):
+        rest = rest >> 8 ^ t[(rest ^ data[at + j]) & 255]
+    for k in range(int(many.max(initial=0))):
+        live = np.flatnonzero(many > k)
+        r = reg[live]
+        reg[live] = on[0][r & 255] ^ on[1][r >> 8 & 255] ^ on[2][r >> 16 & 255] ^ on[3][r >> 24] ^ rest[first[live] + k]
+    return (reg ^ np.uint32(0xFFFFFFFF)).astype(np.int64)
+
 
+def crc32c_udf():
     def crc(batches):
         import pandas as pd
 
-        t = table()
-
-        def one(x):
-            c = 0xFFFFFFFF
-            for b in x.encode():
-                c = c >> 8 ^ t[(c ^ b) & 255]
-            return c ^ 0xFFFFFFFF
-
+        tables = crc32c_tables()
         for s in batches:
-            seen: dict = {}
-            yield pd.Series([seen[x] if x in seen else seen.setdefault(x, one(x)) for x in s], dtype="int64")
+            yield pd.Series(crc32c([x.encode() for x in s], tables))
 
     from collections.abc import Iterator
 
@@ -95,7 +122,18 @@ def crc32c_udf():
     return F.pandas_udf(crc, "long")
 
 
+def hmac_sha256(message: Column, key: str) -> Column:
+    """With a key that is known: two digests in the JVM."""
+    import hashlib
+
+    raw = key.encode()
+    raw = (hashlib.sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
+    inner, outer = (F.lit(bytearray(x ^ pad for x in raw)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(message, "UTF-8")), 256))), 256)
+
+
 def hmac_udf():
+    """With keys in a column."""
     import pandas as pd
 
     def mac(msg, key):
@@ -181,6 +219,11 @@ def compile_expr(e, env: dict[str, Value]) -> Value:
         case Call("hash", (x,)):
             v = compile_expr(x, env)
             return Value(xxh3_int64(v.col) if v.kind == INT else F.xxhash64(v.col), INT)
+        case Call("hmac_sha256", (x, Const(k))):
+            v = compile_expr(x, env)
+            if v.kind not in (INT, STR):
+                raise ProgramError(f"argument 1 of hmac_sha256 is of kind {v.kind}")
+            return Value(hmac_sha256(v.col.cast("string"), str(k)), STR)
         case Call(fn, args):
             if fn not in TABLE:
                 raise ProgramError(f"no function {fn}")

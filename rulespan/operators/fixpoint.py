@@ -3,7 +3,9 @@
 Every pass is declarative: one DataFrame for each rule and each of its recursive atoms, that
 atom reading the delta and the others everything so far.  What a pass derives is written as Parquet to
 the shared folder and read back: that cuts the lineage, survives lost executors, and gives
-Catalyst sizes, so that small deltas are broadcast and large ones aren't.  While deltas are small, a
+Catalyst sizes, so that small deltas are broadcast and large ones aren't.  What is there already is kept in
+parts bucketed by the relation's key (``operators.store``): a pass shuffles what it derives, and neither the relation
+so far nor the best values of an aggregate are shuffled or written again.  While deltas are small, a
 job takes several steps at once, since then its latency is what costs.
 """
 
@@ -11,20 +13,21 @@ from __future__ import annotations
 
 import logging
 import time
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulespan.operators.rules import Relation, compile_rule, schema_of, union
+from rulespan.operators.store import Part, Store
 from rulespan.plans.program import Program, Stratum
-from rulespan.plans.syntax import Agg, Atom, Column, Rule, Var
+from rulespan.plans.syntax import Agg, Atom, Rule, Var
 from rulespan.shared import work_dir
 
 log = logging.getLogger("rulespan.fixpoint")
 MAX_ITERATIONS = 32_768
 UNROLL, UNROLL_ROWS = 3, 200_000
-COMPACT = 8
 
 
 class IterationLimitError(RuntimeError):
@@ -39,57 +42,6 @@ class Pass:
     seconds: float
 
 
-@dataclass
-class Store:
-    """A relation as Parquet folders; all of them together are a set."""
-
-    spark: SparkSession
-    columns: list[Column]
-    folder: str
-    schema: object
-    parts: list[str] = field(default_factory=list)
-    counts: list[int] = field(default_factory=list)
-    made: int = 0
-
-    def write(self, df: DataFrame) -> tuple[str, int]:
-        path = f"{self.folder}/{self.made}"
-        self.made += 1
-        from pyspark.sql import Observation
-
-        seen = Observation()
-        df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
-        return path, int(seen.get.get("n") or 0)
-
-    def read(self, paths: list[str]) -> DataFrame:
-        if not paths:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*paths)
-
-    def add(self, path: str, n: int):
-        if n:
-            self.parts.append(path)
-            self.counts.append(n)
-
-    def replace(self, path: str, n: int):
-        self.parts, self.counts = ([path], [n]) if n else ([], [])
-
-    def compact(self):
-        if len(self.parts) >= COMPACT:
-            small = [k for k, n in enumerate(self.counts) if n <= sum(self.counts) // 2 or len(self.parts) > 4 * COMPACT]
-            if len(small) >= COMPACT:
-                path, n = self.write(self.read([self.parts[k] for k in small]).coalesce(max(1, sum(self.counts[k] for k in small) // 2_000_000)))
-                rest = [k for k in range(len(self.parts)) if k not in set(small)]
-                self.parts, self.counts = [self.parts[k] for k in rest] + [path], [self.counts[k] for k in rest] + [n]
-
-    @property
-    def all(self) -> Relation:
-        return Relation(self.read(self.parts), True)
-
-    @property
-    def rows(self) -> int:
-        return sum(self.counts)
-
-
 def aggregate_position(rules: tuple[Rule, ...], rel: str) -> tuple[int, str] | None:
     """(column, min or max) of a relation that is aggregated within its recursion."""
     for r in rules:
@@ -107,20 +59,25 @@ def best(df: DataFrame, names: list[str], at: tuple[int, str]) -> DataFrame:
 
 
 class Fixpoint:
-    """One recursive stratum. lookup gives relations of other strata."""
+    """One recursive stratum. lookup gives relations of other strata. stores: of the stratum's relations, to go on with; what
+    they lack is then found by small deltas first (``Store.absent_small``)."""
 
-    def __init__(self, spark: SparkSession, program: Program, stratum: Stratum, lookup, seeds: dict[str, Relation], max_iterations: int = MAX_ITERATIONS, doubling: bool = False, unroll: int = UNROLL, semijoins: bool = False, nested: dict | None = None):
+    def __init__(self, spark: SparkSession, program: Program, stratum: Stratum, lookup, seeds: dict[str, Relation], max_iterations: int = MAX_ITERATIONS, doubling: bool = False, unroll: int = UNROLL, unroll_rows: int = UNROLL_ROWS, semijoins: bool = False, nested: dict | None = None, stores: dict[str, Store] | None = None):
         self.spark, self.program, self.stratum, self.lookup, self.seeds = spark, program, stratum, lookup, seeds
-        self.max_iterations, self.unroll, self.semijoins, self.nested = max_iterations, unroll, semijoins, nested
+        self.max_iterations, self.unroll, self.unroll_rows, self.semijoins, self.nested = max_iterations, unroll, unroll_rows, semijoins, nested
         self.inside = set(stratum.relations)
         self.rules = doubled(stratum.rules) if doubling else stratum.rules
         self.columns = program.columns
         self.agg = {r: aggregate_position(stratum.rules, r) for r in stratum.relations}
-        folder = work_dir(spark, "fixpoint")
-        self.stores = {r: Store(spark, self.columns[r], f"{folder}/{r}", schema_of(self.columns[r], nested)) for r in stratum.relations}
+        self.folder = work_dir(spark, "fixpoint")
+        self.going_on = stores is not None
+        self.stores = stores or {r: self._store(r) for r in stratum.relations}
         self.passes: list[Pass] = []
         self.pinned: dict[str, Relation] = {}
-        self.folder = folder
+
+    def _store(self, rel: str) -> Store:
+        schema = schema_of(self.columns[rel], self.nested)
+        return Store(self.spark, schema, f"{self.folder}/{rel}", [c for k, c in enumerate(schema.names) if not self.agg[rel] or k != self.agg[rel][0]])
 
     def names(self, rel: str) -> list[str]:
         return [f.name for f in self.stores[rel].schema.fields]
@@ -160,33 +117,29 @@ class Fixpoint:
             done[rel] = best(df, self.names(rel), self.agg[rel]) if self.agg[rel] else df.distinct()
         return done
 
-    def fresh(self, rel: str, df: DataFrame) -> DataFrame:
-        """Rows that aren't there yet; of aggregates, those that are better."""
-        names, have = self.names(rel), self.stores[rel].all.df
-        if not self.stores[rel].parts:
-            return df
-        if not self.agg[rel]:
-            return df.join(have, names, "left_anti")
-        k, fn = self.agg[rel]
-        keys = [n for j, n in enumerate(names) if j != k]
-        old = have.select(*[F.col(n).alias(f"__{n}") for n in names])
-        same = F.lit(True)
-        for n in keys:
-            same = same & (F.col(n) == F.col(f"__{n}"))
-        better = F.col(names[k]) < F.col(f"__{names[k]}") if fn == "min" else F.col(names[k]) > F.col(f"__{names[k]}")
-        return df.join(old, same, "left").filter(F.col(f"__{names[k]}").isNull() | better).select(*names)
-
-    def absorb(self, rel: str, path: str, n: int):
+    def fresh(self, rel: str, df: DataFrame) -> Part:
+        """Writes the rows that aren't there yet; of aggregates, those that are better."""
+        store = self.stores[rel]
+        if self.going_on:
+            found = store.write(df)
+            return store.write(store.absent_small(found)) if found.n and store.parts else found
+        better = self.agg[rel][1] if self.agg[rel] else None
+        if not store.schema.names or not store.parts or not store.keys:
+            return store.write(store.absent(df, better))
+        return store.write_bucketed(store.absent(df, better), placed=bool(store.parts[0].table))
+
+    def absorb(self, rel: str, part: Part):
         s = self.stores[rel]
-        if not n:
-            return
-        if self.agg[rel] and s.parts:
-            s.replace(*s.write(best(s.all.df.union(s.read([path])), self.names(rel), self.agg[rel])))
-        else:
-            s.add(path, n)
-            s.compact()
-
-    def start(self) -> dict[str, tuple[str, int]]:
+        s.add(part)
+        if not self.going_on:
+            s.compact((lambda df: best(df, self.names(rel), self.agg[rel])) if self.agg[rel] else None)
+
+    def present(self, rel: str) -> Relation:
+        """Everything so far; of an aggregated relation the best values."""
+        df = self.stores[rel].df
+        return Relation(best(df, self.names(rel), self.agg[rel]) if self.agg[rel] and len(self.stores[rel].parts) > 1 else df, True)
+
+    def start(self) -> dict[str, Part]:
         out = {}
         for rel in self.stratum.relations:
             parts = [self.seeds[rel]] if rel in self.seeds else []
@@ -195,46 +148,56 @@ class Fixpoint:
                     parts.append(compile_rule(self.spark, r, lambda _, a: self.outside(a.rel), self.columns, None, self.semijoins))
             if parts:
                 r = union(parts)
-                out[rel] = self.stores[rel].write(best(r.df, self.names(rel), self.agg[rel]) if self.agg[rel] else r.df)
+                out[rel] = self.stores[rel].write_bucketed(best(r.df, self.names(rel), self.agg[rel]) if self.agg[rel] else r.df)
         return out
 
-    def run(self, delta: dict[str, tuple[str, int]] | None = None) -> dict[str, Relation]:
-        """delta: what is new in this stratum already (written, disjoint from the stores); else from the start."""
+    def run(self, delta: dict[str, Part] | None = None) -> dict[str, Relation]:
+        """delta: what is new in this stratum already (and in its stores); else from the start."""
         if delta is None:
             began = time.time()
             delta = self.start()
             self.note(0, delta, began)
-            for rel, (path, n) in delta.items():
-                self.absorb(rel, path, n)
+            for rel, part in delta.items():
+                self.absorb(rel, part)
         number = 0
-        while any(n for _, n in delta.values()):
+        while any(p.n for p in delta.values()):
             number += 1
             if number > self.max_iterations:
                 raise IterationLimitError(f"no fixpoint of {', '.join(self.stratum.relations)} after {self.max_iterations} passes")
             began = time.time()
-            rows = sum(n for _, n in delta.values())
-            steps = self.unroll if rows <= UNROLL_ROWS and not any(self.agg.values()) else 1
-            d = {r: Relation(self.stores[r].read([p]), True) for r, (p, n) in delta.items() if n}
-            full = {r: self.stores[r].all for r in self.inside}
-            found: dict[str, DataFrame] = {}
+            rows = sum(p.n for p in delta.values())
+            steps = self.unroll if rows <= self.unroll_rows else 1
+            d = {r: Relation(self.stores[r].read(p), True) for r, p in delta.items() if p.n}
+            full = {r: self.present(r) for r in self.inside}
+            found: dict[str, list[DataFrame]] = {}
             for _ in range(steps):
                 new = self.step(d, full, set(d))
                 for r, df in new.items():
-                    found[r] = found[r].union(df) if r in found else df
+                    found.setdefault(r, []).append(df)
                 if steps > 1:
                     d = {r: Relation(df, True) for r, df in new.items()}
                     full = {r: Relation(full[r].df.union(new[r]), False) if r in new else full[r] for r in full}
             delta = {}
-            for r, df in found.items():
-                fresh = self.fresh(r, df if steps == 1 else df.distinct())
-                delta[r] = self.stores[r].write(fresh)
-            for r, (path, n) in delta.items():
-                self.absorb(r, path, n)
+            for r, many in found.items():
+                df = many[0] if len(many) == 1 else reduce(DataFrame.union, many)
+                if len(many) > 1:
+                    df = best(df, self.names(r), self.agg[r]) if self.agg[r] else df.distinct()
+                delta[r] = self.fresh(r, df)
+            for r, part in delta.items():
+                self.absorb(r, part)
             self.note(number, delta, began)
-        return {r: s.all for r, s in self.stores.items()}
+        out = {r: self.present(r) for r in self.stores}
+        if not self.going_on:
+            for r, x in out.items():
+                if self.agg[r] and len(self.stores[r].parts) > 1:
+                    s = self.stores[r]
+                    s.parts = [s.write(x.df)]
+                    out[r] = Relation(s.df, True)
+                self.stores[r].drop_tables()
+        return out
 
     def note(self, number: int, delta: dict, began: float):
-        p = Pass(self.stratum.id, number, {r: n for r, (_, n) in delta.items()}, time.time() - began)
+        p = Pass(self.stratum.id, number, {r: x.n for r, x in delta.items()}, time.time() - began)
         self.passes.append(p)
         log.info("stratum %d pass %d: %s in %.2f s", p.stratum, p.number, p.rows, p.seconds)
 

@@ -134,7 +134,8 @@ def compile_body(spark: SparkSession, rule: Rule, lookup, columns: dict[str, lis
     atoms = [(i, b) for i, b in enumerate(rule.body) if isinstance(b, Atom) and not b.negated]
     for i, a in atoms:
         scans[i] = scan(lookup(i, a), a, columns.get(a.rel, []), f"_{i}_" if keep_wild else None)
-    order = order_atoms(atoms, first)
+    tests = existential(rule, first) if first is None or semijoins else []
+    order = order_atoms([x for x in atoms if x[0] not in tests], first)
     if semijoins and len(order) >= 3:
         scans = reduce_by_semijoins(order, scans)
     rest = [b for b in rule.body if not (isinstance(b, Atom) and not b.negated)]
@@ -145,6 +146,12 @@ def compile_body(spark: SparkSession, rule: Rule, lookup, columns: dict[str, lis
     if body is None:
         body = Body(spark.range(1).select(F.lit(1).alias("__unit")), {})
         body, rest = apply_tests(body, rest)
+    for i in tests:
+        on = [f"v_{v}" for v in scans[i].kinds if v in body.kinds]
+        for v in on:
+            if body.kinds[v[2:]] != scans[i].kinds[v[2:]]:
+                raise ProgramError(f"{v[2:]} joins {body.kinds[v[2:]]} with {scans[i].kinds[v[2:]]}")
+        body = Body(body.df.join(scans[i].df.select(*on), on, "left_semi"), body.kinds)
     for b in rest:
         if isinstance(b, Atom):
             body = anti(body, b, lookup(rule.body.index(b), b), columns.get(b.rel, []))
@@ -153,6 +160,23 @@ def compile_body(spark: SparkSession, rule: Rule, lookup, columns: dict[str, lis
     return body
 
 
+def existential(rule: Rule, first: int | None = None) -> list[int]:
+    """The atoms that only ask whether a row is there: they give no variable that anything else doesn't have without them.
+    They become left semi-joins. Aggregates count bindings, so that none of their atoms is left out."""
+    if rule.aggregates:
+        return []
+    keep = {i: set(variables(b)) for i, b in enumerate(rule.body) if isinstance(b, Atom) and not b.negated}
+    wanted = {v for a in rule.args for v in variables(a)} | {v for b in rule.body if not (isinstance(b, Atom) and not b.negated) for v in variables(b)}
+    everything, out = dict(keep), []
+    for i in sorted(keep, reverse=True):
+        rest = {j: v for j, v in keep.items() if j != i}
+        have = set().union(*rest.values()) if rest else set()
+        others = wanted.union(*(v for j, v in everything.items() if j != i))
+        if i != first and everything[i] & have and everything[i] & others <= have:
+            keep, out = rest, [i, *out]
+    return out
+
+
 def reduce_by_semijoins(order, scans):
     """Each atom is first reduced by the next one that shares variables with it."""
     out = dict(scans)
@@ -236,7 +260,9 @@ def compile_rule(spark: SparkSession, rule: Rule, lookup, columns: dict[str, lis
         values = [head_value(a, body) for a in rule.args]
         check_types(rule, values, columns[rule.rel])
         df = body.df.select(*[v.col.alias(n) for v, n in zip(values, names)])
-        return Relation(df, keeps_bindings(rule) and all(lookup(i, a).is_set for i, a in enumerate(rule.body) if isinstance(a, Atom) and not a.negated))
+        tests = existential(rule, first) if first is None or semijoins else []
+        joined = [(i, a) for i, a in enumerate(rule.body) if isinstance(a, Atom) and not a.negated and i not in tests]
+        return Relation(df, keeps_bindings(rule, [a for _, a in joined]) and all(lookup(i, a).is_set for i, a in joined))
     # bindings of all variables and wildcards: distinct if the relations are sets
     df = body.df if all(lookup(i, a).is_set for i, a in enumerate(rule.body) if isinstance(a, Atom) and not a.negated) else body.df.distinct()
     body = Body(df, body.kinds)
@@ -260,13 +286,13 @@ def compile_rule(spark: SparkSession, rule: Rule, lookup, columns: dict[str, lis
     return Relation(out.select(*[F.col(f"c{k}").alias(n) for k, n in enumerate(names)]), True)
 
 
-def keeps_bindings(rule: Rule) -> bool:
-    """The head holds every variable of the body and nothing was projected away: rows can't repeat."""
-    flat = [x for a in rule.atoms for x in a.args]
+def keeps_bindings(rule: Rule, atoms: list[Atom]) -> bool:
+    """The head holds every variable of the atoms that are joined and nothing was projected away: rows can't repeat."""
+    flat = [x for a in atoms for x in a.args]
     if any(isinstance(x, Wild) or isinstance(x, Compound) for x in flat):
         return False
     plain = {a.name for a in rule.args if isinstance(a, Var)}
-    return {v for a in rule.atoms for v in variables(a)} <= plain
+    return {v for a in atoms for v in variables(a)} <= plain
 
 
 def check_types(rule: Rule, values: list[Value], columns: list[Column]):

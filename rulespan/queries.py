@@ -5,14 +5,16 @@ Integers load as BIGINT, money as cents, timestamps as microseconds; the SQL doe
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rulespan.engine import Engine
+from rulespan.engine import Engine, register_function
 from rulespan.operators import signed
+from rulespan.shared import work_dir
 from rulespan.streaming.session import Session
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,6 +160,24 @@ add("tc_nonlinear", "tc", TC + "tc(A, C) :- tc(A, B), tc(B, C).", TC_SQL)
 add("tc_doubling", "tc", TC + "tc(A, C) :- tc(A, B), edge(B, C).", TC_SQL, doubling=True)
 add("reach_from_seed", "r", ".decl r(x: int64)\nr(3).\nr(Y) :- r(X), trade(X, Y).", f"with recursive {TRADE_SQL}, r as (select 3::bigint as x union select b from r join trade on x = a) select x from r")
 add("same_generation", "sg", ".decl sg(x: int64, y: int64)\nsg(X, Y) :- trade(P, X), trade(P, Y), X != Y.\nsg(X, Y) :- trade(A, X), sg(A, B), trade(B, Y).", f"with recursive {TRADE_SQL}, sg as (select x.b as x, y.b as y from trade x join trade y on x.a = y.a and x.b <> y.b union select t.b, u.b from sg join trade t on t.a = sg.x join trade u on u.a = sg.y) select x, y from sg")
+
+
+def graph_of(name: str, make: Callable[[DataFrame], DataFrame]) -> None:
+    """A graph over the numbers of suppliers."""
+    LOAD[name] = lambda s, d: make(supplier(s, d).select("s_suppkey")).select("a", "b").distinct()
+    DECL[name] = f".decl {name}(a: int64, b: int64)"
+
+
+#: Chains of 100, and a graph in which a hundredth of the nodes have most of the edges.
+graph_of("chain100", lambda n: n.filter("s_suppkey < 400 and s_suppkey % 100 != 99").select(F.col("s_suppkey").alias("a"), (F.col("s_suppkey") + 1).alias("b")))
+graph_of("hubs", lambda n: n.filter("s_suppkey < 600").select(F.col("s_suppkey").alias("a"), F.expr("if(s_suppkey % 3 = 0, s_suppkey * 7 % 600, s_suppkey % 6 * 100)").alias("b")))
+LONG_SQL = "chain100 as (select s_suppkey as a, s_suppkey + 1 as b from supplier where s_suppkey < 400 and s_suppkey % 100 <> 99)"
+HUBS_SQL = "hubs as (select distinct s_suppkey as a, case when s_suppkey % 3 = 0 then s_suppkey * 7 % 600 else s_suppkey % 6 * 100 end as b from supplier where s_suppkey < 600)"
+for _graph, _sql in (("chain100", LONG_SQL), ("hubs", HUBS_SQL)):
+    _tc = f"with recursive {_sql}, tc as (select a, b from {_graph} union select tc.a, g.b from tc join {_graph} g on tc.b = g.a) select a, b from tc"
+    for _how, _options in (("linear", {}), ("doubling", {"doubling": True})):
+        add(f"tc_{_graph}_{_how}", "tc", f".decl tc(a: int64, b: int64)\ntc(A, B) :- {_graph}(A, B).\ntc(A, C) :- tc(A, B), {_graph}(B, C).", _tc, **_options)
+add("cc_hubs", "cc", ".decl cc(x: int64, l: int64)\ncc(X, min(X)) :- hubs(X, _).\ncc(Y, min(Y)) :- hubs(_, Y).\ncc(Y, min(L)) :- cc(X, L), hubs(X, Y).\ncc(X, min(L)) :- cc(Y, L), hubs(X, Y).", f"with recursive {HUBS_SQL}, e as (select a, b from hubs union select b, a from hubs), r as (select a as x, a as l from e union select e.b, r.l from r join e on r.x = e.a) select x, min(l) as l from r group by 1")
 add(
     "mutual_recursion_bipartite", "red", ".decl red(x: int64)\n.decl blue(x: int64)\nred(X) :- edge(X, _), !inner(X).\n.decl inner(x: int64)\ninner(Y) :- edge(_, Y).\nblue(Y) :- red(X), edge(X, Y).\nred(Y) :- blue(X), edge(X, Y).",
     f"with recursive {CHAIN_SQL}, c as (select a as x, 0 as k from edge where a not in (select b from edge) union select b, 1 - k from c join edge on x = a) select x from c where k = 0",
@@ -203,10 +223,49 @@ def compound_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["compound_struct"] = compound_struct
 ORACLE["compound_struct"] = f"select distinct p_partkey as k, {CENTS.format('p_retailprice')} as price from part where p_size > 40"
-add("crc32_check", "q", '.decl q(p: int64, c: int64)\nq(P, crc32_castagnoli(N)) :- part(P, N, _, _, _, _), crc32_ethernet(N) != 0.', None)
+
+
+def _crc_sql(text: str, polynomial: int) -> str:
+    """Bit by bit over the bytes of a text."""
+    octets = f"list_transform(range(1, octet_length(encode({text})) + 1), lambda i: ('0x' || substr(hex(encode({text})), 2 * i - 1, 2))::ubigint)"
+    octet = f"list_reduce(list_prepend(xor(a, b), range(8)::ubigint[]), lambda x, k: xor(x >> 1, (x & 1) * {polynomial}::ubigint))"
+    return f"xor(list_reduce(list_prepend(4294967295::ubigint, {octets}), lambda a, b: {octet}), 4294967295::ubigint)::bigint"
+
+
+def _xxh3_sql(rows: str, key: str) -> str:
+    """XXH3-64 of an integer's bytes, by arithmetic of 128 bits."""
+    two64 = f"{1 << 64}::uhugeint"
+    turned = lambda v, n: f"(({v} * {1 << n}::uhugeint) % {two64} + {v} // {1 << (64 - n)}::uhugeint)"
+    prime = f"{0x9FB21C651E98DF25}::uhugeint"
+    sql = f"select *, {key}::uhugeint as v from ({rows})"
+    for name, e in (
+        ("h0", f"xor({turned('v', 32)}, {0x1CAD21F72C81017C ^ 0xDB979083E96DD4DE}::uhugeint)"), ("h1", f"(xor(xor(h0, {turned('h0', 49)}), {turned('h0', 24)}) * {prime}) % {two64}"),
+        ("h2", f"(xor(h1, h1 // {1 << 35}::uhugeint + 8::uhugeint) * {prime}) % {two64}"), ("h3", f"xor(h2, h2 // {1 << 28}::uhugeint)"),
+    ):
+        sql = f"select *, {e} as {name} from ({sql})"
+    return f"select {key}, case when h3 >= {1 << 63}::uhugeint then (h3::hugeint - {1 << 64}::hugeint)::bigint else h3::bigint end as h from ({sql})"
+
+
+def _hmac_sql(text: str, key: bytes) -> str:
+    inner, outer = (bytes(x ^ pad for x in key.ljust(64, b"\0")).hex() for pad in (0x36, 0x5C))
+    return f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({text}))))"
+
+
+def _uuid5_sql(text: str, space: uuid.UUID) -> str:
+    h = f"sha1(unhex('{space.hex}') || encode({text}))"
+    return f"substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-' || substr('89ab', (('0x' || substr({h}, 17, 1))::int & 3) + 1, 1) || substr({h}, 18, 3) || '-' || substr({h}, 21, 12)"
+
+
+add("crc32_check", "q", '.decl q(p: int64, c: int64)\nq(P, crc32_castagnoli(N)) :- part(P, N, _, _, _, _), crc32_ethernet(N) != 0.', f"select distinct p_partkey as p, {_crc_sql('p_name', 0x82F63B78)} as c from part where {_crc_sql('p_name', 0xEDB88320)} <> 0")
+add("crc32_ethernet", "q", ".decl q(p: int64, c: int64)\nq(P, crc32_ethernet(N)) :- part(P, N, _, _, _, _).", f"select distinct p_partkey as p, {_crc_sql('p_name', 0xEDB88320)} as c from part")
 add("md5_sha", "q", ".decl q(p: int64, m: string, h: string)\nq(P, md5(N), sha256(N)) :- part(P, N, _, _, _, _).", "select distinct p_partkey as p, md5(p_name) as m, sha256(p_name) as h from part")
-add("sha1_sha512_hmac", "q", '.decl q(p: int64, a: string, b: string, c: string, u: string)\nq(P, sha1(N), sha512(N), hmac_sha256(N, "key"), uuid5("example.org", N)) :- part(P, N, _, _, _, _).', None)
-add("xxh3_hash", "q", ".decl q(p: int64, h: int64)\nq(P, hash(P)) :- part(P, _, _, _, _, _).", None)
+add(
+    "sha1_hmac_uuid5", "q", '.decl q(p: int64, a: string, c: string, u: string)\nq(P, sha1(N), hmac_sha256(N, "key"), uuid5("example.org", N)) :- part(P, N, _, _, _, _).',
+    f"select distinct p_partkey as p, sha1(p_name) as a, {_hmac_sql('p_name', b'key')} as c, {_uuid5_sql('p_name', uuid.uuid5(uuid.NAMESPACE_DNS, 'example.org'))} as u from part",
+)
+add("sha512_hash", "q", ".decl q(p: int64, b: string)\nq(P, sha512(N)) :- part(P, N, _, _, _, _).", None)
+add("xxh3_hash", "q", ".decl q(p: int64, h: int64)\nq(P, hash(P)) :- part(P, _, _, _, _, _).", _xxh3_sql("select distinct p_partkey as p from part", "p"))
+add("to_number_of_anything", "q", ".decl q(t: string, n: int64)\nq(T, to_number(T)) :- part(_, _, B, _, _, _), T = str_replace(B, \"Brand#\", \" -\").", "select distinct replace(p_brand, 'Brand#', ' -') as t, coalesce(try_cast(regexp_extract(replace(p_brand, 'Brand#', ' -'), '^[ ]*([+-]?[0-9]+)', 1) as bigint), 0) as n from part")
 
 
 # --- sessions and signed relations
@@ -242,6 +301,50 @@ def session_retract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.state["reach"]
 
 
+def _one_edge(spark: SparkSession, sf_dir: str) -> tuple[Session, tuple[int, int]]:
+    """A session over all edges, and one edge between the ends of two chains; of the step that follows, bench.py takes the time."""
+    edges = chain(spark, sf_dir)
+    s = Session(spark, REACH)
+    s.insert("edge", edges)
+    s.step_frame()
+    (row,) = edges.agg(F.max("b"), F.min("a")).collect()
+    return s, tuple(row)
+
+
+def session_insert_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One edge from the greatest event that has a predecessor to the least that has a successor: what that adds."""
+    s, edge = _one_edge(spark, sf_dir)
+    s.insert("edge", edge)
+    return s.step_frame()["reach"].withColumnRenamed(signed.DIFF, "diff")
+
+
+def session_retract_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same edge comes and goes, and another one goes with it: what that takes away."""
+    s, edge = _one_edge(spark, sf_dir)
+    s.insert("edge", edge)
+    s.step_frame()
+    s.remove("edge", edge)
+    return s.step_frame()["reach"].withColumnRenamed(signed.DIFF, "diff")
+
+
+def session_net_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What comes and goes within a step isn't a change, nor is a second copy or the removal of what isn't there."""
+    s, early, late = _session(spark, sf_dir)
+    s.insert("edge", late)
+    s.remove("edge", late)
+    s.insert("edge", early.filter("b % 7 = 0"))
+    s.remove("edge", spark.createDataFrame([(-1, -2)], "a long, b long"))
+    out = s.step_frame()
+    return out["reach"].drop(signed.DIFF) if "reach" in out else spark.createDataFrame([], "a long, b long")
+
+
+def session_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pending changes are evaluated before a snapshot is taken."""
+    s, early, _ = _session(spark, sf_dir)
+    s.remove("edge", early.filter("b % 7 = 0"))
+    return s.snapshot("reach")
+
+
 def delta_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the second epoch adds and takes away."""
     s, early, late = _session(spark, sf_dir)
@@ -254,7 +357,12 @@ def _reach_sql(name: str, where: str) -> str:
     return f"{name}_e as (select a, b from edge where {where}), {name} as (select a, b from {name}_e union select {name}.a, {name}_e.b from {name} join {name}_e on {name}.b = {name}_e.a)"
 
 
-QUERIES |= {"session_insert": session_insert, "session_retract": session_retract, "delta_output": delta_output}
+QUERIES |= {f.__name__: f for f in (session_insert, session_retract, session_insert_one, session_retract_one, session_net_zero, session_snapshot, delta_output)}
+ORACLE["session_snapshot"] = f"with recursive {CHAIN_SQL}, {_reach_sql('r', 'b % 10 <> 0 and b % 7 <> 0')} select a, b from r"
+ORACLE["session_net_zero"] = "select 1::bigint as a, 1::bigint as b where false"
+ONE_SQL = f"{CHAIN_SQL}, top as (select max(b) as x, min(a) as y from edge), up as (select x as k from top union select a from up join edge on b = k), down as (select y as k from top union select b from down join edge on a = k)"
+ORACLE["session_insert_one"] = f"with recursive {ONE_SQL} select up.k as a, down.k as b, 1::bigint as diff from up, down"
+ORACLE["session_retract_one"] = f"with recursive {ONE_SQL} select up.k as a, down.k as b, -1::bigint as diff from up, down"
 ORACLE["session_insert"] = TC_SQL
 ORACLE["session_retract"] = f"with recursive {CHAIN_SQL}, {_reach_sql('r', 'b % 10 <> 0')} select a, b from r"
 ORACLE["delta_output"] = f"with recursive {CHAIN_SQL}, {_reach_sql('o', 'b % 10 <> 0')}, {_reach_sql('n', 'b % 7 <> 0 or b % 10 = 0')} select a, b, 1::bigint as diff from (select a, b from n except select a, b from o) union all select a, b, -1::bigint from (select a, b from o except select a, b from n)"
@@ -284,6 +392,53 @@ ORACLE["weighted_join"] = "select c.n, c.k * s.k as diff from (select c_nationke
 ORACLE["weighted_count"] = "select (select count(*) from orders) - (select count(*) from customer) as count"
 
 
+# --- adapters, sinks, tooling
+
+
+def _through(adapter: str, write: Callable[[DataFrame, str], None], spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers written by Spark and read by an adapter."""
+    folder = f"{work_dir(spark, 'queries')}/supplier.{adapter}"
+    write(supplier(spark, sf_dir).select("s_suppkey", "s_name", "s_nationkey"), folder)
+    text = f'.decl s(k: int64, name: string, n: int64)\n.input s(io="{adapter}", filename="{folder}", delimiter=",")\n.decl q(k: int64, name: string, n: int64)\nq(K, N, R) :- s(K, N, R), R > 3.'
+    return Engine(spark, text).relation("q")
+
+
+def text_adapter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{work_dir(spark, 'queries')}/names"
+    nation(spark, sf_dir).select("n_name").write.text(folder)
+    return Engine(spark, f'.decl l(t: string)\n.input l(io="text", filename="{folder}")\n.decl q(t: string, n: int64)\nq(T, strlen(T)) :- l(T).').relation("q")
+
+
+def csv_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What .output writes, read again."""
+    path = f"{work_dir(spark, 'queries')}/out.csv".removeprefix("file://")
+    program, inputs = inputs_of(spark, sf_dir, f'.decl q(k: int64, name: string)\n.output q(filename="{path}", delimiter="|")\nq(K, N) :- nation(K, N, _), K > 4.')
+    Engine(spark, program, inputs).write_outputs()
+    return spark.read.option("sep", "|").schema("k long, name string").csv(path)
+
+
+def printed_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir, ".printsize big\n.printsize all\n.decl big(c: int64)\n.decl all(c: int64)\nbig(C) :- customer(C, _, B, _), B > 500000.\nall(C) :- customer(C, _, _, _).")
+    return spark.createDataFrame(sorted(e.sizes().items()), "rel string, n long")
+
+
+def own_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """register_function: a scalar function of the user's."""
+    register_function("clamp100", ("int",), "int", lambda c: F.least(c, F.lit(100).cast("long")))
+    return engine(spark, sf_dir, ".decl q(p: int64, v: int64)\nq(P, clamp100(P)) :- part(P, _, _, _, _, _).").relation("q")
+
+
+_SUPPLIER_SQL = "select s_suppkey as k, s_name as name, s_nationkey::bigint as n from supplier where s_nationkey > 3"
+for _io, _write in (("csv", lambda df, p: df.write.option("sep", ",").csv(p)), ("parquet", lambda df, p: df.toDF("k", "name", "n").write.parquet(p)), ("json", lambda df, p: df.toDF("k", "name", "n").write.json(p))):
+    QUERIES[f"{_io}_adapter"] = partial(_through, _io, _write)
+    ORACLE[f"{_io}_adapter"] = _SUPPLIER_SQL
+QUERIES |= {f.__name__: f for f in (text_adapter, csv_sink, printed_sizes, own_function)}
+ORACLE["text_adapter"] = "select n_name as t, length(n_name)::bigint as n from nation"
+ORACLE["csv_sink"] = "select n_nationkey::bigint as k, n_name as name from nation where n_nationkey > 4"
+ORACLE["printed_sizes"] = f"select 'all' as rel, count(*) as n from customer union all select 'big', count(*) from customer where {CENTS.format('c_acctbal')} > 500000"
+ORACLE["own_function"] = "select p_partkey as p, least(p_partkey, 100) as v from part"
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Everything that reaches everything along consecutive events."""
     return QUERIES["tc_linear"](spark, sf_dir)

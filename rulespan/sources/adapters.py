@@ -7,6 +7,7 @@ import os
 import threading
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,16 +95,26 @@ def read_input(ctx: Context) -> DataFrame:
     df = adapter.read(ctx)
     if len(df.columns) != ctx.ncols:
         raise AdapterError(f"{ctx.relation} has {ctx.ncols} columns, {scheme} gives {len(df.columns)}")
-    return conform(df, ctx.schema)
+    return conform(df, ctx.schema, ctx.relation)
 
 
-def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Columns by position, with the relation's names and types; integers become BIGINT, no nulls."""
+def conform(df: DataFrame, schema: T.StructType, relation: str = "the input", nulls: str = "raise") -> DataFrame:
+    """Columns by position, with the relation's names and types; integers become BIGINT. A null, also of a value that its
+    type can't hold, fails the query, or (nulls="drop") leaves its row out."""
     cols = []
     for have, want in zip(df.schema.fields, schema.fields):
         c = F.col(f"`{have.name}`")
         cols.append((c if have.dataType == want.dataType else c.cast(want.dataType)).alias(want.name))
-    return df.select(*cols).na.drop("any")
+    out = df.select(*cols)
+    if nulls == "drop":
+        return out.na.drop("any")
+    if nulls != "raise":
+        raise AdapterError(f"nulls is raise or drop, not {nulls}")
+    can = [f for f, have in zip(out.schema.fields, df.schema.fields) if f.nullable or have.dataType != f.dataType]
+    if not can:
+        return out
+    none = reduce(lambda a, b: a | b, (F.col(f"`{f.name}`").isNull() for f in can))
+    return out.filter(F.when(none, F.raise_error(F.lit(f"{relation}: a value is null or of another type")).cast("boolean")).otherwise(F.lit(True)))
 
 
 def separator(params: dict[str, str]) -> str:

@@ -1,14 +1,16 @@
 """Sessions: rows are inserted and removed, and a step tells what appeared and disappeared.
 
 After every step the derived relations are what a fresh evaluation of the inputs would give.
-Strata that no change reaches are left alone. Where a stratum is only added to (insertions,
-no negation and no aggregate over what changed), its fixpoint goes on from the new rows;
-elsewhere it is evaluated anew and compared with what it was. All states are Parquet in the shared folder.
+Strata that no change reaches are left alone. Where what changed is only joined (no negation, no aggregate), a stratum is
+maintained: rows with a derivation from a removed row are taken away, those of them that still have another one
+are put back, rows that insertions give are added, and the fixpoint goes on from both; the work follows the change, not the state
+(delete and rederive).  Elsewhere the stratum is evaluated anew and compared with what it was. All states are Parquet in
+the shared folder, in parts (``operators.store``): a step adds parts of the size of what it changed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,18 +21,36 @@ from rulespan.engine import Engine, _functions
 from rulespan.operators.fixpoint import MAX_ITERATIONS, UNROLL, Fixpoint
 from rulespan.operators.rules import Relation, compile_rule, schema_of, union
 from rulespan.operators.signed import DIFF
+from rulespan.operators.store import SMALL_ROWS, Part, Store
 from rulespan.plans.program import ArityError, Program, ProgramError, Stratum
-from rulespan.plans.syntax import Atom
-from rulespan.shared import read_parquet_dir, work_dir
+from rulespan.plans.syntax import Atom, Const, Rule, Var
+from rulespan.shared import remove_dir, work_dir
 from rulespan.sources.adapters import conform
 
-COUNT = "__count"
+COUNT, GONE = "__count", "__gone"
+
+
+class States(Mapping):
+    """The present rows of each relation."""
+
+    def __init__(self, stores: dict[str, Store]):
+        self.stores = stores
+
+    def __getitem__(self, rel: str) -> DataFrame:
+        return self.stores[rel].df
+
+    def __iter__(self):
+        return iter(self.stores)
+
+    def __len__(self):
+        return len(self.stores)
 
 
 class Session:
-    """on_delta: called with (relation, row, +1 or -1) for every change of a derived relation."""
+    """on_delta: called with (relation, row, +1 or -1) for every change of a derived relation. Ends with close(), or as a context manager.
+    nulls: as in Engine."""
 
-    def __init__(self, spark: SparkSession, program: Program | str, *, on_delta: Callable[[str, tuple, int], None] | None = None, max_iterations: int = MAX_ITERATIONS, unroll: int = UNROLL, base_dir: str = ".", load_inputs: bool = True, extended: bool = False):
+    def __init__(self, spark: SparkSession, program: Program | str, *, on_delta: Callable[[str, tuple, int], None] | None = None, max_iterations: int = MAX_ITERATIONS, unroll: int = UNROLL, base_dir: str = ".", load_inputs: bool = True, extended: bool = False, nulls: str = "raise"):
         spark.conf.set("spark.sql.ansi.enabled", "false")
         self.spark = spark
         self.program = program if isinstance(program, Program) else Program.parse(program, extended, _functions)
@@ -39,15 +59,17 @@ class Session:
         self.folder = work_dir(spark, "session")
         self.epoch = 0
         self.steps: list[dict] = []
+        self.nulls, self.closed = nulls, False
         engine = Engine(spark, self.program, base_dir=base_dir)
         self.nested = engine.nested
-        self.base: dict[str, DataFrame] = {}  # rows and how often each is there
-        self.state: dict[str, DataFrame] = {}
+        self.base: dict[str, list[str]] = {}  # parts of rows and how often each is there, to be added up
+        self.stores: dict[str, Store] = {}
+        self.state = States(self.stores)
         self.pending: dict[str, list[DataFrame]] = {}
         self.rows: dict[tuple[str, int], list[tuple]] = {}
         for rel in self.program.relations:
-            self.base[rel] = self._empty(rel).withColumn(COUNT, F.lit(1).cast("long"))
-            self.state[rel] = self._empty(rel)
+            self.base[rel] = []
+            self.stores[rel] = Store(spark, self.schema(rel), f"{self.folder}/{rel}")
             if rel in engine.program.text.facts or load_inputs and self.program.relations[rel].inputs:
                 self._stage(rel, engine.given(rel).df, 1)
 
@@ -60,7 +82,23 @@ class Session:
     def _stage(self, rel: str, df: DataFrame, sign: int):
         self.pending.setdefault(rel, []).append(df.select(*[F.col(f"`{c}`") for c in self.schema(rel).names], F.lit(sign).cast("long").alias(DIFF)))
 
+    def close(self) -> None:
+        """Removes its files. The states can't be read any more."""
+        if not self.closed:
+            self.closed = True
+            for s in self.stores.values():
+                s.drop_tables()
+            remove_dir(self.folder)
+
+    def __enter__(self) -> Session:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
     def _check(self, rel: str, n: int):
+        if self.closed:
+            raise ProgramError("the session is closed")
         if rel not in self.program.relations:
             raise ProgramError(f"{rel} isn't in the program")
         if n != len(self.program.columns[rel]) and not (n == 0 and not self.program.columns[rel]):
@@ -93,7 +131,7 @@ class Session:
         if len(rows) == 1 and isinstance(rows[0], DataFrame):
             self._check(rel, len(rows[0].columns))
             self._flush_rows()
-            self._stage(rel, conform(rows[0], self.schema(rel)), sign)
+            self._stage(rel, conform(rows[0], self.schema(rel), rel, self.nulls), sign)
             return
         for row in rows:
             row = tuple(row)
@@ -115,114 +153,230 @@ class Session:
 
     def step_frame(self) -> dict[str, DataFrame]:
         """Evaluates pending changes; for each derived relation that changed, its rows and ``__diff``."""
+        if self.closed:
+            raise ProgramError("the session is closed")
         self._flush_rows()
         pending, self.pending = self.pending, {}
         self.epoch += 1
-        deltas: dict[str, DataFrame] = {}  # of any relation, as sets
-        grown: set[str] = set()  # only added to
+        before = {rel: list(s.parts) for rel, s in self.stores.items()}
+        plus: dict[str, DataFrame] = {}
+        minus: dict[str, DataFrame] = {}
+        given: dict[str, tuple[Part, Part]] = {}  # what changed of the facts of derived relations
         for rel, changes in pending.items():
-            names = self.schema(rel).names
-            base = self.base[rel]
-            for k, c in enumerate(changes):  # in order: a removal sees what was inserted before it
-                c = c.groupBy(*names).agg(F.sum(DIFF).alias(DIFF))
-                base = base.select(*names, F.col(COUNT)).unionByName(c.withColumnRenamed(DIFF, COUNT)).groupBy(*names).agg(F.sum(COUNT).alias(COUNT)).filter(f"{COUNT} > 0")
-            self.base[rel] = self._write(f"{rel}-base", base)
-            if rel not in self.program.idb:
-                d, n = self._replace(rel, self.base[rel].select(*names))
-                if n:
-                    deltas[rel] = d
-                    if not d.filter(F.col(DIFF) < 0).limit(1).count():
-                        grown.add(rel)
-        touched = set(deltas) | {r for r in pending if r in self.program.idb}
-        affected = self.program.affected(touched) | {r for r in touched if r in self.program.idb}
-        out = {}
-        ran = []
+            more, less = self._change_base(rel, changes)
+            if rel in self.program.idb:
+                given[rel] = more, less
+            else:
+                self._keep(rel, [less, more], plus, minus)
+        touched = set(plus) | set(minus) | {r for r, (more, less) in given.items() if more.n or less.n}
+        out, ran = {}, []
         for s in self.program.strata:
-            if not affected & set(s.relations):
-                continue
-            reads = {a.rel for r in s.rules for a in r.body if isinstance(a, Atom)} | set(s.relations)
-            changed = {r for r in reads if r in deltas}
+            reads = {a.rel for r in s.rules for a in r.body if isinstance(a, Atom)}
+            changed = {r for r in reads - set(s.relations) if r in plus or r in minus}
             if not changed and not set(s.relations) & touched:
                 continue
-            if self._only_added(s, changed, grown, pending):
+            if self.epoch > 1 and self._joins_only(s, changed):
                 ran.append((s.id, "continued"))
-                new = self._continue(s, deltas)
+                found = self._maintain(s, changed, plus, minus, before, given)
             else:
                 ran.append((s.id, "anew"))
-                new = self._anew(s)
-            for rel, df in new.items():
-                d, n = self._replace(rel, df)
-                if n:
-                    deltas[rel] = out[rel] = d
-                    if not d.filter(F.col(DIFF) < 0).limit(1).count():
-                        grown.add(rel)
+                found = self._anew(s)
+            for rel, parts in found.items():
+                self._tell(rel, parts, plus, minus, out)
+        for rel, s in self.stores.items():
+            s.compact()
         self.steps.append({"epoch": self.epoch, "strata": ran})
         return out
 
-    def _write(self, name: str, df: DataFrame) -> DataFrame:
-        return read_parquet_dir(self.spark, df, f"{self.folder}/{self.epoch}-{name}")
-
-    def _replace(self, rel: str, new: DataFrame) -> tuple[DataFrame, int]:
-        """New state; what changed, and how many rows that is."""
-        names = self.schema(rel).names
-        new = self._write(rel, new)
-        old = self.state[rel]
-        signed = new.select(*names, F.lit(1).cast("long").alias(DIFF)).unionByName(old.select(*names, F.lit(-1).cast("long").alias(DIFF)))
-        d = self._write(f"{rel}-delta", signed.groupBy(*names).agg(F.sum(DIFF).alias(DIFF)).filter(F.col(DIFF) != 0))
-        self.state[rel] = new
-        return d, d.count()
-
-    def _only_added(self, s: Stratum, changed: set[str], grown: set[str], pending) -> bool:
-        if not changed <= grown or any(r in pending for r in s.relations) or self.epoch == 1:
-            return False
-        for r in s.rules:
-            if any(a.rel in changed for a in r.negations) or r.aggregates:
-                return False
-        return True
+    def _read(self, rel: str, part: Part) -> DataFrame:
+        return self.stores[rel].read(part)
+
+    def _keep(self, rel: str, parts: list[Part], plus, minus) -> None:
+        self.stores[rel].add(*parts)
+        for p in parts:
+            if p.n:
+                (minus if p.gone else plus)[rel] = self._read(rel, p)
+
+    def _tell(self, rel: str, parts: tuple[Part, Part], plus, minus, out) -> None:
+        more, less = parts
+        for p in parts:
+            if p.n:
+                (minus if p.gone else plus)[rel] = self._read(rel, p)
+        frames = [self._read(rel, p).withColumn(DIFF, F.lit(-1 if p.gone else 1).cast("long")) for p in (more, less) if p.n]
+        if frames:
+            out[rel] = reduce(DataFrame.union, frames)
+
+    def _change_base(self, rel: str, changes: list[DataFrame]) -> tuple[Part, Part]:
+        """Changes apply in order, a removal sees what was inserted before it, and no count falls below 0. Returns the rows that appear and
+        those that go. Only the rows that are named are looked up."""
+        store, names = self.stores[rel], self.schema(rel).names
+        sums = [c.groupBy(*names).agg(F.sum(DIFF).alias(f"__{k}")) for k, c in enumerate(changes)]
+        all_ = sums[0]
+        if len(sums) > 1:
+            all_ = reduce(DataFrame.union, (s.select(*names) for s in sums)).distinct()
+            for s in sums:
+                all_ = all_.join(s, names, "left")
+        schema = T.StructType([*self.schema(rel).fields, T.StructField(COUNT, T.LongType())])
+        had = F.lit(0).cast("long")
+        if self.base[rel]:
+            part = Store(self.spark, all_.schema, f"{self.folder}/{rel}-named").write(all_)
+            all_ = self.spark.read.schema(all_.schema).parquet(part.path)
+            rows = all_.select(*names)
+            base = self.spark.read.schema(schema).parquet(*self.base[rel])
+            base = base.join(F.broadcast(rows) if part.n <= SMALL_ROWS else rows, names, "left_semi").groupBy(*names).agg(F.sum(COUNT).alias("__had"))
+            all_, had = all_.join(base, names, "left"), F.coalesce(F.col("__had"), F.lit(0))
+        now = had
+        for k in range(len(sums)):
+            now = F.greatest(now + F.coalesce(F.col(f"__{k}"), F.lit(0)), F.lit(0))
+        diff = F.when((now > 0) & (had == 0), F.lit(1)).when((now == 0) & (had > 0), F.lit(-1)).otherwise(F.lit(0))
+        more, less = store.write_signed(all_.select(*names, diff.cast("long").alias(DIFF), (now - had).cast("long").alias(COUNT)).filter(f"{COUNT} != 0"))
+        self.base[rel].append(more.path)
+        if len(self.base[rel]) > 16:  # the first is kept as it is, unless the others have come to as much
+            rest = self.spark.read.schema(schema).parquet(*self.base[rel][1:]).groupBy(*names).agg(F.sum(COUNT).alias(COUNT)).filter(f"{COUNT} != 0")
+            self.base[rel][1:] = [Store(self.spark, schema, f"{self.folder}/{rel}-base").write(rest).path]
+        return more, less
+
+    def _joins_only(self, s: Stratum, changed: set[str]) -> bool:
+        """No rule negates or aggregates what changed, nor aggregates at all."""
+        return not any(r.aggregates or any(a.rel in changed or a.rel in s.relations for a in r.negations) for r in s.rules)
 
     def _lookup(self, rel: str) -> Relation:
         return Relation(self.state[rel], True)
 
     def _given(self, rel: str) -> Relation:
-        return Relation(self.base[rel].select(*self.schema(rel).names), True)
-
-    def _anew(self, s: Stratum) -> dict[str, DataFrame]:
+        names = self.schema(rel).names
+        if not self.base[rel]:
+            return Relation(self._empty(rel), True)
+        schema = T.StructType([*self.schema(rel).fields, T.StructField(COUNT, T.LongType())])
+        base = self.spark.read.schema(schema).parquet(*self.base[rel])
+        return Relation(base.groupBy(*names).agg(F.sum(COUNT).alias(COUNT)).filter(f"{COUNT} > 0").select(*names), True)
+
+    def _anew(self, s: Stratum) -> dict[str, tuple[Part, Part]]:
+        """Evaluates the stratum, and compares it with what it was by one shuffle of both."""
         if s.recursive:
             f = Fixpoint(self.spark, self.program, s, self._lookup, {r: self._given(r) for r in s.relations}, nested=self.nested, **self.options)
-            return {r: x.df for r, x in f.run().items()}
-        (rel,) = s.relations
-        parts = [self._given(rel)] + [compile_rule(self.spark, r, lambda _, a: self._lookup(a.rel), self.program.columns) for r in s.rules]
-        return {rel: union(parts).df}
+            new = {r: x.df for r, x in f.run().items()}
+        else:
+            (rel,) = s.relations
+            parts = [self._given(rel)] + [compile_rule(self.spark, r, lambda _, a: self._lookup(a.rel), self.program.columns) for r in s.rules]
+            new = {rel: union(parts).df}
+        out = {}
+        for rel, df in new.items():
+            store, names = self.stores[rel], self.schema(rel).names
+            signed = df.select(*names, F.lit(1).cast("long").alias(DIFF))
+            if store.parts:
+                signed = signed.unionByName(store.df.select(*names, F.lit(-1).cast("long").alias(DIFF))).groupBy(*names).agg(F.sum(DIFF).alias(DIFF)).filter(F.col(DIFF) != 0)
+            more, less = store.write_signed(signed)
+            store.add(less, more)
+            out[rel] = more, less
+        if s.recursive:
+            remove_dir(f.folder)
+        return out
+
+    # --- maintenance
 
-    def _continue(self, s: Stratum, deltas: dict[str, DataFrame]) -> dict[str, DataFrame]:
-        """New rows of a rule: one changed atom reads what was added, the others all there is."""
+    def _derive(self, s: Stratum, first: Callable[[int, Atom], DataFrame | None], rest: Callable[[Atom], Relation]) -> dict[str, DataFrame]:
+        """What the rules give with one atom reading ``first`` (None: not this one), the others ``rest``."""
         found: dict[str, list[DataFrame]] = {}
         for r in s.rules:
             for i, a in enumerate(r.body):
-                if isinstance(a, Atom) and not a.negated and a.rel in deltas and a.rel not in s.relations:
-
-                    def find(j, b, i=i):
-                        if j == i:
-                            return Relation(deltas[b.rel].drop(DIFF), True)
-                        return self._lookup(b.rel)
-
+                if isinstance(a, Atom) and not a.negated and (df := first(i, a)) is not None:
+                    find = lambda j, b, i=i, df=df: Relation(df, True) if j == i else rest(b)
                     found.setdefault(r.rel, []).append(compile_rule(self.spark, r, find, self.program.columns, i).df)
-        fresh = {}
-        for rel, parts in found.items():
-            df = reduce(lambda a, b: a.union(b), parts).distinct()
-            fresh[rel] = df.join(self.state[rel], self.schema(rel).names, "left_anti")
-        if not s.recursive:
-            (rel,) = s.relations
-            return {rel: self.state[rel].union(fresh[rel])} if rel in fresh else {}
-        f = Fixpoint(self.spark, self.program, s, self._lookup, {}, nested=self.nested, **self.options)
+        return {rel: reduce(DataFrame.union, parts) for rel, parts in found.items()}
+
+    def _maintain(self, s: Stratum, changed: set[str], plus, minus, before, given) -> dict[str, tuple[Part, Part]]:
+        was = {rel: list(self.stores[rel].parts) for rel in s.relations}
+        gone = self._overdelete(s, changed, minus, before, given)
+        for rel, parts in gone.items():
+            self.stores[rel].add(*parts)
+        lost = {rel: self.stores[rel]._plain(parts) for rel, parts in gone.items() if parts}
+        # candidates: what insertions give, what is given, and of what was taken away all that has a derivation left
+        found = self._derive(s, lambda i, a: plus[a.rel] if a.rel in changed and a.rel in plus else None, lambda a: self._lookup(a.rel))
+        for rel in s.relations:
+            more = [self._read(rel, given[rel][0])] if rel in given and given[rel][0].n else []
+            if rel in lost:
+                more += self._rederive(s, rel, lost[rel])
+            if rel in found:
+                more.append(found[rel])
+            if more:
+                found[rel] = reduce(DataFrame.union, more)
         delta = {}
-        for rel, store in f.stores.items():
-            store.add(*store.write(self.state[rel]))
-            if rel in fresh:
-                delta[rel] = store.write(fresh[rel])
-        for rel, (path, n) in delta.items():
-            f.absorb(rel, path, n)
-        return {r: x.df for r, x in f.run(delta).items()}
+        for rel, df in found.items():
+            store = self.stores[rel]
+            made = store.write(df.distinct())
+            delta[rel] = store.write(store.absent_small(made)) if made.n and store.parts else made
+        for rel, part in delta.items():
+            self.stores[rel].add(part)
+        if s.recursive and any(p.n for p in delta.values()):
+            f = Fixpoint(self.spark, self.program, s, self._lookup, {}, nested=self.nested, stores={r: self.stores[r] for r in s.relations}, **self.options)
+            f.run(delta)
+            remove_dir(f.folder)
+        out = {}
+        for rel in s.relations:
+            store = self.stores[rel]
+            less = gone.get(rel, [])
+            more = [p for p in store.parts if p not in was[rel] and not p.gone]
+            if less and more:  # what came back isn't a change
+                a, b = store._plain(less), store._plain(more)
+                names = self.schema(rel).names
+                signed = b.join(a, names, "left_anti").withColumn(DIFF, F.lit(1).cast("long")).unionByName(a.join(b, names, "left_anti").withColumn(DIFF, F.lit(-1).cast("long")))
+                out[rel] = store.write_signed(signed)
+            elif less or more:
+                parts = less or more
+                only = parts[0] if len(parts) == 1 else Part("", 0)
+                if len(parts) > 1:
+                    only = store.write(store._plain(parts), gone=bool(less))
+                out[rel] = (Part("", 0), only) if less else (only, Part("", 0))
+        return out
+
+    def _overdelete(self, s: Stratum, changed: set[str], minus, before, given) -> dict[str, list[Part]]:
+        """Rows with a derivation from a removed row, by the states before the step."""
+        out: dict[str, list[Part]] = {}
+        old = lambda rel: Relation(self.stores[rel].of(before[rel]), True)
+        found = self._derive(s, lambda i, a: minus[a.rel] if a.rel in changed and a.rel in minus else None, lambda a: old(a.rel))
+        for rel in s.relations:
+            if rel in given and given[rel][1].n:
+                df = self._read(rel, given[rel][1])
+                found[rel] = found[rel].union(df) if rel in found else df
+        while found:
+            delta = {}
+            for rel, df in found.items():
+                store = self.stores[rel]
+                made = store.write(df.distinct())
+                if not made.n:
+                    continue
+                rows = store.read(made)
+                names = self.schema(rel).names
+                there = old(rel).df.join(F.broadcast(rows) if made.n <= SMALL_ROWS else rows, names, "left_semi")
+                if out.get(rel):
+                    there = there.join(store._plain(out[rel]), names, "left_anti")
+                part = store.write(there, gone=True)
+                if part.n:
+                    out.setdefault(rel, []).append(part)
+                    delta[rel] = store.read(part)
+            if not delta or not s.recursive:
+                break
+            found = self._derive(s, lambda i, a: delta[a.rel] if a.rel in delta else None, lambda a: old(a.rel))  # noqa: B023
+        return out
+
+    def _rederive(self, s: Stratum, rel: str, lost: DataFrame) -> list[DataFrame]:
+        """Of rows that were taken away, those that a rule still gives or that are given. Rules begin with the rows that are asked for."""
+        out, names = [], self.schema(rel).names
+        if self.base[rel]:
+            out.append(self._given(rel).df.join(lost, names, "left_semi"))
+        for r in s.rules:
+            if r.rel != rel:
+                continue
+            if r.args and all(isinstance(a, (Var, Const)) for a in r.args):
+                asked = Rule(r.rel, r.args, (Atom(GONE, r.args), *r.body), r.line)
+                columns = self.program.columns | {GONE: self.program.columns[rel]}
+                find = lambda j, b: Relation(lost, True) if b.rel == GONE else self._lookup(b.rel)
+                out.append(compile_rule(self.spark, asked, find, columns, 0).df)
+            else:
+                df = compile_rule(self.spark, r, lambda _, a: self._lookup(a.rel), self.program.columns).df
+                out.append(df.join(lost, names, "left_semi"))
+        return out
 
     def step(self) -> list[tuple[str, tuple, int]]:
         """The changes as (relation, row, +1 or -1): for each stratum those that appeared, then those that disappeared."""
