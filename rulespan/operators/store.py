@@ -19,6 +19,7 @@ from rulespan.operators.signed import DIFF
 
 COMPACT = 8
 SMALL_ROWS = 100_000  # that many may be broadcast
+FEW_ROWS = 10_000  # that many may be with the driver
 
 
 @dataclass(frozen=True)
@@ -163,6 +164,21 @@ class Store:
         self.add(*gone, new)
 
 
+def few(df: DataFrame) -> list[tuple] | None:
+    """The rows, with repetitions, or None if they are more than FEW_ROWS. One job; no more than that reaches the driver."""
+    row = df.limit(FEW_ROWS + 1).agg(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("r")).collect()[0].r
+    return None if len(row) > FEW_ROWS else [tuple(r) for r in row]
+
+
+def local(spark: SparkSession, rows, schema: T.StructType) -> DataFrame:
+    """A relation in the plan itself, whose size Catalyst knows."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kinds, columns = to_arrow_schema(schema), list(zip(*rows)) or [()] * len(schema.fields)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, k.type) for c, k in zip(columns, kinds)], names=schema.names), schema)
+
+
 def _groups(parts: list[Part]) -> list[list[Part]]:
     out: list[list[Part]] = []
     for p in parts:

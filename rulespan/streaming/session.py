@@ -4,7 +4,8 @@ After every step the derived relations are what a fresh evaluation of the inputs
 Strata that no change reaches are left alone. Where what changed is only joined (no negation, no aggregate), a stratum is
 maintained: rows with a derivation from a removed row are taken away, those of them that still have another one
 are put back, rows that insertions give are added, and the fixpoint goes on from both; the work follows the change, not the state
-(delete and rederive).  Elsewhere the stratum is evaluated anew and compared with what it was. All states are Parquet in
+(delete and rederive).  As long as these are few rows (``FEW_ROWS``) they are part of the plans, and only what a step has changed in the end
+is written.  Elsewhere the stratum is evaluated anew and compared with what it was. All states are Parquet in
 the shared folder, in parts (``operators.store``): a step adds parts of the size of what it changed.
 """
 
@@ -21,7 +22,7 @@ from rulespan.engine import Engine, _functions
 from rulespan.operators.fixpoint import MAX_ITERATIONS, UNROLL, Fixpoint
 from rulespan.operators.rules import Relation, compile_rule, schema_of, union
 from rulespan.operators.signed import DIFF
-from rulespan.operators.store import SMALL_ROWS, Part, Store
+from rulespan.operators.store import FEW_ROWS, SMALL_ROWS, Part, Store, few, local
 from rulespan.plans.program import ArityError, Program, ProgramError, Stratum
 from rulespan.plans.syntax import Atom, Const, Rule, Var
 from rulespan.shared import remove_dir, work_dir
@@ -65,7 +66,7 @@ class Session:
         self.base: dict[str, list[str]] = {}  # parts of rows and how often each is there, to be added up
         self.stores: dict[str, Store] = {}
         self.state = States(self.stores)
-        self.pending: dict[str, list[DataFrame]] = {}
+        self.pending: dict[str, list[DataFrame | tuple[int, list[tuple]]]] = {}
         self.rows: dict[tuple[str, int], list[tuple]] = {}
         for rel in self.program.relations:
             self.base[rel] = []
@@ -146,9 +147,18 @@ class Session:
 
     def _flush_rows(self):
         for (rel, sign), rows in self.rows.items():
-            self._stage(rel, self.spark.createDataFrame(rows, self.schema(rel)), sign)
+            if len(rows) <= FEW_ROWS and self._plain_types(rel):
+                self.pending.setdefault(rel, []).append((sign, rows))
+            else:
+                self._stage(rel, self.spark.createDataFrame(rows, self.schema(rel)), sign)
         self.rows = {}
 
+    def _plain_types(self, rel: str) -> bool:
+        return not any(isinstance(f.dataType, T.StructType) for f in self.schema(rel).fields)
+
+    def _local(self, rel: str, rows) -> DataFrame:
+        return local(self.spark, rows, self.schema(rel))
+
     # --- steps
 
     def step_frame(self) -> dict[str, DataFrame]:
@@ -161,6 +171,8 @@ class Session:
         before = {rel: list(s.parts) for rel, s in self.stores.items()}
         plus: dict[str, DataFrame] = {}
         minus: dict[str, DataFrame] = {}
+        self.few_plus: dict[str, set] = {}  # of plus and minus, those that the driver has
+        self.few_minus: dict[str, set] = {}
         given: dict[str, tuple[Part, Part]] = {}  # what changed of the facts of derived relations
         for rel, changes in pending.items():
             more, less = self._change_base(rel, changes)
@@ -177,7 +189,7 @@ class Session:
                 continue
             if self.epoch > 1 and self._joins_only(s, changed):
                 ran.append((s.id, "continued"))
-                found = self._maintain(s, changed, plus, minus, before, given)
+                found = self._maintain_few(s, changed, plus, minus, before, given) or self._maintain(s, changed, plus, minus, before, given)
             else:
                 ran.append((s.id, "anew"))
                 found = self._anew(s)
@@ -210,7 +222,10 @@ class Session:
         """Changes apply in order, a removal sees what was inserted before it, and no count falls below 0. Returns the rows that appear and
         those that go. Only the rows that are named are looked up."""
         store, names = self.stores[rel], self.schema(rel).names
-        sums = [c.groupBy(*names).agg(F.sum(DIFF).alias(f"__{k}")) for k, c in enumerate(changes)]
+        if (few_ := self._change_few(rel, changes)) is not None:
+            return few_
+        frames = [c if isinstance(c, DataFrame) else self._local(rel, c[1]).withColumn(DIFF, F.lit(c[0]).cast("long")) for c in changes]
+        sums = [c.groupBy(*names).agg(F.sum(DIFF).alias(f"__{k}")) for k, c in enumerate(frames)]
         all_ = sums[0]
         if len(sums) > 1:
             all_ = reduce(DataFrame.union, (s.select(*names) for s in sums)).distinct()
@@ -230,11 +245,48 @@ class Session:
             now = F.greatest(now + F.coalesce(F.col(f"__{k}"), F.lit(0)), F.lit(0))
         diff = F.when((now > 0) & (had == 0), F.lit(1)).when((now == 0) & (had > 0), F.lit(-1)).otherwise(F.lit(0))
         more, less = store.write_signed(all_.select(*names, diff.cast("long").alias(DIFF), (now - had).cast("long").alias(COUNT)).filter(f"{COUNT} != 0"))
-        self.base[rel].append(more.path)
+        self._keep_base(rel, more.path)
+        return more, less
+
+    def _keep_base(self, rel: str, path: str) -> None:
+        names = self.schema(rel).names
+        schema = T.StructType([*self.schema(rel).fields, T.StructField(COUNT, T.LongType())])
+        self.base[rel].append(path)
         if len(self.base[rel]) > 16:  # the first is kept as it is, unless the others have come to as much
             rest = self.spark.read.schema(schema).parquet(*self.base[rel][1:]).groupBy(*names).agg(F.sum(COUNT).alias(COUNT)).filter(f"{COUNT} != 0")
             self.base[rel][1:] = [Store(self.spark, schema, f"{self.folder}/{rel}-base").write(rest).path]
-        return more, less
+
+    def _change_few(self, rel: str, changes: list) -> tuple[Part, Part] | None:
+        """The same for few rows that the driver has."""
+        if any(isinstance(c, DataFrame) for c in changes) or sum(len(c[1]) for c in changes) > FEW_ROWS:
+            return None
+        names, had = self.schema(rel).names, {}
+        schema = T.StructType([*self.schema(rel).fields, T.StructField(COUNT, T.LongType())])
+        named = {row for _, rows in changes for row in rows}
+        if self.base[rel]:
+            found = few(self.spark.read.schema(schema).parquet(*self.base[rel]).join(self._local(rel, named), names, "left_semi"))
+            if found is None:
+                return None
+            for *row, n in found:
+                had[tuple(row)] = had.get(tuple(row), 0) + n
+        now = {row: had.get(row, 0) for row in named}
+        for sign, rows in changes:
+            step = {}
+            for row in rows:
+                step[row] = step.get(row, 0) + sign
+            for row, n in step.items():
+                now[row] = max(0, now[row] + n)
+        rows = [(*row, (n > 0) - (had.get(row, 0) > 0), n - had.get(row, 0)) for row, n in now.items() if n != had.get(row, 0)]
+        more, less = ({r[:-2] for r in rows if r[-2] == sign} for sign in (1, -1))
+        self.few_plus[rel], self.few_minus[rel] = more, less
+        store = self.stores[rel]
+        if not rows:
+            return Part("", 0), Part("", 0)
+        path = store._path()
+        wide = T.StructType([*self.schema(rel).fields, T.StructField(DIFF, T.LongType()), T.StructField(COUNT, T.LongType())])
+        local(self.spark, rows, wide).coalesce(1).write.mode("overwrite").parquet(path)
+        self._keep_base(rel, path)
+        return Part(path, len(more), False, f"{DIFF} > 0"), Part(path, len(less), True, f"{DIFF} < 0")
 
     def _joins_only(self, s: Stratum, changed: set[str]) -> bool:
         """No rule negates or aggregates what changed, nor aggregates at all."""
@@ -285,6 +337,96 @@ class Session:
                     found.setdefault(r.rel, []).append(compile_rule(self.spark, r, find, self.program.columns, i).df)
         return {rel: reduce(DataFrame.union, parts) for rel, parts in found.items()}
 
+    def _maintain_few(self, s: Stratum, changed: set[str], plus, minus, before, given) -> dict[str, tuple[Part, Part]] | None:
+        """As _maintain, while all that changes is few rows; None, and nothing done, if it isn't. Each pass is two jobs: what the rules
+        give, and what of that is there."""
+        if not all(r in self.few_plus and r in self.few_minus for r in changed | (set(given) & set(s.relations))) or not all(map(self._plain_types, s.relations)):
+            return None
+        own = s.relations
+        gone: dict[str, set] = {r: set() for r in own}
+        added: dict[str, set] = {r: set() for r in own}
+
+        def rows_of(frames: dict[str, DataFrame]) -> dict[str, set] | None:
+            out = {}
+            for rel, df in frames.items():
+                if (rows := few(df)) is None:
+                    return None
+                out[rel] = set(rows)
+            return out
+
+        def there(rel: str, rows: set, parts: list[Part]) -> set | None:
+            if not rows or not parts:
+                return set()
+            found = few(self.stores[rel].of(parts).join(self._local(rel, rows), self.schema(rel).names, "left_semi"))
+            return None if found is None else set(found)
+
+        def old(rel: str) -> Relation:
+            return Relation(self.stores[rel].of(before[rel]), True)
+
+        def now(rel: str) -> Relation:
+            df = self.stores[rel].df
+            if gone.get(rel):
+                df = df.join(self._local(rel, gone[rel]), self.schema(rel).names, "left_anti")
+            if added.get(rel):
+                df = df.union(self._local(rel, added[rel]))
+            return Relation(df, True)
+
+        def derive(delta: dict[str, set], rest: Callable[[str], Relation]) -> dict[str, DataFrame]:
+            frames = {r: self._local(r, rows) for r, rows in delta.items() if rows}
+            return self._derive(s, lambda i, a: frames.get(a.rel), lambda a: rest(a.rel))
+
+        found, first = rows_of(derive({r: self.few_minus[r] for r in changed}, old)), True
+        while found is not None:
+            delta = {}
+            for rel in own:
+                rows = found.get(rel, set()) | (self.few_minus[rel] if rel in given and first else set())
+                hit = there(rel, rows - gone[rel], before[rel])
+                if hit is None or len(gone[rel]) + len(hit) > FEW_ROWS:
+                    return None
+                gone[rel] |= hit
+                if hit:
+                    delta[rel] = hit
+            first = False
+            if not delta or not s.recursive:
+                break
+            found = rows_of(derive(delta, old))
+        if found is None:
+            return None
+        frames = derive({r: self.few_plus[r] for r in changed}, lambda r: now(r) if r in own else self._lookup(r))
+        for rel in own:
+            for df in self._rederive(s, rel, self._local(rel, gone[rel]), now) if gone[rel] else ():
+                frames[rel] = frames[rel].union(df) if rel in frames else df
+        found = rows_of(frames)
+        first = True
+        while found is not None:
+            delta = {}
+            for rel in own:
+                rows = (found.get(rel, set()) | (self.few_plus[rel] if rel in given and first else set())) - added[rel]
+                hit = there(rel, rows - gone[rel], before[rel])
+                if hit is None or len(added[rel]) + len(rows) > FEW_ROWS:
+                    return None
+                if rows - hit:
+                    delta[rel] = rows - hit
+                    added[rel] |= delta[rel]
+            first = False
+            if not delta or not s.recursive:
+                break
+            found = rows_of(derive(delta, lambda r: now(r) if r in own else self._lookup(r)))
+        if found is None:
+            return None
+        out = {}
+        for rel in own:
+            store, parts = self.stores[rel], []
+            self.few_plus[rel], self.few_minus[rel] = added[rel] - gone[rel], gone[rel] - added[rel]
+            for rows, is_gone in ((self.few_plus[rel], False), (self.few_minus[rel], True)):
+                path = store._path()
+                if rows:
+                    self._local(rel, rows).coalesce(1).write.mode("overwrite").parquet(path)
+                parts.append(Part(path, len(rows), is_gone))
+            store.add(parts[1], parts[0])
+            out[rel] = parts[0], parts[1]
+        return out
+
     def _maintain(self, s: Stratum, changed: set[str], plus, minus, before, given) -> dict[str, tuple[Part, Part]]:
         was = {rel: list(self.stores[rel].parts) for rel in s.relations}
         gone = self._overdelete(s, changed, minus, before, given)
@@ -360,9 +502,10 @@ class Session:
             found = self._derive(s, lambda i, a: delta[a.rel] if a.rel in delta else None, lambda a: old(a.rel))  # noqa: B023
         return out
 
-    def _rederive(self, s: Stratum, rel: str, lost: DataFrame) -> list[DataFrame]:
+    def _rederive(self, s: Stratum, rel: str, lost: DataFrame, now: Callable[[str], Relation] | None = None) -> list[DataFrame]:
         """Of rows that were taken away, those that a rule still gives or that are given. Rules begin with the rows that are asked for."""
         out, names = [], self.schema(rel).names
+        look = now or self._lookup
         if self.base[rel]:
             out.append(self._given(rel).df.join(lost, names, "left_semi"))
         for r in s.rules:
@@ -371,10 +514,10 @@ class Session:
             if r.args and all(isinstance(a, (Var, Const)) for a in r.args):
                 asked = Rule(r.rel, r.args, (Atom(GONE, r.args), *r.body), r.line)
                 columns = self.program.columns | {GONE: self.program.columns[rel]}
-                find = lambda j, b: Relation(lost, True) if b.rel == GONE else self._lookup(b.rel)
+                find = lambda j, b: Relation(lost, True) if b.rel == GONE else look(b.rel)
                 out.append(compile_rule(self.spark, asked, find, columns, 0).df)
             else:
-                df = compile_rule(self.spark, r, lambda _, a: self._lookup(a.rel), self.program.columns).df
+                df = compile_rule(self.spark, r, lambda _, a: look(a.rel), self.program.columns).df
                 out.append(df.join(lost, names, "left_semi"))
         return out
 
