@@ -10,9 +10,9 @@ The list comes out as one Spark conditional expression, the first rule that hold
 deciding, with high quality as the last resort.
 
 Defined cases: null and empty texts have statistics of 0; null labels and
-labels of unknown documents aren't used; without labels of both kinds the list is
+labels of unknown documents aren't used; a document with both labels is of low quality; without labels of both kinds the list is
 empty and everything is kept; repeated rows are judged alike; ties among conditions
-go to the first statistic and the lowest threshold. Further columns are ignored.
+go to the first statistic, the lowest threshold, and below it before above it; of prunings of one worth the shortest stays. Further columns are ignored.
 """
 
 from __future__ import annotations

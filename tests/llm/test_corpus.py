@@ -378,6 +378,25 @@ def test_lcs_and_singular_vectors():
     assert np.linalg.norm(true.T @ v, 2) > 0.99 and np.abs(np.linalg.svd(true.T @ v)[1]).min() > 0.9
 
 
+@pytest.mark.parametrize("kind", ["int", "smallint", "string"])
+def test_ids_of_any_type(spark, kind):
+    rng = random.Random(17)
+    item = prose(rng, 30)
+    rows = [(1, prose(rng, 40) + " " + item), (2, prose(rng, 40)), (None, prose(rng, 40) + " " + item), (4, None), (5, "")]
+    rows += [(3, rows[1][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr(f"cast(doc_id as {kind}) as doc_id", "text")
+    bench = spark.createDataFrame([(7, item), (None, prose(rng, 20))], "item_id long, text string").selectExpr(f"cast(item_id as {kind}) as item_id", "text")
+    cast = (lambda x: None if x is None else str(x)) if kind == "string" else (lambda x: x)
+    found = D.leaks(df, bench)
+    assert found.dtypes[:2] == [("doc_id", kind), ("item_id", kind)] and key(r[:2] for r in found.collect()) == key([(cast(1), cast(7)), (None, cast(7))])
+    assert D.drop_contaminated(df, bench).dtypes == df.dtypes
+    near = J.near_duplicates(df, n=1)
+    assert near.dtypes[:2] == [("doc_id_a", kind), ("doc_id_b", kind)] and (cast(2), cast(3)) in [r[:2] for r in near.collect()]
+    assert {r.doc_id for r in J.one_of_each(df).collect()} == {cast(x) for x in (1, 2, None, 4, 5)}
+    encoded = S.encode(df.select("doc_id", "text"))
+    assert encoded.dtypes[0] == ("doc_id", kind) and encoded.filter("round_trip").count() == 6
+
+
 # --- SentencePiece
 
 

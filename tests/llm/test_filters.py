@@ -3,6 +3,7 @@
 import gzip
 import json
 import random
+import re
 import zipfile
 
 import numpy as np
@@ -39,6 +40,91 @@ def test_statistics():
     assert s["upper_share"][3] == pytest.approx(2 / 3) and s["sign_share"][4] == pytest.approx(2 / 3)
 
 
+def all_statistics(t):
+    """All twelve, word by word."""
+    raw = (t or "").encode()
+    spans = [(m.start(), m.end()) for m in re.finditer(rb"[0-9A-Za-z_\x80-\xff]+", raw)]
+    w = [raw[a:b].decode().lower() for a, b in spans]
+    n, signs = len(w), b"#$%&*!|~^<>{}[]=+\\@"
+    flags = {
+        "repeat": [k > 0 and w[k] == w[k - 1] for k in range(n)],
+        "upper": [not re.search(rb"[a-z]", raw[a:b]) and len(re.findall(rb"[A-Z]", raw[a:b])) >= 2 for a, b in spans],
+        "sign": [any(c in signs for c in raw[b : b + 2]) for _, b in spans],
+    }
+    out = {"n_words": n, "mean_word": sum(b - a for a, b in spans) / n if n else 0, "distinct_share": len(set(w)) / n if n else 0, "mean_line": n / (raw.count(b"\n") + 1)}
+    for name, x in flags.items():
+        out[f"{name}_share"] = sum(x) / n if n else 0
+        out[f"{name}_block"] = max((sum(x[k : k + 32]) / max(8, len(x[k : k + 32])) for k in range(0, n, 32)), default=0)
+    out["digit_share"] = len(re.findall(rb"[0-9]", raw)) / len(raw) if raw else 0
+    out["alpha_share"] = len(re.findall(rb"[A-Za-z\x80-\xff]", raw)) / len(raw) if raw else 0
+    return out
+
+
+def test_all_statistics():
+    rng = random.Random(6)
+    pool = ["word", "WORD", "Ab", "AB", "a#", "b!!", "12", "x1", "é", "ÀÉ", "\n", "-", "same same", "#", "~ ~"]
+    texts = ["", None, "one", *(" ".join(rng.choice(pool) for _ in range(rng.randrange(120))) for _ in range(60))]
+    s = R.statistics(pa.array(texts))
+    for k, t in enumerate(texts):
+        want = all_statistics(t)
+        assert set(want) == set(R.STATS)
+        for name in R.STATS:
+            assert s[name][k] == pytest.approx(want[name]), (t, name)
+
+
+def brute_rules(rows, bad):
+    """Sequential covering, condition by condition and row by row. rows: dictionaries of statistics."""
+    part = np.random.default_rng(3).random(len(rows)) < 2 / 3
+    holds = lambda c, r: (r[c[0]] >= c[2]) if c[1] else (r[c[0]] < c[2])
+    covers = lambda cs, r: all(holds(c, r) for c in cs)
+    rules, left = [], list(range(len(rows)))
+    while len(rules) < R.MAX_RULES and sum(bad[k] for k in left) >= R.MIN_COVER:
+        grown, cs = [k for k in left if part[k]], []
+        while len(cs) < R.MAX_CONDITIONS:
+            inside = [k for k in grown if covers(cs, rows[k])]
+            p = sum(bad[k] for k in inside)
+            if p in (0, len(inside)):
+                break
+            best, gain = None, 1e-9
+            for name in rows[0]:
+                cuts = sorted(set(np.quantile([rows[k][name] for k in inside], np.linspace(0, 1, R.QUANTILES + 1)).tolist()))
+                for t in ((a + b) / 2 for a, b in zip(cuts, cuts[1:])):
+                    for above in (False, True):
+                        hit = [k for k in inside if holds((name, above, t), rows[k])]
+                        pp = sum(bad[k] for k in hit)
+                        if pp and (g := pp * (np.log2(pp / len(hit)) - np.log2(p / len(inside)))) > gain:
+                            best, gain = (name, above, t), g
+            if best is None:
+                break
+            cs.append(best)
+        if not cs:
+            break
+        others, found = [k for k in left if not part[k]], None
+        for m in range(len(cs), 0, -1):
+            hit = [k for k in others if covers(cs[:m], rows[k])]
+            p = sum(bad[k] for k in hit)
+            worth = (2 * p - len(hit)) / len(hit) if hit else -1.0
+            if found is None or worth >= found[0]:
+                found = worth, cs[:m], p / len(hit) if hit else 0.0
+        cs, precision = (found[1], found[2]) if others else (cs, 1.0)
+        hit = [k for k in left if covers(cs, rows[k])]
+        if len(hit) < R.MIN_COVER or precision < R.MIN_PRECISION or sum(bad[k] for k in hit) < R.MIN_PRECISION * len(hit):
+            break
+        rules.append(cs)
+        left = [k for k in left if k not in set(hit)]
+    return rules
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_rules_against_a_brute_force_learner(seed):
+    rng = random.Random(seed)
+    rows = [{"a": rng.randrange(12) / 4, "b": rng.random(), "c": float(rng.randrange(3))} for _ in range(150)]
+    bad = np.array([(r["a"] > 2 and r["b"] < 0.6) or r["c"] == 2 and r["b"] > 0.8 or rng.random() < 0.02 for r in rows])
+    rules = R.learn({s: np.array([r[s] for r in rows]) for s in rows[0]}, bad)
+    got = [[(c.stat, c.above, c.threshold) for c in r.conditions] for r in rules]
+    assert got and got == brute_rules(rows, bad.tolist())
+
+
 def test_rules_learned_and_applied(spark, odd, clashing, empty):
     rng = random.Random(2)
     rows, labels = [], []
