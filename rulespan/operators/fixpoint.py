@@ -4,7 +4,7 @@ Every pass is declarative: one DataFrame for each rule and each of its recursive
 atom reading the delta and the others everything so far.  What a pass derives is written as Parquet to
 the shared folder and read back: that cuts the lineage, survives lost executors, and gives
 Catalyst sizes, so that small deltas are broadcast and large ones aren't.  What is there already is kept in
-parts bucketed by the relation's key (``operators.store``): a pass shuffles what it derives, and neither the relation
+parts (``operators.store``), large ones bucketed by the relation's key: a pass shuffles what it derives, and neither the relation
 so far nor the best values of an aggregate are shuffled or written again.  While deltas are small, a
 job takes several steps at once, since then its latency is what costs.
 """
@@ -23,11 +23,12 @@ from rulespan.operators.rules import Relation, compile_rule, schema_of, union
 from rulespan.operators.store import Part, Store
 from rulespan.plans.program import Program, Stratum
 from rulespan.plans.syntax import Agg, Atom, Rule, Var
-from rulespan.shared import work_dir
+from rulespan.shared import input_bytes, work_dir
 
 log = logging.getLogger("rulespan.fixpoint")
 MAX_ITERATIONS = 32_768
-UNROLL, UNROLL_ROWS = 3, 200_000
+UNROLL, UNROLL_ROWS = 3, 2_000
+LARGE_BYTES, LARGE_ROWS = 1 << 20, 20_000  # a first part of more, and a delta after one of more, is bucketed
 
 
 class IterationLimitError(RuntimeError):
@@ -124,9 +125,10 @@ class Fixpoint:
             found = store.write(df)
             return store.write(store.absent_small(found)) if found.n and store.parts else found
         better = self.agg[rel][1] if self.agg[rel] else None
-        if not store.schema.names or not store.parts or not store.keys:
-            return store.write(store.absent(df, better))
-        return store.write_bucketed(store.absent(df, better), placed=bool(store.parts[0].table))
+        found = store.absent(df, better)
+        if store.keys and store.parts and store.parts[-1].n > LARGE_ROWS:  # as many as the last time: worth buckets
+            return store.write_bucketed(found, placed=bool(store.parts[0].table))
+        return store.write(found)
 
     def absorb(self, rel: str, part: Part):
         s = self.stores[rel]
@@ -148,7 +150,9 @@ class Fixpoint:
                     parts.append(compile_rule(self.spark, r, lambda _, a: self.outside(a.rel), self.columns, None, self.semijoins))
             if parts:
                 r = union(parts)
-                out[rel] = self.stores[rel].write_bucketed(best(r.df, self.names(rel), self.agg[rel]) if self.agg[rel] else r.df)
+                df = best(r.df, self.names(rel), self.agg[rel]) if self.agg[rel] else r.df
+                store = self.stores[rel]
+                out[rel] = (store.write_bucketed if store.keys and input_bytes(df) > LARGE_BYTES else store.write)(df)
         return out
 
     def run(self, delta: dict[str, Part] | None = None) -> dict[str, Relation]:
@@ -166,7 +170,7 @@ class Fixpoint:
                 raise IterationLimitError(f"no fixpoint of {', '.join(self.stratum.relations)} after {self.max_iterations} passes")
             began = time.time()
             rows = sum(p.n for p in delta.values())
-            steps = self.unroll if rows <= self.unroll_rows else 1
+            steps = self.unroll if rows <= self.unroll_rows and not any(self.agg.values()) else 1
             d = {r: Relation(self.stores[r].read(p), True) for r, p in delta.items() if p.n}
             full = {r: self.present(r) for r in self.inside}
             found: dict[str, list[DataFrame]] = {}

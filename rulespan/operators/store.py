@@ -40,6 +40,7 @@ class Store:
         self.parts: list[Part] = []
         self.tables: list[str] = []
         self.made = 0
+        self._read: dict[tuple[Part, ...], DataFrame] = {}  # the last ones: files aren't listed again for the same parts
 
     def _path(self) -> str:
         self.made += 1
@@ -86,6 +87,14 @@ class Store:
         return self.spark.createDataFrame([], self.schema)
 
     def of(self, parts: list[Part]) -> DataFrame:
+        key = tuple(parts)
+        if key not in self._read:
+            if len(self._read) >= 4:
+                self._read.pop(next(iter(self._read)))
+            self._read[key] = self._of(parts)
+        return self._read[key]
+
+    def _of(self, parts: list[Part]) -> DataFrame:
         out = None
         for group in _groups(parts):
             rows = self._plain(group)
@@ -153,7 +162,7 @@ class Store:
         first, rest = self.parts[0], self.parts[1:]
         if sum(p.n for p in rest) > first.n // 2 or first.gone:
             df = self.df
-            self.parts = [self.write_bucketed(merge(df) if merge else df)]
+            self.parts = [(self.write_bucketed if self.rows > SMALL_ROWS else self.write)(merge(df) if merge else df)]
             return
         plus = self.of(rest)
         minus = [p for p in rest if p.gone]

@@ -371,10 +371,16 @@ class Session:
                 df = df.union(self._local(rel, added[rel]))
             return Relation(df, True)
 
-        def derive(delta: dict[str, set], rest: Callable[[str], Relation]) -> dict[str, DataFrame]:
-            frames = {r: self._local(r, rows) for r, rows in delta.items() if rows}
-            return self._derive(s, lambda i, a: frames.get(a.rel), lambda a: rest(a.rel))
+        def derive(delta: dict[str, set], rest: Callable[[str], Relation], steps: int = 1) -> dict[str, DataFrame]:
+            """steps: several at once; rows of two steps before meet in the next pass."""
+            frames, out = {r: self._local(r, rows) for r, rows in delta.items() if rows}, {}
+            for _ in range(steps):
+                frames = self._derive(s, lambda i, a, frames=frames: frames.get(a.rel), lambda a: rest(a.rel))
+                for r, df in frames.items():
+                    out[r] = out[r].union(df) if r in out else df
+            return out
 
+        steps = 1  # most changes end soon; those that don't are followed further in a job
         found, first = rows_of(derive({r: self.few_minus[r] for r in changed}, old)), True
         while found is not None:
             delta = {}
@@ -389,7 +395,7 @@ class Session:
             first = False
             if not delta or not s.recursive:
                 break
-            found = rows_of(derive(delta, old))
+            found, steps = rows_of(derive(delta, old, steps)), self.options["unroll"]
         if found is None:
             return None
         frames = derive({r: self.few_plus[r] for r in changed}, lambda r: now(r) if r in own else self._lookup(r))
@@ -397,7 +403,7 @@ class Session:
             for df in self._rederive(s, rel, self._local(rel, gone[rel]), now) if gone[rel] else ():
                 frames[rel] = frames[rel].union(df) if rel in frames else df
         found = rows_of(frames)
-        first = True
+        first, steps = True, 1
         while found is not None:
             delta = {}
             for rel in own:
@@ -411,7 +417,7 @@ class Session:
             first = False
             if not delta or not s.recursive:
                 break
-            found = rows_of(derive(delta, lambda r: now(r) if r in own else self._lookup(r)))
+            found, steps = rows_of(derive(delta, lambda r: now(r) if r in own else self._lookup(r), steps)), self.options["unroll"]
         if found is None:
             return None
         out = {}
