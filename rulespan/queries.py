@@ -386,7 +386,21 @@ def weighted_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signed.count_weighted(signed.delta(orders(spark, sf_dir).select("o_custkey"), customer(spark, sf_dir).select(F.col("c_custkey").alias("o_custkey"))))
 
 
-QUERIES |= {"weighted_delta": weighted_delta, "weighted_join": weighted_join, "weighted_count": weighted_count}
+def multiway_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations, customers and suppliers, placed by nation once: the joins don't shuffle again."""
+    parts = [df.withColumnRenamed(df.columns[0], "n") for df in (nation(spark, sf_dir).select("n_nationkey"), customer(spark, sf_dir).select("c_nationkey", "c_custkey"), supplier(spark, sf_dir).select("s_nationkey", "s_suppkey"))]
+    return signed.multiway_join(parts, "n", 8).toDF("n", "c", "s")
+
+
+def exchange_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders of a customer are in one partition."""
+    placed = signed.exchange(orders(spark, sf_dir).select("o_custkey"), 8, "o_custkey").withColumn("p", F.spark_partition_id())
+    return placed.groupBy("o_custkey").agg(F.countDistinct("p").alias("places"), F.count(F.lit(1)).alias("n"))
+
+
+QUERIES |= {"weighted_delta": weighted_delta, "weighted_join": weighted_join, "weighted_count": weighted_count, "multiway_placed": multiway_placed, "exchange_by_key": exchange_by_key}
+ORACLE["multiway_placed"] = "select n_nationkey::bigint as n, c_custkey as c, s_suppkey as s from nation join customer on c_nationkey = n_nationkey join supplier on s_nationkey = n_nationkey"
+ORACLE["exchange_by_key"] = "select o_custkey, 1::bigint as places, count(*) as n from orders group by 1"
 ORACLE["weighted_delta"] = "select * from (select o_custkey, cast(sum(case when o_orderpriority < '3' then 1 else -1 end) as bigint) as diff from orders group by 1) where diff <> 0"
 ORACLE["weighted_join"] = "select c.n, c.k * s.k as diff from (select c_nationkey::bigint as n, count(*) as k from customer group by 1) c join (select s_nationkey::bigint as n, count(*) as k from supplier group by 1) s on c.n = s.n"
 ORACLE["weighted_count"] = "select (select count(*) from orders) - (select count(*) from customer) as count"

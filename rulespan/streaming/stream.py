@@ -14,7 +14,10 @@ from rulespan.streaming.session import Session
 
 def feed(session: Session, relation: str, stream: DataFrame, on_epoch: Callable[[dict[str, DataFrame], int], None] | None = None, **options) -> StreamingQuery:
     """Rows of a streaming DataFrame are inserted, or removed where a column ``__diff`` is negative; then the session steps.
-    on_epoch gets the changed relations with their ``__diff``. A batch that is delivered again is passed over."""
+    on_epoch gets the changed relations with their ``__diff``. A batch that is delivered again is passed over.
+
+    A session lives as long as its driver, and so does what it knows of delivered batches: after a restart of the driver begin with a new
+    session and a new ``checkpointLocation``, so that the stream is read from its beginning."""
     done = {"epoch": -1}
 
     def run(batch: DataFrame, epoch: int):

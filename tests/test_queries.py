@@ -10,7 +10,7 @@ from rulespan import queries as Q
 
 SF = os.environ.get("RULESPAN_TEST_SF", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"session_insert", "session_retract", "delta_output", "tc_nonlinear", "cc_min_label"}  # covered by tests of their own
+SLOW = {"session_insert", "session_insert_one", "session_retract_one", "session_snapshot", "session_net_zero", "session_retract", "delta_output", "tc_nonlinear", "cc_min_label"}  # covered by tests of their own
 
 
 @pytest.fixture(scope="module")

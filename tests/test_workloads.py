@@ -96,7 +96,7 @@ def made(name, rng):
 def test_program(spark, name):
     text, data = made(name, random.Random(name))
     p = Program.parse(text)
-    e = Engine(spark, p, {r: spark.createDataFrame(sorted(v), ", ".join(f"c{k} long" for k in range(len(next(iter(v)))))) for r, v in data.items()}, sets=set(data))
+    e = Engine(spark, p, {r: spark.createDataFrame(sorted(v), ", ".join(f"c{k} long" for k in range(len(next(iter(v)))))) for r, v in data.items()}, sets=set(data), unroll=1)
     want = evaluate(p, data)
     for rel in p.idb:
         got = [tuple(r) for r in e.relation(rel).collect()]
