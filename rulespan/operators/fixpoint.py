@@ -5,8 +5,8 @@ atom reading the delta and the others everything so far.  What a pass derives is
 the shared folder and read back: that cuts the lineage, survives lost executors, and gives
 Catalyst sizes, so that small deltas are broadcast and large ones aren't.  What is there already is kept in
 parts (``operators.store``), large ones bucketed by the relation's key: a pass shuffles what it derives, and neither the relation
-so far nor the best values of an aggregate are shuffled or written again.  While deltas are small, a
-job takes several steps at once, since then its latency is what costs.
+so far nor the best values of an aggregate are shuffled or written again.  While deltas are tiny and rules
+linear, a job takes several steps at once, since then its latency is what costs.
 """
 
 from __future__ import annotations
@@ -70,6 +70,7 @@ class Fixpoint:
         self.rules = doubled(stratum.rules) if doubling else stratum.rules
         self.columns = program.columns
         self.agg = {r: aggregate_position(stratum.rules, r) for r in stratum.relations}
+        self.linear = all(sum(a.rel in self.inside for a in r.atoms) <= 1 for r in self.rules)
         self.folder = work_dir(spark, "fixpoint")
         self.going_on = stores is not None
         self.stores = stores or {r: self._store(r) for r in stratum.relations}
@@ -170,7 +171,7 @@ class Fixpoint:
                 raise IterationLimitError(f"no fixpoint of {', '.join(self.stratum.relations)} after {self.max_iterations} passes")
             began = time.time()
             rows = sum(p.n for p in delta.values())
-            steps = self.unroll if rows <= self.unroll_rows and not any(self.agg.values()) else 1
+            steps = self.unroll if rows <= self.unroll_rows and self.linear and not any(self.agg.values()) else 1
             d = {r: Relation(self.stores[r].read(p), True) for r, p in delta.items() if p.n}
             full = {r: self.present(r) for r in self.inside}
             found: dict[str, list[DataFrame]] = {}
