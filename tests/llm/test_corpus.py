@@ -264,16 +264,21 @@ def test_hits_in_parts_and_uid_sets(spark, tmp_path, monkeypatch):
     rows = [(k, t) for k, (_, t) in enumerate(rows)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     rng = np.random.default_rng(0)
-    gram, loc, size = rng.integers(0, 9, 400).astype(np.uint64), np.arange(400, dtype=np.uint64) << np.uint64(10), rng.integers(1, 20, 400).astype(np.uint32)
+    gram, loc, size = rng.integers(0, 9, 400).astype(np.uint64) << np.uint64(48), np.arange(400, dtype=np.uint64) << np.uint64(10), rng.integers(1, 20, 400).astype(np.uint32)
     want = rng.integers(1, 4, 400).astype(np.uint8)
-    lev = rng.integers(1, 4, 400).astype(np.uint8) | want << 4
+    lev = rng.integers(1, 4, 400).astype(np.uint8)
+    shard = (gram >> np.uint64(49)).astype(int)  # 8 of them
+    index = {k: J.index_of(*(x[shard == k] for x in (gram, loc, size, lev))) for k in set(shard.tolist())}
+    own = np.flatnonzero(lev <= want)
 
     def run():
-        return sorted((a, b, n) for _, x, y, k in J.shard_hits(gram, loc, size, lev, 0.6, 5) for a, b, n in zip(x.tolist(), y.tolist(), k.tolist()))
+        found = J.candidates(index.__getitem__, 8, 0.6, gram[own], own, size.astype(np.int64), want, loc)
+        return sorted((a, b, n) for i, y, k in found for a, b, n in zip(loc[i].tolist(), y.tolist(), k.tolist()))
 
+    # a document of one gram has a hit at most; pairs that want more aren't given
+    brute = [(int(loc[i]), int(loc[j]), 1) for i in range(400) for j in range(400) if gram[i] == gram[j] and (size[i], loc[i]) > (size[j], loc[j]) and size[j] >= 0.6 * size[i] - 1e-9 and lev[i] <= want[i] and lev[j] <= want[i] and want[i] == 1]
     whole = run()
-    brute = [(int(loc[i]), int(loc[j]), 1) for i in range(400) for j in range(400) if gram[i] == gram[j] and (size[i], loc[i]) > (size[j], loc[j]) and size[j] >= 0.6 * size[i] - 1e-9 and lev[i] & 15 <= want[i] and lev[j] & 15 <= want[i]]
-    assert whole == sorted(brute)
+    assert len(whole) > 100 and whole == sorted(brute)
     monkeypatch.setattr(J, "HITS", 7)
     assert run() == whole
     s = J.UidSet.of(spark.createDataFrame([(5, 1), (5, 2), (-9, 3), (7, 4)], "uid long, chk long"), str(tmp_path / "u"))
@@ -281,6 +286,58 @@ def test_hits_in_parts_and_uid_sets(spark, tmp_path, monkeypatch):
     assert expand(J.near_duplicates(df).collect()) == brute_pairs(rows, 3, 0.6)
 
 
+def brute_groups(rows, n, t):
+    """(doc_id, class_id, links) by rows, all rows told apart."""
+    pairs = [(a[0], b[0]) for a, b in brute_pairs([((k, i), x) for k, (i, x) in enumerate(rows)], n, t)]
+    links, root = [0] * len(rows), list(range(len(rows)))
+    for a, b in pairs:
+        links[a], links[b] = links[a] + 1, links[b] + 1
+        x, y = root[a], root[b]
+        root = [x if r == y else r for r in root]
+    least = {}
+    for (i, _), r in zip(rows, root):
+        least[r] = min(least.get(r, (True, 0)), (i is None, i or 0))
+    return key((i, None if least[r][0] else least[r][1], k) for (i, _), r, k in zip(rows, root, links))
+
+
+def test_groups_have_all_links(spark, odd, clashing, empty, odd_rows):
+    """Every document has all its links: texts of equal sets, repeated rows, rows of one id, and documents far apart in a group."""
+    chain = [f"w{k}" for k in range(80)]
+    rows = near_rows(random.Random(33)) + [(300, "One two, three four five"), (301, "one TWO three; four five"), (302, "one two three four five six"), (303, "one two three four five seven"), (303, "one two three four five seven")]
+    rows += [(304, "one two three four five six"), (304, "two words"), (305, "Two words"), (306, ""), (307, None), (None, "one two three four five six"), (None, None)]
+    rows += [(400 + k, " ".join(chain[3 * k : 3 * k + 40])) for k in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for n, t, most in ((3, 0.6, 8), (2, 0.5, 3)):
+        assert key(map(tuple, J.groups(df, n, t, most).collect())) == brute_groups(rows, n, t)
+    for d in (odd, clashing):
+        assert key(map(tuple, J.groups(d).collect())) == brute_groups([r[:2] for r in odd_rows], 3, 0.6)
+    assert J.groups(empty).count() == 0
+
+
+def test_groups_against_sql_and_in_parts(spark, monkeypatch):
+    rows = near_rows(random.Random(34)) + [(200, "two words"), (201, "Two, words"), (202, ""), (203, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    want = con.execute(f"select doc_id, class_id, links from ({J.oracle_groups()})").fetchall()
+    assert key(want) == brute_groups(rows, 3, 0.6) == key(map(tuple, J.groups(df).collect()))
+
+
+def test_no_pair_leaves_a_task(tmp_path):
+    """Of 300 documents that are all near each other, a task's links and forest are of the number of documents."""
+    base = np.sort(np.random.default_rng(1).choice(1 << 40, 60, False)).astype(np.uint64)
+    grams = np.concatenate([np.sort(np.append(base, np.uint64((1 << 41) + k))) for k in range(300)])
+    ends = np.arange(301) * 61
+    size, want = np.full(300, 61), np.ones(300, np.uint8)
+    J.save_arrays(f"{tmp_path}/0", {"grams": grams, "ends": ends, "sizes": size, "want": want, "sig": np.arange(300).astype(np.uint64), "sig2": np.arange(300).astype(np.uint64), "prefix": np.repeat(base[:1], 300), "prefix_ends": np.arange(301), "rows": np.ones(300), "part": np.ones(300)})
+    index = J.index_of(np.repeat(base[:1], 300), np.arange(300, dtype=np.uint64), size, want)
+    sets = J.Sets(str(tmp_path), np.array([0]))
+    (batch,) = J._links(sets, lambda s: index, 1, 0.6, 1)([pa.RecordBatch.from_pydict({"file": [0]})])
+    assert sum(len(x) for c in ("a", "b") for x in batch.column(c).to_pylist()) < 300 * 16
+    (links,) = J._add_links(sets)([batch.filter(pa.array([b >= 0 for b in batch.column("bucket").to_pylist()]))])
+    assert links.column("links").to_pylist() == [299.0] * 300
+
+
 # --- decontamination
 
 
