@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -102,6 +103,23 @@ def test_gradient_against_enumeration():
     assert np.allclose(pair, want)
 
 
+def test_training_holds_a_part_at_once(monkeypatch):
+    """The driver's memory is a bounded multiple of the sample; windows in blocks are those of one block."""
+    rng = random.Random(41)
+    vocabulary = [prose(rng, 1) + str(k) for k in range(30_000)]
+    texts = [" ".join(rng.choices(vocabulary, k=400)) + (" vileworm vilekin" if k % 4 == 0 else "") for k in range(1000)]
+    toxic = np.array([k % 4 == 0 for k in range(1000)])
+    T.words(pa.array(texts[:500]))  # tables of powers
+    tracemalloc.start()
+    one = X.fit(texts, toxic, steps=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * sum(map(len, texts)), peak / sum(map(len, texts))
+    monkeypatch.setattr(X, "BLOCK", 1000)
+    parts = X.fit(pa.array(texts, pa.large_string()), toxic, steps=2)
+    assert (one.keys == parts.keys).all() and np.allclose(one.weights, parts.weights) and len(one.keys) > 1
+
+
 def test_equal_windows_are_one():
     y = np.zeros(20, bool)
     y[13] = True
