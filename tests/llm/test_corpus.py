@@ -341,6 +341,15 @@ def test_groups_against_sql_and_in_parts(spark, monkeypatch):
     assert key(want) == brute_groups(rows, 3, 0.6) == key(map(tuple, J.groups(df).collect()))
 
 
+def test_join_leaves_no_sets_or_pairs(spark, tmp_path, monkeypatch):
+    """What a step of the join has written goes when the next has read it; rows aren't read from it."""
+    monkeypatch.setattr(J, "work_dir", lambda spark, name: str(tmp_path))
+    rows = near_rows(random.Random(35))
+    out = J.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert not {"df", "entries", "index", "sets", "pairs", "found", "forest", "groups"} & {p.name for p in tmp_path.iterdir()}
+    assert 0 < len(out.collect()) < len(rows)
+
+
 def test_no_pair_leaves_a_task(tmp_path):
     """Of 300 documents that are all near each other, a task's links and forest are of the number of documents."""
     base = np.sort(np.random.default_rng(1).choice(1 << 40, 60, False)).astype(np.uint64)
