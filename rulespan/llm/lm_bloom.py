@@ -9,7 +9,11 @@ too low; it reads a level too high with the filter's false-positive rate.
 The filters grow with the corpus, whose size no broadcast variable would bear; they are spread to the workers
 by files, at every size: those of all shards are put one after the other in segments of about ``SEGMENT_BYTES`` in the shared folder,
 which workers map, so that all processes of a machine share the pages that they probe.  What is broadcast is where each shard's filter begins.
-All keys of a batch are probed together, whatever the number of shards.
+
+A batch has keys in all shards, so that batches which probe read all filters, each of them, and their time grows with the square of the corpus
+once the filters are larger than caches and memory.  Texts of the corpus itself don't probe: the task that makes a shard's filter probes it once for each
+key, and answers all chunks of texts that have sent it keys. What it answers is gathered to a file for each chunk, under the digest of the chunk's keys. Chunks without such a
+file (other texts, or tables that come in another order when read again) probe the segments, with the same levels.
 
     p(w | u v) = l3 max(c(uvw) - D, 0)/c(uv) + l2 max(c(vw) - D, 0)/c(v) + l1 (c(w) + 1)/(N + V)
 
@@ -22,14 +26,18 @@ counted and scored as often as they occur; further columns are ignored.
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from rulespan.llm import grams as G
-from rulespan.llm.arrays import mapped_file
-from rulespan.llm.text import GRAM_BITS, U, mix, ngrams, pieces, shard_of, words
-from rulespan.shared import remove_dir, shard_count, ship, work_dir, write_file
+from rulespan.llm.arrays import mapped_file, pack_planes, pack_sorted, unpack_sorted
+from rulespan.llm.text import GRAM_BITS, U, mix, ngrams, pieces, run_lengths, shard_of, shard_runs, words
+from rulespan.shared import open_ranges, remove_dir, shard_count, ship, work_dir, write_file
 
 ORDER = 3
 LAMBDAS = (0.2, 0.3, 0.5)
@@ -38,7 +46,10 @@ LOG_BASE = 1.5
 BITS_PER_ENTRY, HASHES = 10, 6
 SHARD_BYTES, SEGMENT_BYTES = 6 << 20, 1 << 30
 PROBE_WORDS = 1 << 19
+ANSWER_KEYS = 1 << 20  # worked on at once
 TAG = U(3)
+KEYS_DDL = "shard int, grams binary, counts binary, chunk string"
+ANSWER_DDL = "shard int, chunk string, levels binary, tokens long, vocabulary long, bytes long"
 
 
 def keys_of(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
@@ -106,18 +117,36 @@ def bloom_levels(filt: np.ndarray, keys: np.ndarray, hashes: int = HASHES, begin
 
 
 class Model:
-    """Counts of grams. segments: the files of filters; segment, begin, bits: of each shard's filter (0 bits: it has none)."""
+    """Counts of grams. segments: the files of filters; segment, begin, bits: of each shard's filter (0 bits: it has none); answers: the folder of levels by chunk."""
 
-    def __init__(self, segments, segment, begin, bits, tokens, vocabulary, base, hashes):
+    def __init__(self, segments, segment, begin, bits, tokens, vocabulary, base, hashes, answers):
         self.segments, self.segment, self.begin, self.bits = segments, segment, begin, bits
-        self.tokens, self.vocabulary, self.base, self.hashes = tokens, vocabulary, base, hashes
+        self.tokens, self.vocabulary, self.base, self.hashes, self.answers = tokens, vocabulary, base, hashes, answers
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Each distinct key is probed once."""
         order = np.argsort(keys)
         k = keys[order]
         new = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.empty(0, bool)
         u = k[new]
+        level = self.answered(u)
+        if level is None:
+            level = self.probed(u)
+        table = count_of(np.arange(int(level.max(initial=0)) + 1), self.base)
+        out = np.empty(len(k))
+        out[order] = table[level[np.cumsum(new) - 1]]
+        return out
+
+    def answered(self, u: np.ndarray) -> np.ndarray | None:
+        """The levels of a chunk's sorted distinct keys, if the chunk is one of the corpus."""
+        try:
+            with open_ranges(f"{self.answers}/{chunk_name(u)}") as f:
+                level = np.frombuffer(zlib.decompress(f.read()), np.uint8)
+        except FileNotFoundError:
+            return None
+        return level if len(level) == len(u) else None
+
+    def probed(self, u: np.ndarray) -> np.ndarray:
+        """Each distinct key is probed once."""
         level = np.zeros(len(u), np.int16)
         shard = shard_of(u, len(self.bits)).astype(np.int64)
         u, shard, there = (x[self.bits[shard] > 0] for x in (u, shard, np.arange(len(u))))
@@ -125,10 +154,7 @@ class Model:
         for s in np.flatnonzero(np.diff(edge)):
             part = slice(edge[s], edge[s + 1])
             level[there[part]] = bloom_levels(mapped_file(self.segments[s]), u[part], self.hashes, self.begin[shard[part]], self.bits[shard[part]])
-        table = count_of(np.arange(int(level.max(initial=0)) + 1), self.base)
-        out = np.empty(len(k))
-        out[order] = table[level[np.cumsum(new) - 1]]
-        return out
+        return level
 
 
 def all_keys(w) -> np.ndarray:
@@ -156,33 +182,98 @@ def word_scores(w, found: np.ndarray, tokens: int, vocabulary: int, lambdas=LAMB
     return np.log10(total / mass)
 
 
+def chunk_name(u: np.ndarray) -> str:
+    """128 bits of sorted distinct keys."""
+    a, b = mix(u), mix(u ^ U(0x9E3779B97F4A7C15))
+    return f"{int(a.sum(dtype=U)):016x}{int(np.bitwise_xor.reduce(b)) ^ len(u):016x}"
+
+
+def chunks(batches) -> Iterator[list]:
+    """(ids, words) of several pieces, PROBE_WORDS and more."""
+    held, size = [], 0
+    for batch in batches:
+        for b in pieces(batch, "text"):
+            w = words(b.column("text"))
+            w.buf = w.prefix = w.start = w.end = None
+            held.append((b.column("doc_id"), w))
+            size += len(w.h)
+            if size >= PROBE_WORDS:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def rows_of(docs: DataFrame) -> DataFrame:
+    """What is read both for the counts and for the scores, so that chunks are the same."""
+    return docs.select("doc_id", docs["text"].cast("string").alias("text"))
+
+
+def answer_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"shard": pa.int32(), "chunk": pa.string(), "levels": pa.binary(), "tokens": pa.int64(), "vocabulary": pa.int64(), "bytes": pa.int64()}
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds.values())], names=list(kinds))
+
+
+def gather_answers(folder: str):
+    """Writes the levels of each chunk, in the order of its keys; gives the rows that have none. All rows of a chunk are in one partition."""
+
+    def run(batches):
+        held: dict[str, list] = {}
+        for b in batches:
+            own = b.filter(b.column("chunk").is_valid())
+            for shard, chunk, levels in zip(*(own.column(c).to_pylist() for c in ("shard", "chunk", "levels"))):
+                held.setdefault(chunk, []).append((shard, levels))
+            yield b.filter(b.column("chunk").is_null())
+        for chunk, found in held.items():
+            parts = dict(found)  # equal chunks have equal answers
+            write_file(f"{folder}/{chunk}", zlib.compress(b"".join(zlib.decompress(parts[s]) for s in sorted(parts)), 1))
+
+    return run
+
+
 def train(docs: DataFrame, base: float = LOG_BASE, bits: int = BITS_PER_ENTRY, hashes: int = HASHES, segment_bytes: int = SEGMENT_BYTES) -> Model:
     spark = docs.sparkSession
     ship(spark)
     folder = work_dir(spark, "lm")
-    text = docs.select(docs["text"].cast("string").alias("text"))
-    shards = shard_count(text, SHARD_BYTES)
+    rows = rows_of(docs)
+    shards = shard_count(rows.select("text"), SHARD_BYTES)
 
     def run(batches):
-        gather = G.Gather(shards)
-        for batch in batches:
-            for b in pieces(batch, "text"):
-                w = words(b.column("text"))
-                for n in range(1, ORDER + 1):
-                    gather.add(keys_of(w.h, w.doc, n))
-                if rows := list(gather.rows()):
-                    yield G.blob_batch(rows)
-        if rows := list(gather.rows(last=True)):
-            yield G.blob_batch(rows)
-
-    def write(shard, keys, counts):
-        levels = level_of(counts, base)
-        made = bloom_build(keys, levels, bits, hashes)
+        for held in chunks(batches):
+            keys, counts = run_lengths(np.sort(np.concatenate([all_keys(w) for _, w in held])))
+            if len(keys):
+                name = chunk_name(keys)
+                sent = [(shard, pack_sorted(keys[p]), pack_planes(counts[p].astype(np.uint32)), name) for shard, p in shard_runs(keys, shards)]
+                kinds = (pa.int32(), pa.binary(), pa.binary(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*sent), kinds)], names=["shard", "grams", "counts", "chunk"])
+
+    def fill(batches):
+        """A partition is a shard: its filter, and the levels that the filter has for each chunk's keys."""
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        shard = held[0].column("shard")[0].as_py()
+        grams, counts, names = ([x for b in held for x in b.column(c).to_pylist()] for c in ("grams", "counts", "chunk"))
+        del held
+        keys, counts = G.merged(grams, counts)
+        made = bloom_build(keys, level_of(counts, base), bits, hashes)
         write_file(f"{folder}/filters/{shard}", made.tobytes())
         one = (keys & TAG) == 1
-        return {"shard": shard, "tokens": int(counts[one].sum()), "vocabulary": int(one.sum()), "bytes": len(made)}
-
-    done = G.by_shard(text.mapInArrow(run, G.BLOB_DDL), shards, write, "shard long, tokens long, vocabulary long, bytes long").collect()
+        yield answer_batch([(shard, None, None, int(counts[one].sum()), int(one.sum()), len(made))])
+        del counts, one
+        levels = np.concatenate([bloom_levels(made, keys[k : k + ANSWER_KEYS], hashes) for k in range(0, len(keys), ANSWER_KEYS)]).astype(np.uint8)
+        asked, n = [], 0
+        for k, name in enumerate(names):
+            asked.append((name, unpack_sorted(grams[k])))
+            n += len(asked[-1][1])
+            if n >= ANSWER_KEYS or k == len(names) - 1:
+                found = levels[np.searchsorted(keys, np.concatenate([x for _, x in asked]))]
+                ends = np.cumsum([len(x) for _, x in asked]).tolist()
+                yield answer_batch([(shard, c, zlib.compress(found[z - len(x) : z].tobytes(), 1), None, None, None) for (c, x), z in zip(asked, ends)])
+                asked, n = [], 0
+
+    sent = rows.mapInArrow(run, KEYS_DDL).repartitionById(shards, F.col("shard")).mapInArrow(fill, ANSWER_DDL)
+    done = sent.repartition(shards, "chunk").mapInArrow(gather_answers(f"{folder}/answers"), ANSWER_DDL).select("shard", "tokens", "vocabulary", "bytes").collect()
     size = np.zeros(shards, np.int64)
     size[[r.shard for r in done]] = [r.bytes for r in done]
     before = np.cumsum(size) - size
@@ -191,7 +282,7 @@ def train(docs: DataFrame, base: float = LOG_BASE, bits: int = BITS_PER_ENTRY, h
     begin = before - before[np.searchsorted(segment, segment)]
     paths = join_filters(spark, folder, size, segment)
     remove_dir(f"{folder}/filters")
-    return Model(paths, segment, begin, size * 8, sum(r.tokens for r in done), sum(r.vocabulary for r in done), base, hashes)
+    return Model(paths, segment, begin, size * 8, sum(r.tokens for r in done), sum(r.vocabulary for r in done), base, hashes, f"{folder}/answers")
 
 
 def join_filters(spark, folder: str, size: np.ndarray, segment: np.ndarray) -> list[str]:
@@ -215,7 +306,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def finish(held):
-        """Keys of several pieces are probed together: a filter shard is visited once for all of them."""
+        """Levels are looked up for the keys of several pieces at once."""
         keys = [all_keys(w) for w in (x[1] for x in held)]
         found = np.split(model.counts(np.concatenate(keys)), np.cumsum([len(k) for k in keys])[:-1])
         for (ids, w), f in zip(held, found):
@@ -226,20 +317,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids, pa.array(w.count.astype(np.int64)), pa.array(total), pa.array(ppl, mask=w.count == 0)], names=["doc_id", "n_words", "log_prob", "perplexity"])
 
     def run(batches):
-        held, size = [], 0
-        for batch in batches:
-            for b in pieces(batch, "text"):
-                w = words(b.column("text"))
-                w.buf = w.prefix = w.start = w.end = None
-                held.append((b.column("doc_id"), w))
-                size += len(w.h)
-                if size >= PROBE_WORDS:
-                    yield from finish(held)
-                    held, size = [], 0
-        if held:
+        for held in chunks(batches):
             yield from finish(held)
 
-    return docs.select("doc_id", docs["text"].cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_words long, log_prob double, perplexity double")
+    return rows_of(docs).mapInArrow(run, f"doc_id {kind}, n_words long, log_prob double, perplexity double")
 
 
 def lm_scores(docs: DataFrame, **options) -> DataFrame:

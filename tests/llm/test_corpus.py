@@ -1,6 +1,7 @@
 """Toxicity, line deduplication, Jaccard join, decontamination, SentencePiece, LM scores, pipeline."""
 
 import itertools
+import os
 import random
 import re
 import tracemalloc
@@ -592,6 +593,24 @@ def test_copies_are_told_from_the_rest(spark):
     assert max(twice) < min(got[k] for k in range(20, 200))
 
 
+def test_scores_of_the_corpus_need_no_probes(spark):
+    """Texts of the corpus are answered by shard; others probe the filters. Both give the same."""
+    import shutil
+
+    rng = random.Random(17)
+    rows = [(k, prose(rng, rng.randrange(0, 300))) for k in range(200)] + [(200, None), (201, ""), (202, "..."), (203, "of the")]
+    docs = spark.createDataFrame(rows + rows[:30], "doc_id long, text string").repartition(3)
+    answered, probed = M.train(docs), M.train(docs)
+    shutil.rmtree(probed.answers)
+    others = M.score(docs.filter("doc_id % 3 > 0"), answered).collect()
+    for path in answered.segments:
+        os.remove(path.removeprefix("file:"))
+    got, want = (sorted(map(repr, M.score(docs, m).collect())) for m in (answered, probed))
+    assert len(got) == len(rows) + 30 and got == want
+    short = lambda r: (r.doc_id, r.n_words, round(r.log_prob, 6))
+    assert len(others) > 100 and {short(r) for r in others} <= {short(r) for r in M.score(docs, probed).collect()}
+
+
 # --- the pipeline
 
 
