@@ -351,6 +351,43 @@ def test_join_leaves_no_sets_or_pairs(spark, tmp_path, monkeypatch):
     assert 0 < len(out.collect()) < len(rows)
 
 
+def test_join_disk(spark, tmp_path, monkeypatch):
+    """Where all grams are shared, as in large tables, sets and postings take few bytes a gram, nothing else that is large stays beside them, and no shuffle stays."""
+    monkeypatch.setattr(J, "work_dir", lambda spark, name: str(tmp_path))
+    rng = random.Random(36)
+    rows = [(k, " ".join(rng.choice(WORDS[:12]) for _ in range(1000))) for k in range(80)]
+    total = sum(len({tuple(w[k : k + 3]) for k in range(len(w) - 2)}) for w in (t.split() for _, t in rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    shuffled = lambda: set(re.findall(r"shuffle_\d+_", spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")))
+    before, held, groups = shuffled(), {}, J.Join.groups
+
+    def measured(join):
+        held.update({p.name: sum(f.stat().st_size for f in p.rglob("*")) for p in tmp_path.iterdir() if p.is_dir()}, shuffles=len(shuffled() - before))
+        return groups(join)
+
+    monkeypatch.setattr(J.Join, "groups", measured)
+    assert J.one_of_each(df).count() == 80
+    assert held.pop("sets") + held.pop("index") < 10 * total
+    assert held.pop("shuffles") == 0 and set(held) == {"members"}
+    assert not {"members", "links", "labels"} & {p.name for p in tmp_path.iterdir()}
+
+
+def test_postings_in_passes(spark, tmp_path, monkeypatch):
+    rows = near_rows(random.Random(37))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for name, value in (("PASSES", 3), ("PASS_POSTINGS", 1), ("shard_count", lambda *_: 5)):
+        monkeypatch.setattr(J, name, value)
+    assert expand(J.near_duplicates(df).collect()) == brute_pairs(rows, 3, 0.6)
+    assert key(map(tuple, J.groups(df).collect())) == brute_groups(rows, 3, 0.6)
+
+
+def test_dropped_files_hold_no_disk(tmp_path):
+    J.save_arrays(f"{tmp_path}/a/b/c", {"x": np.arange(1000)})
+    with open(f"{tmp_path}/a/b/c", "rb") as f:
+        J.drop_mapped(f"{tmp_path}/a")
+        assert os.fstat(f.fileno()).st_blocks == 0 and not (tmp_path / "a").exists()
+
+
 def test_no_pair_leaves_a_task(tmp_path):
     """Of 300 documents that are all near each other, a task's links and forest are of the number of documents."""
     base = np.sort(np.random.default_rng(1).choice(1 << 40, 60, False)).astype(np.uint64)
