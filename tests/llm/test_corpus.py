@@ -4,6 +4,7 @@ import itertools
 import os
 import random
 import re
+import time
 import tracemalloc
 
 import duckdb
@@ -485,6 +486,50 @@ def test_leaks_in_batches_of_items(spark):
     assert 0 < len(clean) < len(docs) and key(D.drop_contaminated(df, bench, max_items=5).collect()) == clean
 
 
+def test_sums_of_rows_by_blocks_and_by_terms():
+    rng = np.random.default_rng(4)
+    for blocks, terms, hits in ((1, 1, 1), (40, 7, 300), (700, 600, 4000), (2000, 5, 2500)):
+        block, i = np.sort(rng.integers(0, blocks, hits)), (terms * rng.random(hits) ** 3).astype(np.int64)
+        a = np.zeros((blocks, terms), np.float32)
+        np.add.at(a, (block, i), 1)
+        matrix = rng.standard_normal((terms, 9), np.float32)
+        for dense in (np.zeros(terms, bool), a.any(0) & (np.arange(terms) % 3 == 0), np.ones(terms, bool)):
+            products, y = D.Products(matrix, dense), np.ones((terms, 9), np.float32)
+            ids, p, kept = products.of(block, i)
+            assert (ids == np.unique(block)).all() and np.allclose(p, (a @ matrix)[ids], rtol=1e-4, atol=1e-3)
+            products.back(y, p, kept)
+            assert np.allclose(y, 1 + a.T @ (a @ matrix), rtol=1e-3, atol=1e-2)
+
+
+def test_work_of_a_batch_of_documents(monkeypatch):
+    rng, looked_up = random.Random(23), []
+    docs = [(k, prose(rng, 300)) for k in range(20)]
+    items, planted = cut_items(rng, docs, (12, 30), 5)
+    monkeypatch.setattr(D, "item_texts", lambda _: type("Rows", (), {"toArrow": lambda self: pa.table({"item_id": [i for i, _ in items], "text": [t for _, t in items]})})())
+    parts = D.read_items(None, max_items=None)
+    m, find = D.Matcher(parts, np.random.default_rng(1).standard_normal((len(parts.terms), 8), np.float32)), D.find
+    monkeypatch.setattr(D, "find", lambda *a: looked_up.append(1) or find(*a))
+    _, found = m.search(pa.RecordBatch.from_pydict({"text": [t for _, t in docs]}))
+    assert planted <= set(found) and len(looked_up) == 1  # words are looked up once, not again for the prefixes
+
+    r = np.random.default_rng(2)
+    block, i = np.sort(r.integers(0, 8000, 60_000)), r.integers(0, 3000, 60_000)
+    products, y = D.Products(r.standard_normal((3000, 288), np.float32), np.zeros(3000, bool)), np.zeros((3000, 288), np.float32)
+    _, p, (counts, local, i) = products.of(block, i)
+    order = np.argsort(i, kind="stable")
+
+    def seconds(f):
+        took = []
+        for _ in range(5):
+            t = time.process_time()
+            f()
+            took.append(time.process_time() - t)
+        return min(took)
+
+    by_reduceat = seconds(lambda: np.add.reduceat(p[local[order]], np.arange(0, len(order), 20), axis=0))
+    assert seconds(lambda: products.back(y, p, (counts, local, i))) < 0.4 * by_reduceat
+
+
 def test_lcs_and_singular_vectors():
     rng = random.Random(1)
     for _ in range(50):
