@@ -70,6 +70,28 @@ def test_snapshot_facts_and_untouched_strata(spark):
     assert set(s.snapshot()) == {"t", "u", "n", "w"}
 
 
+def test_snapshot_leaves_changes_where_they_are(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    sizes, collect = [], Classic.collect
+
+    def watched(df):
+        rows = collect(df)
+        sizes.append(len(rows))
+        return rows
+
+    monkeypatch.setattr(Classic, "collect", watched)
+    told = []
+    for tell in (None, lambda *x: told.append(x)):
+        s = Session(spark, ".decl e(x: int64)\nt(X, 1) :- e(X).\nn(count(X)) :- t(X, _).", on_delta=tell)
+        s.insert("e", spark.range(12_000).toDF("x"))
+        s.snapshot("t")
+        s.remove("e", spark.range(2).toDF("x"))
+        assert s.snapshot("t").count() == 11_998
+    assert max(sizes, default=0) <= 1
+    assert told[:2] == [("t", (0, 1), 1), ("t", (1, 1), 1)] and told[12_000:] == [("n", (12_000,), 1), ("t", (0, 1), -1), ("t", (1, 1), -1), ("n", (11_998,), 1), ("n", (12_000,), -1)]
+
+
 def test_state_is_that_of_a_fresh_evaluation(spark):
     text = ".decl e(x: int64, y: int64)\n.decl f(x: int64)\np(X, Y) :- e(X, Y).\np(X, Z) :- p(X, Y), p(Y, Z).\nq(X) :- f(X), !p(X, X).\nm(X, max(Y)) :- p(X, Y).\np(9, 9) :- f(9)."
     rng = random.Random(3)
