@@ -92,6 +92,26 @@ def test_snapshot_leaves_changes_where_they_are(spark, monkeypatch):
     assert told[:2] == [("t", (0, 1), 1), ("t", (1, 1), 1)] and told[12_000:] == [("n", (12_000,), 1), ("t", (0, 1), -1), ("t", (1, 1), -1), ("n", (11_998,), 1), ("n", (12_000,), -1)]
 
 
+def test_large_changes_of_a_recursion_are_evaluated_anew(spark, monkeypatch):
+    from rulespan.streaming import session
+
+    monkeypatch.setattr(session, "ANEW_ROWS", 5)
+    s = Session(spark, ".decl e(a: int64, b: int64)\np(A, B) :- e(A, B).\np(A, C) :- p(A, B), e(B, C).")
+    edges = lambda *ks: spark.createDataFrame([(k, k + 1) for k in ks], "a long, b long")
+    closed = lambda *ks: {(a, b + 1) for a in ks for b in ks if a <= b and set(range(a, b + 1)) <= set(ks)}
+    s.insert("e", edges(*range(20)))
+    s.step_frame()
+    s.insert("e", edges(20, 21, 22))
+    s.remove("e", edges(3, 9, 12, 15))
+    found = changes(s.step())
+    now, before = closed(*(k for k in range(23) if k not in (3, 9, 12, 15))), closed(*range(20))
+    assert found == {(r, 1) for r in now - before} | {(r, -1) for r in before - now}
+    assert s.steps[-1]["strata"] == [(0, "anew")] and {tuple(r) for r in s.state["p"].collect()} == now
+    s.insert("e", edges(3))
+    assert changes(s.step()) == {(r, 1) for r in closed(*(k for k in range(23) if k not in (9, 12, 15))) - now}
+    assert s.steps[-1]["strata"] == [(0, "continued")]
+
+
 def test_state_is_that_of_a_fresh_evaluation(spark):
     text = ".decl e(x: int64, y: int64)\n.decl f(x: int64)\np(X, Y) :- e(X, Y).\np(X, Z) :- p(X, Y), p(Y, Z).\nq(X) :- f(X), !p(X, X).\nm(X, max(Y)) :- p(X, Y).\np(9, 9) :- f(9)."
     rng = random.Random(3)
